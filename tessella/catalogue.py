@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.queries import common, dedup, search, stats, streams  # noqa: F401  they register their queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(common.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(common.ORACLES)
