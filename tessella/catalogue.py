@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import common, dedup, search, stats, streams  # noqa: F401  they register their queries
+from tessella.queries import common, dedup, media, search, stats, streams  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

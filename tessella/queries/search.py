@@ -65,17 +65,18 @@ def vec_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_pairs(spark, sf_dir).select("vec_id", D.hamming(_bytes(F.col("a").cast("array<double>")), _bytes(F.col("b").cast("array<double>"))).alias("dist"))
 
 
-_WEIGHTS = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double") / 64)
+def _weights() -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double") / 64)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT vec_id, {_SUM.format('abs(a[i] - b[i]) * (i / 64.0::DOUBLE)')} AS dist FROM pairs")
 def vec_l1_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_pairs(spark, sf_dir).select("vec_id", F.round(D.l1_weighted(F.col("a"), F.col("b"), _WEIGHTS), 6).alias("dist"))
+    return next_pairs(spark, sf_dir).select("vec_id", F.round(D.l1_weighted(F.col("a"), F.col("b"), _weights()), 6).alias("dist"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]) * (i / 64.0::DOUBLE)))), 6) AS dist FROM pairs")
 def vec_l2_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_pairs(spark, sf_dir).select("vec_id", F.round(D.l2_weighted(F.col("a"), F.col("b"), _WEIGHTS), 6).alias("dist"))
+    return next_pairs(spark, sf_dir).select("vec_id", F.round(D.l2_weighted(F.col("a"), F.col("b"), _weights()), 6).alias("dist"))
 
 
 @query(f"WITH {PAIRS_SQL}, d AS (SELECT vec_id, list_distance(a, b) AS d FROM pairs) SELECT vec_id, round(CASE WHEN d <= 1.4 THEN d END, 6) AS dist FROM d")
