@@ -7,7 +7,7 @@ either order is selected, the two retain their order in the text, and the ordere
 a signature if they share both minima and have them in the same order, which a change of order undoes as well as a
 change of content; the share of equal signatures falls with edit distance.
 
-Plan: k-mers, their occurrence numbers and positions are array expressions on the row; one explode then feeds a hash
+Plan: the k-mers of a row are a sorted array of packed longs; one explode then numbers them and feeds a hash
 aggregation whose 2 * m minima are packed as (32 hash bits, position), inside the same stage; no shuffle of k-mers.
 
 Defined results: a null text is empty; texts without k-mers have the fingerprint of the empty text; equal texts have
@@ -25,69 +25,66 @@ SIGNATURES, K, PIECE = 48, 2, 12
 POSITION_BITS = 24
 
 
-def kmers(text: Column, k: int = K, piece: int = PIECE) -> Column:
-    """Array of the hashes of a text's k-mers, in text order."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0))
-    hashes = F.transform(pieces, lambda x: F.xxhash64(x))
+def sorted_kmers(rows: DataFrame, keep: list[str], text: Column, k: int = K, piece: int = PIECE) -> DataFrame:
+    """Columns keep and s: the sorted array of a text's k-mers, each a long of hash bits above POSITION_BITS and the position below; one element of -1 for a text without k-mers.
 
-    def joined(h: Column) -> Column:
-        n = F.size(h)
-        ahead = F.zip_with(h, F.slice(h, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        return F.when(n <= 1, h).otherwise(F.slice(ahead, 1, F.greatest(n - 1, F.lit(1))))
-
-    for _ in range(k - 1):
-        hashes = joined(hashes)
-    return hashes
+    Sorting brings equal k-mers together, in text order. Positions beyond the bits count as the last one.
+    """
+    pieces = rows.select(*keep, F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0)).alias("p"))
+    room, key = F.lit((1 << POSITION_BITS) - 1).cast("long"), F.lit(~((1 << POSITION_BITS) - 1)).cast("long")
+    # hashing ignores nulls, so the k-mers at the end are shorter ones; those that aren't whole are cut off
+    packed = F.transform("p", lambda x, i: F.xxhash64(x, *[F.get("p", i + n) for n in range(1, k)]).bitwiseAND(key).bitwiseOR(F.least(i.cast("long"), room)))
+    whole = F.slice(packed, 1, F.greatest(F.size("p") - (k - 1), F.lit(1)))
+    return pieces.select(*keep, F.when(F.size("p") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.sort_array(whole)).alias("s"))
 
 
-def numbered(hashes: Column) -> Column:
-    """Array of struct(h, pos): the k-mer with its occurrence number hashed in, and its position.
+def numbered(kmers: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns keep, h (hash bits of a k-mer and its occurrence number) and pos, one row for each k-mer.
 
-    The array of (hash, position), packed as longs, is sorted, so equal k-mers stand together in text order; a
-    k-mer's number is the distance to the first of its run, found by galloping back in powers of two.
+    A k-mer's number is the distance to the first of its run in s. A first one keeps its hash bits; for the others the
+    number is found by a bisection in powers of two and hashed in.
     """
-    room = F.lit((1 << POSITION_BITS) - 1).cast("long")
-    key = F.lit(~((1 << POSITION_BITS) - 1)).cast("long")
-    packed = F.transform(hashes, lambda h, i: h.bitwiseAND(key).bitwiseOR(F.least(i.cast("long"), room)))
-    return F.sort_array(packed)
+    key, mask = F.lit(~((1 << POSITION_BITS) - 1)).cast("long"), F.lit((1 << POSITION_BITS) - 1).cast("long")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(POSITION_BITS))])
 
+    def element(x: Column, i: Column) -> Column:
+        k = F.shiftright(x, POSITION_BITS)
+        same = lambda at: F.shiftright(F.get("s", at), POSITION_BITS).eqNullSafe(k)
+        number = F.aggregate(steps, F.lit(0), lambda acc, step: F.when((i - acc - step >= 0) & same(i - acc - step), acc + step).otherwise(acc))
+        return F.when(~same(i - 1), x).otherwise(F.xxhash64(k, number).bitwiseAND(key).bitwiseOR(x.bitwiseAND(mask)))
 
-def _number(s: str) -> str:
-    """SQL for the occurrence number at index i of the sorted array s."""
-    same = f"shiftright({s}[i - acc - step], {POSITION_BITS}) = shiftright({s}[i], {POSITION_BITS})"
-    return (
-        f"if(i = 0 or shiftright({s}[greatest(i - 1, 0)], {POSITION_BITS}) != shiftright(x, {POSITION_BITS}), 0, "
-        f"aggregate(transform(sequence({POSITION_BITS - 1}, 0), b -> shiftleft(1, b)), 0, "
-        f"(acc, step) -> if(i - acc - step >= 0, if({same}, acc + step, acc), acc)))"
-    )
+    flat = kmers.select(*keep, F.explode(F.transform("s", element)).alias("x"))
+    return flat.select(*keep, F.shiftright("x", POSITION_BITS).alias("h"), F.col("x").bitwiseAND(mask).alias("pos"))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], m: int = SIGNATURES, k: int = K, piece: int = PIECE) -> DataFrame:
     """One row per row of rows: keys, and for each text column t an array of m longs fp_<t>. keys identify a row."""
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.coalesce(F.col(t), F.lit("")).alias("text")) for i, t in enumerate(texts)])).alias("t")
-    one = rows.select(*keys, which).select(*keys, F.col("t.which").alias("which"), kmers(F.col("t.text"), k, piece).alias("hashes"))
-    sorted_ = one.select(*keys, "which", numbered(F.col("hashes")).alias("s"))
-    mask = (1 << POSITION_BITS) - 1
-    elements = F.expr(f"transform(s, (x, i) -> struct(x as x, {_number('s')} as n))")
-    flat = sorted_.select(*keys, "which", F.explode_outer(elements).alias("e"))
-    flat = flat.select(*keys, "which", F.xxhash64(F.shiftright("e.x", POSITION_BITS), F.col("e.n")).alias("h"), F.col("e.x").bitwiseAND(F.lit(mask).cast("long")).alias("pos"), F.col("e").isNotNull().alias("any"))
-    high = F.lit(-(1 << 32)).cast("long")
+    keep = [*keys, "which"]
+    one = rows.select(*keys, which).select(*keys, F.col("t.which").alias("which"), F.col("t.text").alias("text"))
+    flat = numbered(sorted_kmers(one, keep, F.col("text"), k, piece), keep)
+    high, low = F.lit(-(1 << 32)).cast("long"), F.lit((1 << 32) - 1).cast("long")
     minima = []
     for i in range(m):
-        h = F.xxhash64(F.lit(i), F.col("h"))
-        minima += [F.min(F.when(F.col("any"), h.bitwiseAND(high).bitwiseOR(F.col("pos")))).alias(f"a{i}"), F.min(F.when(F.col("any"), F.shiftleft(h, 32).bitwiseOR(F.col("pos")))).alias(f"b{i}")]
-    agg = flat.groupBy(*keys, "which").agg(*minima)
-    low = F.lit((1 << 32) - 1).cast("long")
+        # two orders from one hash: by its upper and by its lower 32 bits
+        h = F.xxhash64(F.col("h").bitwiseXOR(F.lit(_signed(0x9E3779B97F4A7C15 * (i + 1)))))
+        minima += [F.min(h.bitwiseAND(high).bitwiseOR(F.col("pos"))).alias(f"a{i}"), F.min(F.shiftleft(h, 32).bitwiseOR(F.col("pos"))).alias(f"b{i}")]
+    agg = flat.groupBy(*keep).agg(*minima)
 
     def signature(i: int) -> Column:
         a, b = F.col(f"a{i}"), F.col(f"b{i}")
         first = a.bitwiseAND(low) <= b.bitwiseAND(low)
-        return F.coalesce(F.when(first, F.xxhash64(F.shiftright(a, 32), F.shiftright(b, 32), F.lit(0))).otherwise(F.xxhash64(F.shiftright(b, 32), F.shiftright(a, 32), F.lit(1))), F.lit(0).cast("long"))
+        return F.when(first, F.xxhash64(F.shiftright(a, 32), F.shiftright(b, 32), F.lit(0))).otherwise(F.xxhash64(F.shiftright(b, 32), F.shiftright(a, 32), F.lit(1)))
 
-    signed = agg.select(*keys, "which", F.array(*[F.when(F.col("a0").isNull(), F.lit(0).cast("long")).otherwise(signature(i)) for i in range(m)]).alias("fp"))
+    signed = agg.select(*keep, F.array(*[signature(i) for i in range(m)]).alias("fp"))
     return signed.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("fp"))).alias(f"fp_{t}") for i, t in enumerate(texts)])
 
 
+def _signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
 def as_hex(fp: Column) -> Column:
     """Fingerprint as text: 8 hex digits for each signature."""
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), 8, "0"))), "")
