@@ -9,7 +9,7 @@ line that comes first (smallest doc_id, then line number) stays; all its other o
 
 Defined results: a null text has no lines and stays null; lines whose normal form has under MIN_BYTES bytes, blank ones
 included, are never compared or dropped; rows that repeat a doc_id are treated alike, as one document; a null doc_id
-comes first; an empty table gives an empty result; other columns pass unchanged.
+comes first; an empty table gives an empty result; other columns pass unchanged, but for ones named like the two new ones.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from .common import FILTER_BITS, arrow_map, default_partitions, hash_filter, hot_lookup, materialize, passes
 from .components import connected_components
-from .verify import char_shingles, mix64, verified_links
+from .verify import char_shingles, mix64, packed_shingles, verified_links
 
 K, BANDS, ROWS, THRESHOLD, MIN_BYTES = 7, 12, 4, 0.8, 20
 #: Distinct lines that a task remembers to make their signatures only once, and bytes whose shingles it hashes at once.
@@ -48,25 +48,27 @@ def band_keys(forms: list[bytes], k: int = K, bands: int = BANDS, rows: int = RO
     """Keys (lines x bands) of lines of at least k bytes."""
     bins = bands * rows
     lengths = np.fromiter(map(len, forms), np.int64, len(forms))
-    data = np.frombuffer(b"".join(forms), np.uint8)
-    n = len(data) - k + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(k):  # exact for k up to 8: the bytes side by side
-        h = (h << np.uint64(8)) | data[j : j + n]
-    ends = np.cumsum(lengths)
-    line = np.repeat(np.arange(len(forms)), lengths)[:n]
-    inside = np.arange(n) + k <= ends[line]
-    h, line = mix64(h[inside]), line[inside]
-    slot = line * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    h = packed_shingles(np.frombuffer(b"".join(forms), np.uint8), k)
+    n = len(h)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    slot = (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    slot += np.repeat(np.arange(len(forms), dtype=np.int64) * bins, lengths)[:n]
+    # shingles across the border of two lines go to a slot of their own
+    across = (np.cumsum(lengths)[:, None] - np.arange(1, k)[None, :]).ravel()
+    slot[across[across < n]] = len(forms) * bins
     empty = np.uint64(1 << 32)
-    least = np.full(len(forms) * bins, empty, np.uint64)
+    least = np.full(len(forms) * bins + 1, empty, np.uint64)
     np.minimum.at(least, slot, h & np.uint64(0xFFFFFFFF))
-    least = least.reshape(len(forms), bins)
+    least = least[:-1].reshape(len(forms), bins)
     hole = least == empty
-    if hole.any():  # take the next filled bin's value, round the end
-        at = np.where(np.concatenate((hole, hole), axis=1), 2 * bins, np.arange(2 * bins)[None, :])
+    holed = np.flatnonzero(hole.any(axis=1))
+    if len(holed):  # take the next filled bin's value, round the end
+        some = hole[holed]
+        at = np.where(np.concatenate((some, some), axis=1), 2 * bins, np.arange(2 * bins)[None, :])
         at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        least = np.take_along_axis(least, at % bins, axis=1) + (at - np.arange(bins)[None, :]).astype(np.uint64) * np.uint64(0x9E3779B1)
+        least[holed] = np.take_along_axis(least[holed], at % bins, axis=1) + (at - np.arange(bins)[None, :]).astype(np.uint64) * np.uint64(0x9E3779B1)
     keys = np.zeros((len(forms), bands), np.uint64)
     parts = least.reshape(len(forms), bands, rows)
     for r in range(rows):
@@ -164,7 +166,7 @@ def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS,
             yield out([f])
 
     keyed = arrow_map(rows.select("text"), keys, "key long, id long")
-    members = arrow_map(keyed.repartition(default_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id"), runs, "group long, id long")
+    members = arrow_map(keyed.repartition(default_partitions(rows.sparkSession), "key").sortWithinPartitions("key"), runs, "group long, id long")
     return members.distinct()
 
 
@@ -219,8 +221,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = docs.withColumn("__key", _place(id_col)).join(gone, F.col("__key") == F.col("__place"), "left")
+    # the documents' side isn't sorted: the other one, a row of line numbers for each document that loses some, is hashed
+    joined = docs.withColumn("__key", _place(id_col)).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__place"), "left")
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("line_count", "line_dropped")],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).alias("line_count"), F.coalesce(F.col("__dropped"), F.array().cast("array<int>")).alias("line_dropped"),
     )

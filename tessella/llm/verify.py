@@ -67,7 +67,7 @@ def split_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("group", "id", F.explode(parts).alias("part"))
 
 
-def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[list[bytes]], list[np.ndarray]], threshold: float) -> DataFrame:
     """Links (a, b) among the members of each group whose shingle sets have a Jaccard similarity of threshold or more: enough of them to connect what all of them connect.
 
     members: (group long, id long), texts: (id long, text) with one row for each id. The texts are joined to the
@@ -79,12 +79,13 @@ def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[byt
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         key, ids, sets, out = None, [], [], []
         for batch in batches:
-            for group, part, i, text in zip(batch.column("group").to_pylist(), batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            made = shingles([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            for group, part, i, have in zip(batch.column("group").to_pylist(), batch.column("part").to_pylist(), batch.column("id").to_pylist(), made, strict=True):
                 if key != (group, part):
                     out += union_links(ids, sets, similar)
                     key, ids, sets = (group, part), [], []
                 ids.append(i)
-                sets.append(shingles(text or b""))
+                sets.append(have)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []
@@ -116,21 +117,58 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def char_shingles(k: int) -> Callable[[bytes], np.ndarray]:
-    """Sorted distinct hashes of the k-byte shingles of a text."""
-    return lambda text: np.unique(hash_windows(np.frombuffer(text, np.uint8).astype(np.uint64), k))
+def distinct_parts(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct values of each successive part."""
+    out, at = [], 0
+    for n in counts.tolist():
+        part = np.sort(values[at : at + n])
+        if n > 1:
+            new = np.empty(n, bool)
+            new[0] = True
+            np.not_equal(part[1:], part[:-1], out=new[1:])
+            part = part[new]
+        out.append(part)
+        at += n
+    return out
+
+
+def packed_shingles(data: np.ndarray, k: int) -> np.ndarray:
+    """The k bytes (1 to 8) from each place on as one number, put together by doubling."""
+    out, width = data.astype(np.uint64), 1
+    while width < k:
+        step = min(width, k - width)
+        # the last ``step`` bytes of the later window go below; those that overlap are masked away
+        out = (out[:-step] << np.uint64(8 * step)) | (out[step:] & np.uint64((1 << 8 * step) - 1))
+        width += step
+    return out
+
+
+def char_shingles(k: int) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """Sorted distinct k-byte shingles (1 to 8 bytes, exact) of each text; a shorter text is one shingle, filled up with zero bytes in front."""
+
+    def shingles(texts: list[bytes]) -> list[np.ndarray]:
+        padded = [t if len(t) >= k else t.rjust(k, b"\0") for t in texts]
+        counts = np.fromiter(map(len, padded), np.int64, len(padded)) - k + 1
+        if not len(padded):
+            return []
+        packed = packed_shingles(np.frombuffer(b"".join(padded), np.uint8), k)
+        # windows across the border of two texts are left out
+        begins = np.concatenate(([0], np.cumsum(counts + k - 1)[:-1]))
+        inside = np.repeat(begins - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
+        return distinct_parts(packed[inside], counts)
+
+    return shingles
 
 
-def word_shingles(k: int) -> Callable[[bytes], np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased."""
+def word_shingles(k: int) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """Sorted distinct hashes of the k-word shingles of each text, A-Z lower-cased."""
     import xxhash
 
-    def shingles(text: bytes) -> np.ndarray:
+    def of(text: bytes) -> np.ndarray:
         words = text.lower().split()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        return np.unique(hash_windows(h, k))
+        return np.unique(hash_windows(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), k))
 
-    return shingles
+    return lambda texts: [of(t) for t in texts]
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
