@@ -302,5 +302,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without those that have a near copy with a smaller id; of each group the smallest id stays."""
-    dropped = near_groups(docs, id_col, text_col, **options).where("doc_id != keep_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("dropped_id"), "left_anti")
+    dropped = near_groups(docs, id_col, text_col, **options).where("doc_id != keep_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped_id"), "left_anti")

@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(theta_k - w . x) with one weight vector for all ordered thresholds theta. Grade 0 is a document
 labelled as not toxic; toxic ones have grades 1 to 3 by the terciles of how many of their words are marked. Features are
-sparse: log(1 + count) of words and of word beginnings of 4 to 6 bytes that mark toxic documents, chosen by a
+sparse: 1 + log(count) of words and of word beginnings of 4 to 6 bytes that mark toxic documents, chosen by a
 likelihood-ratio test with a bound for the number of features tested. The result is the expected severity, the sum of
 P(grade > k).
 
@@ -69,13 +69,14 @@ class Model:
 
     def grade_probabilities(self, latent: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.thresholds[None, :], -500, 500)))
+        above = 1 / (1 + np.exp(-np.clip(latent[:, None] - self.thresholds[None, :], -500, 500)))
+        return np.where(np.isinf(self.thresholds)[None, :], 0.0, above)
 
     def latent(self, counts: dict[int, int]) -> float:
-        return float(sum(self.weights[i] * math.log1p(n) for i, n in counts.items()))
+        return float(sum(self.weights[i] * (1 + math.log(n)) for i, n in counts.items()))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 5e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Proportional-odds fit by accelerated gradient; thresholds stay ordered as a first one plus exponentials."""
     n, d = x.shape
     share = np.array([np.clip((y <= k).mean(), 0.02, 0.98) for k in range(grades - 1)])
@@ -119,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = marks.count()
     # at most about ``sample`` rows of two numbers: a bounded broadcast
     chosen = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "l_id"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, sample / max(1, total))))
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("l_id"), "inner").select(F.col("l_id").alias("id"), "toxic", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("l_id"), "inner").select("id", "toxic", "text")
     rows = materialize(rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")), "toxic-sample")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = sorted(arrow_map(rows, vectors, "id long, toxic int, marked long, at array<int>, n array<long>").collect(), key=lambda r: r.id)
     x = np.zeros((len(got), len(index)))
     for i, r in enumerate(got):
-        x[i, r["at"]] = np.log1p(np.array(r["n"], float)) if r["n"] else 0
+        x[i, r["at"]] = 1 + np.log(np.array(r["n"], float)) if r["n"] else 0
     toxic, marked = np.array([r.toxic for r in got]), np.array([r.marked for r in got])
     cuts = np.quantile(marked[(toxic == 1) & (marked > 0)], [1 / 3, 2 / 3]) if ((toxic == 1) & (marked > 0)).any() else [1, 2]
     y = np.where(toxic == 1, 1 + (marked > cuts[0]) + (marked > cuts[1]), 0)
