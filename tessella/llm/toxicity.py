@@ -76,10 +76,17 @@ class Model:
         return float(sum(self.weights[i] * (1 + math.log(n)) for i, n in counts.items()))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 5e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Proportional-odds fit by accelerated gradient; thresholds stay ordered as a first one plus exponentials."""
-    n, d = x.shape
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: float = 2e-5, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """Proportional-odds fit by accelerated gradient; thresholds stay ordered as a first one plus exponentials.
+
+    Rows without any feature, most of them, count as one row for each grade, with its weight.
+    """
     share = np.array([np.clip((y <= k).mean(), 0.02, 0.98) for k in range(grades - 1)])
+    blank = ~x.any(axis=1)
+    weight = np.concatenate((np.ones(int((~blank).sum())), np.bincount(y[blank], minlength=grades)))
+    x, y = np.concatenate((x[~blank], np.zeros((grades, x.shape[1])))), np.concatenate((y[~blank], np.arange(grades)))
+    weight = weight / weight.sum()
+    d = x.shape[1]
     theta = np.log(share / (1 - share))
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades - 1))
     p = np.concatenate((np.zeros(d), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-2))))
@@ -91,14 +98,14 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, penalty: flo
         z = x @ w
         upper = np.where(y < grades - 1, sigmoid(theta[np.minimum(y, grades - 2)] - z), 1.0)
         lower = np.where(y > 0, sigmoid(theta[np.maximum(y - 1, 0)] - z), 0.0)
-        q = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) / q, lower * (1 - lower) / q
+        q = np.maximum(upper - lower, 1e-12)
+        du, dl = weight * upper * (1 - upper) / q, weight * lower * (1 - lower) / q
         g_theta = np.zeros(grades - 1)
         np.add.at(g_theta, np.minimum(y, grades - 2), np.where(y < grades - 1, -du, 0))
         np.add.at(g_theta, np.maximum(y - 1, 0), np.where(y > 0, dl, 0))
-        g = np.concatenate((x.T @ (du - dl) / n + penalty * w, [g_theta.sum() / n], g_theta[::-1].cumsum()[::-1][1:] / n * gaps))
+        g = np.concatenate((x.T @ (du - dl) + penalty * w, [g_theta.sum()], g_theta[::-1].cumsum()[::-1][1:] * gaps))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     w, gaps = p[:d], np.exp(np.clip(p[d + 1 :], -8, 4))
     return w, p[d] + np.concatenate(([0.0], np.cumsum(gaps)))
 
