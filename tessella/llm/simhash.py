@@ -256,11 +256,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 16, radius2: int = 28) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, radius2: int = 34) -> DataFrame:
     """Rows (doc_id, keep_id) for the documents that have a near copy: Jaccard of k-word shingle sets at or above threshold, over any chain of such links.
 
     Candidates come from fingerprints of 2 x 64 bits within radius (first half) and radius2 (both); at the threshold
-    the expected distance of both is 128 * acos(2t / (1 + t)) / pi = 19 bits with a deviation of 4.
+    the expected distance of both is 128 * acos(2t / (1 + t)) / pi = 19 bits with a deviation of 4, and 26 for texts of a
+    dozen shingles.
     """
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
