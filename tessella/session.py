@@ -67,6 +67,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shared(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all plans so far; results that still read them must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessella")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def default_partitions(spark: SparkSession) -> int:
     """The number of partitions that shuffles use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
