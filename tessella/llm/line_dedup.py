@@ -29,6 +29,8 @@ from .verify import char_shingles, mix64, packed_shingles, verified_links
 K, BANDS, ROWS, THRESHOLD, MIN_BYTES = 7, 12, 4, 0.8, 20
 #: Distinct lines that a task remembers to make their signatures only once, and bytes whose shingles it hashes at once.
 SEEN, CHUNK_BYTES = 200_000, 1 << 21
+#: Band keys that a task packs at once.
+PACKED_KEYS = 1 << 19
 
 
 def normal_lines(text: bytes, min_bytes: int) -> Iterator[tuple[int, bytes]]:
@@ -97,13 +99,30 @@ def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Members (group, id) of the buckets with two or more different lines; buckets with the same members are one."""
+    """Members (group, id) of the buckets with two or more different lines. A group has the smallest id of its members as its name, so the buckets of all bands in which a line comes first are one group.
+
+    Band keys travel packed: a task sends arrays of (key, id) to each partition of the shuffle instead of a row for each
+    key, and the receiving task, which holds its share of the keys, sorts them as arrays.
+    """
+    parts = default_partitions(rows.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-
-        def keyed(ids: list[int], forms: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(band_keys(forms, k, bands, n_rows).view(np.int64).ravel()), pa.array(np.repeat(np.array(ids, np.int64), bands))], names=["key", "id"])
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sign(ids: list[int], forms: list[bytes]) -> None:
+            made.append((band_keys(forms, k, bands, n_rows).ravel(), np.repeat(np.array(ids, np.int64), bands)))
+
+        def packed() -> pa.RecordBatch:
+            key, own = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+            made.clear()
+            to = (key % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            key, own, to = key[order], own[order], to[order]
+            begins = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            ends = np.append(begins[1:], len(to))
+            blobs = [np.stack((key[a:b].view(np.int64), own[a:b])).tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(to[begins]), pa.array(blobs, pa.binary())], names=["part", "packed"])
 
         ids, forms, held = [], [], 0
         for batch in batches:
@@ -119,55 +138,41 @@ def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS,
                     forms.append(form)
                     held += len(form)
                     if held >= CHUNK_BYTES:
-                        yield keyed(ids, forms)
+                        sign(ids, forms)
                         ids, forms, held = [], [], 0
+                        if sum(len(m[0]) for m in made) >= PACKED_KEYS:
+                            yield packed()
         if ids:
-            yield keyed(ids, forms)
+            sign(ids, forms)
+        if made:
+            yield packed()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waiting = None, []
-
-        def close(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-            members = np.unique(np.concatenate(ids))
-            if len(members) < 2:
-                return None
-            # the group's name is a hash of its members
-            with np.errstate(over="ignore"):
-                name = mix64(members.view(np.uint64)).sum(dtype=np.uint64) ^ np.uint64(len(members))
-            return np.full(len(members), name, np.uint64).view(np.int64), members
-
-        def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["group", "id"])
-
+        got: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            if not len(key):
-                continue
-            begins = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
-            found = []
-            if key[0] != last and waiting:
-                found.append(close(waiting))
-                waiting = []
-            # inner runs of one row are of no use; only the longer ones are looked at
-            size = np.diff(begins)
-            for r in np.flatnonzero(size > 1).tolist() if len(size) > 2 else []:
-                if 0 < r < len(size) - 1:
-                    found.append(close([ids[begins[r] : begins[r + 1]]]))
-            first = ids[begins[0] : begins[1]]
-            if len(size) > 1:
-                found.append(close([*waiting, first]))
-                waiting = [ids[begins[-2] :]]
-            else:
-                waiting.append(first)
-            last = key[-1]
-            if found := [f for f in found if f]:
-                yield out(found)
-        if waiting and (f := close(waiting)):
-            yield out([f])
-
-    keyed = arrow_map(rows.select("text"), keys, "key long, id long")
-    members = arrow_map(keyed.repartition(default_partitions(rows.sparkSession), "key").sortWithinPartitions("key"), runs, "group long, id long")
-    return members.distinct()
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                got.setdefault(part, []).append(np.frombuffer(blob, np.int64).reshape(2, -1))
+        for part in list(got):
+            key, own = np.concatenate(got.pop(part), axis=1)
+            order = np.argsort(key)
+            key = key[order]
+            same = key[1:] == key[:-1]
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            key, own = key[shared], own[order[shared]]
+            order = np.lexsort((own, key))
+            key, own = key[order], own[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+            key, own = key[new], own[new]
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begins, len(key)))
+            lead = np.repeat(own[begins], size)
+            several = np.repeat(size > 1, size)
+            pairs = np.unique(np.stack((lead[several], own[several]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["group", "id"])
+
+    packed_keys = arrow_map(rows.select("text"), keys, "part int, packed binary")
+    return arrow_map(packed_keys.repartitionById(parts, F.col("part")), runs, "group long, id long").distinct()
 
 
 def line_texts(rows: DataFrame, members: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
