@@ -33,10 +33,16 @@ SEEN, CHUNK_BYTES = 200_000, 1 << 21
 PACKED_KEYS = 1 << 19
 
 
+_NOT_NORMAL = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
 def normal_lines(text: bytes, min_bytes: int) -> Iterator[tuple[int, bytes]]:
     """(number, normal form) of the lines that count."""
-    for number, line in enumerate(text.lower().split(b"\n")):
-        form = b" ".join(line.split())
+    text = text.lower()
+    # most texts have no white space that the normal form would change
+    normal = not (text.startswith(b" ") or text.endswith(b" ") or any(w in text for w in _NOT_NORMAL))
+    for number, line in enumerate(text.split(b"\n")):
+        form = line if normal else b" ".join(line.split())
         if len(form) >= min_bytes:
             yield number, form
 
@@ -212,7 +218,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, k: int, bands: in
     table = materialize(named.union(single), "line-table")
     found = hot_lookup(occ, "id", table, "node", "n", occ.count())
     gone = found.where("place != keep.place or line_no != keep.line_no")
-    return gone.groupBy("place").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    return gone.groupBy("place").agg(F.sort_array(F.array_distinct(F.collect_list("line_no"))).alias("dropped"))
 
 
 def _place(id_col: str) -> Column:

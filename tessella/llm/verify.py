@@ -21,10 +21,15 @@ def union_links(ids: list[int], sets: list[np.ndarray], similar: Callable[[np.nd
     Each member is compared with the members of every component so far until one is similar, largest component
     first; pairs inside a component need no comparison.
     """
+    if len(ids) == 2:
+        if similar(sets[0], sets[1]):
+            yield ids[0], ids[1]
+        return
     components: list[list[int]] = []
     for i in range(len(ids)):
         joined = None
-        for c in sorted(range(len(components)), key=lambda c: -len(components[c])):
+        order = range(len(components))
+        for c in order if len(components) < 3 else sorted(order, key=lambda c: -len(components[c])):
             if any(similar(sets[i], sets[j]) for j in components[c]):
                 if joined is None:
                     yield ids[components[c][0]], ids[i]
@@ -49,8 +54,9 @@ def jaccard_at_least(threshold: float) -> Callable[[np.ndarray, np.ndarray], boo
             return False
         if not len(large):
             return True
-        at = np.searchsorted(large, small)
-        shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
+        at = large.searchsorted(small)
+        at[at == len(large)] = 0
+        shared = int(np.count_nonzero(large[at] == small))
         return shared >= threshold * (len(small) + len(large) - shared) - 1e-9
 
     return similar
