@@ -31,8 +31,10 @@ from .verify import batches_of, hash_windows, verified_links, word_shingles
 
 #: Fingerprints of a cell that one task holds as its own.
 CELL_BLOCK = 20_000
-#: Pairs that are compared at once.
-CHUNK = 1 << 21
+#: Pairs that are compared at once: on arrays that stay in the cache, or gathered from several cells.
+PLAIN_CHUNK, CHUNK = 1 << 18, 1 << 21
+#: From this radius on segment counts exclude too few pairs of random fingerprints to be worth a look.
+PLAIN_RADIUS = 10
 
 
 def bit_majority(hashes: list[int] | np.ndarray) -> int:
@@ -146,37 +148,58 @@ class CellJoin:
         yield from self._match(points, base, inside=False)
 
     def _match(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[int, int]]:
+        for a, b in self._plain(points, base, inside) if self.radius >= PLAIN_RADIUS else self._by_cells(points, base, inside):
+            keep = a != b
+            a, b = a[keep], b[keep]
+            if len(a) and (self.radius2 is not None or self.ratio is not None):
+                x, y = self.all[a], self.all[b]
+                ok = np.ones(len(a), bool)
+                if self.radius2 is not None:
+                    both = np.bitwise_count((x[:, 1] ^ y[:, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64))
+                    ok &= both <= self.radius2
+                if self.ratio is not None:
+                    ok &= np.minimum(x[:, 3], y[:, 3]) >= self.ratio * np.maximum(x[:, 3], y[:, 3]) - 1e-9
+                a, b = a[ok], b[ok]
+            for x, y in self.joined.merging(a, b):
+                yield int(self.all[x, 0]), int(self.all[y, 0])
+
+    def _plain(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius, all points against all of the cell's own in blocks."""
+        fp, some, wide = self.own[:, 1].view(np.uint64), points[:, 1].view(np.uint64), 8192
+        for first in range(0, len(some), PLAIN_CHUNK // wide):
+            mine = some[first : first + PLAIN_CHUNK // wide]
+            for at in range(first // wide * wide if inside else 0, len(fp), wide):
+                own = fp[at : at + wide]
+                hit = np.flatnonzero(np.bitwise_count(mine[:, None] ^ own[None, :]) <= self.radius)
+                if len(hit):
+                    yield at + hit % len(own), base + first + hit // len(own)
+
+    def _by_cells(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius, only between cells of segment counts whose Manhattan distance is within it."""
         counts = segment_counts(points[:, 1].view(np.uint64))
         new = np.ones(len(points), bool)
         new[1:] = (counts[1:] != counts[:-1]).any(axis=1)
         begins = np.append(np.flatnonzero(new), len(points))
-        fp = self.own[:, 1].view(np.uint64)
-        for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            near = np.abs(self.cells - counts[lo]).sum(axis=1) <= self.radius
-            at = np.flatnonzero(np.repeat(near, self.length))
-            if inside:
-                at = at[at >= lo]
-            if not len(at):
-                continue
-            step = max(1, CHUNK // len(at))
-            mine = fp[at]
-            for first in range(lo, hi, step):
-                some = points[first : min(first + step, hi), 1].view(np.uint64)
-                i, j = np.nonzero(np.bitwise_count(some[:, None] ^ mine[None, :]) <= self.radius)
-                a, b = at[j], base + first + i
-                if self.radius2 is not None or self.ratio is not None:
-                    keep = a != b
-                    a, b = a[keep], b[keep]
-                    x, y = self.all[a], self.all[b]
-                    ok = np.ones(len(a), bool)
-                    if self.radius2 is not None:
-                        both = np.bitwise_count((x[:, 1] ^ y[:, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64))
-                        ok &= both <= self.radius2
-                    if self.ratio is not None:
-                        ok &= np.minimum(x[:, 3], y[:, 3]) >= self.ratio * np.maximum(x[:, 3], y[:, 3]) - 1e-9
-                    a, b = a[ok], b[ok]
-                for x, y in self.joined.merging(a, b):
-                    yield int(self.all[x, 0]), int(self.all[y, 0])
+        fp, at_own = self.own[:, 1].view(np.uint64), np.cumsum(self.length) - self.length
+        for first in range(0, len(begins) - 1, 256):
+            some = begins[first : first + 257]
+            apart = sum(np.abs(self.cells[None, :, d] - counts[some[:-1], d][:, None]) for d in range(4))
+            row, cell = np.nonzero(apart <= self.radius)
+            ends = np.searchsorted(row, np.arange(len(some)))
+            for k in range(len(some) - 1):
+                lo, hi = int(some[k]), int(some[k + 1])
+                near = cell[ends[k] : ends[k + 1]]
+                size = self.length[near]
+                at = np.repeat(at_own[near] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                if inside:
+                    at = at[at >= lo]
+                if not len(at):
+                    continue
+                step, mine = max(1, CHUNK // len(at)), fp[at]
+                for here in range(lo, hi, step):
+                    hit = np.flatnonzero(np.bitwise_count(points[here : min(here + step, hi), 1].view(np.uint64)[:, None] ^ mine[None, :]) <= self.radius)
+                    if len(hit):
+                        yield at[hit % len(at)], base + here + hit // len(at)
 
 
 def hamming_links(points: DataFrame, radius: int, radius2: int | None = None, ratio: float | None = None) -> DataFrame:
