@@ -13,9 +13,9 @@ from .common import LINES_SQL, query
 
 @query(f"""WITH {LINES_SQL} SELECT sha1, count(*) AS copies, CAST(count(*) - 1 AS BIGINT) AS dups FROM chunks GROUP BY sha1""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as a stream through stateful dedup; copies and flagged duplicates of each fingerprint."""
+    """Lines as a stream through dedup with a fingerprint index; copies and flagged duplicates of each fingerprint."""
     lines = chunking.line_chunks(streams.read_table_stream(spark, sf_dir, "documents"), "doc_id", "text")
-    flagged = streams.run_to_table(streams.flag_duplicates(lines))
+    flagged = streams.flag_to_table(lines)
     return flagged.groupBy("sha1").agg(F.count(F.lit(1)).alias("copies"), F.count(F.when(F.col("is_dup"), 1)).alias("dups"))
 
 

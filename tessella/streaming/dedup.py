@@ -32,19 +32,53 @@ def flag_duplicates(chunks: DataFrame) -> DataFrame:
     ship(chunks.sparkSession)
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(["file_idx", "l2"])
+        rows = sorted(row for pdf in frames for row in zip(pdf["file_idx"].tolist(), pdf["l2"].tolist(), pdf["n"].tolist(), strict=True))
         known = state.exists
-        first = state.get if known else (int(pdf.file_idx.iloc[0]), int(pdf.l2.iloc[0]))
+        first = state.get if known else rows[0][:2]
         if not known:
             state.update(first)
-        own = (pdf.file_idx == first[0]) & (pdf.l2 == first[1])
-        yield pd.DataFrame({"file_idx": pdf.file_idx, "l2": pdf.l2, "n": pdf.n, "sha1": key[0], "is_dup": True if known else ~own, "first_file": first[0], "first_l2": first[1]})
+        f, l2, n = zip(*rows, strict=True)
+        m = len(rows)
+        yield pd.DataFrame({"file_idx": f, "l2": l2, "n": n, "sha1": [key[0]] * m, "is_dup": [known or r[:2] != first for r in rows], "first_file": [first[0]] * m, "first_l2": [first[1]] * m}, copy=False)
 
     return chunks.select("file_idx", "l2", "n", "sha1").groupBy("sha1").applyInPandasWithState(
         run, "file_idx long, l2 int, n long, sha1 string, is_dup boolean, first_file long, first_l2 int", "first_file long, first_l2 int", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def flag_to_table(chunks: DataFrame) -> DataFrame:
+    """Like flag_duplicates(), over all that is there, with the fingerprint index as a table instead of a state.
+
+    A micro-batch reduces its chunks to the first place of each fingerprint, looks those up in the index, appends the
+    new ones and flags its chunks; all in built-in operators. Index and results have a folder for each batch, which a
+    repeated batch overwrites, so each batch counts once.
+    """
+    spark = chunks.sparkSession
+    base = f"{shared_dir(spark)}/tessella/stream-{uuid.uuid4().hex}"
+    index_schema = "sha1 string, first_file long, first_l2 int, batch long"
+    out_schema = "file_idx long, l2 int, n long, sha1 string, is_dup boolean, first_file long, first_l2 int"
+    batches: list[int] = []
+
+    def take(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        rows = df.select("file_idx", "l2", "n", "sha1")
+        own = rows.groupBy("sha1").agg(F.min(F.struct("file_idx", "l2")).alias("place"))
+        earlier = [f"{base}/index/{b}" for b in batches if b < batch]
+        known = session.read.schema(index_schema).parquet(*earlier) if earlier else session.createDataFrame([], index_schema)
+        found = own.join(known.select(F.col("sha1").alias("k"), "first_file", "first_l2"), F.col("sha1") == F.col("k"), "left")
+        new = found.where("k is null").select("sha1", F.col("place.file_idx").alias("first_file"), F.col("place.l2").cast("int").alias("first_l2"), F.lit(batch).cast("long").alias("batch"))
+        new.write.mode("overwrite").parquet(f"{base}/index/{batch}")
+        batches.append(batch)
+        index = session.read.schema(index_schema).parquet(*[f"{base}/index/{b}" for b in sorted({*batches})])
+        flagged = rows.join(index.withColumnRenamed("sha1", "k"), F.col("sha1") == F.col("k"))
+        dup = (F.col("batch") < batch) | (F.col("file_idx") != F.col("first_file")) | (F.col("l2") != F.col("first_l2"))
+        flagged.select("file_idx", "l2", "n", "sha1", dup.alias("is_dup"), "first_file", "first_l2").write.mode("overwrite").parquet(f"{base}/out/{batch}")
+
+    chunks.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(take).start().awaitTermination()
+    done = [f"{base}/out/{b}" for b in sorted({*batches})]
+    return spark.read.schema(out_schema).parquet(*done) if done else spark.createDataFrame([], out_schema)
+
+
 def drop_duplicates_within(chunks: DataFrame, ts: str, delay: str) -> DataFrame:
     """A stream without repeats of a fingerprint within the delay: bounded state, an extension for endless streams."""
     return chunks.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["sha1"])

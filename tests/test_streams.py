@@ -23,6 +23,14 @@ def test_stateful_dedup_over_batches(spark, tmp_path):
     assert sum(r.is_dup for r in out if r.sha1 == "a") == 2
 
 
+def test_index_and_state_agree(spark, tmp_path):
+    _write(spark, str(tmp_path), [[(0, 0, 5, "a"), (0, 1, 5, "a"), (0, 2, 3, "b")], [(1, 0, 5, "a"), (1, 1, 2, "c"), (1, 2, 2, "c")], [(2, 0, 3, "b")]])
+    got = streams.flag_to_table(_stream(spark, str(tmp_path))).collect()
+    assert len(got) == 7 and sorted(r.sha1 for r in got if not r.is_dup) == ["a", "b", "c"]
+    state = streams.run_to_table(streams.flag_duplicates(_stream(spark, str(tmp_path)))).collect()
+    assert sum(r.is_dup for r in state) == sum(r.is_dup for r in got)
+
+
 def test_emission_in_order(spark, tmp_path):
     _write(spark, str(tmp_path), [[(0, 2, 1, ""), (0, 1, 1, "")], [(0, 0, 1, ""), (1, 0, 1, "")], [(0, 4, 1, ""), (0, 3, 1, "")]])
     out = streams.run_to_table(streams.emit_in_order(_stream(spark, str(tmp_path))))
