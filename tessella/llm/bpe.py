@@ -29,14 +29,52 @@ import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import arrow_map
 
 #: Words whose encoding a task remembers.
-CACHE = 250_000
-#: Unicode White_Space; the word pattern of the vocabulary file (fixed values).
+CACHE = 120_000
+#: Unicode White_Space, as the word pattern of the vocabulary file has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+
+
+def character_kinds(path: str) -> np.ndarray:
+    """For each code point L, N or another letter, by its general category.
+
+    Python and the regex module know different versions of Unicode; where they differ, the pre-tokenizer of the
+    vocabulary file is asked whether the character joins a letter, stands alone or joins a symbol.
+    """
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = np.full(0x110000, "S")
+    kinds[points] = [unicodedata.category(chr(c))[0] for c in points]
+    newer = np.full(0x110000, "S")
+    for kind in "LN":
+        newer[[ord(c) for c in regex.findall(rf"\p{{{kind}}}", "".join(map(chr, points)))]] = kind
+    known = np.where(np.isin(kinds, ["L", "N"]), kinds, "S")
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    for c in np.flatnonzero(known != newer).tolist():
+        pieces = split(f"a{chr(c)}!")
+        known[c] = "N" if len(pieces) == 3 else "L" if pieces[0][1][1] > 1 else "S"
+    return known
+
+
+def character_class(kinds: np.ndarray, kind: str) -> str:
+    """The characters of a kind as ranges of a character class."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], kinds == kind, [False])).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def words_pattern(path: str) -> re.Pattern:
+    """The vocabulary file's word pattern."""
+    kinds = character_kinds(path)
+    letter, number = character_class(kinds, "L"), character_class(kinds, "N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+")
+
+
+#: The same pattern for lower-cased text of ASCII and Latin letters only, and what makes a text another one.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff\u0101-\u017f]+|[0-9]|[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+")
+NOT_PLAIN = re.compile(r"[^\x00-\x7f\xdf-\xf6\xf8-\xff\u0101-\u017f]")
 NEVER = 1 << 40
 
 
@@ -69,33 +107,46 @@ class Vocabulary:
             self.merges[a, b] = rank, made
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, a, b
+        self.made = [m for _, m in self.merges.values()]
         keys = np.array([a * size + b for a, b in self.merges], np.int64)
         order = np.argsort(keys)
         self.size, self.keys, self.key_rank = size, keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.letters = {i: c for i, c in enumerate(byte_letters())}
-        # the longest token for each pair of first letters, with and without the end mark
+        # length of the longest token for each beginning of up to four letters, the end mark not counted
         self.longest: dict[str, int] = {}
         for token in self.ids:
             bare = token.removesuffix(self.suffix) if self.suffix and token != self.suffix else token
-            self.longest[bare[:2]] = max(self.longest.get(bare[:2], 1), len(bare))
+            for n in range(1, min(4, len(bare)) + 1):
+                self.longest[bare[:n]] = max(self.longest.get(bare[:n], 1), len(bare))
+        self.rank_of = {a * size + b: r for (a, b), (r, _) in self.merges.items()}
+        self.pattern = words_pattern(path)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
         """The words of a piece of text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+        if text.isascii():
+            return PLAIN_WORDS.findall(text.lower())
+        # composition and lower-casing leave plain text plain
+        lower = text.lower()
+        if not NOT_PLAIN.search(lower):
+            return PLAIN_WORDS.findall(lower)
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def greedy(self, letters: str) -> list[int]:
         """Proposal: the longest token at each place."""
-        ids, longest, suffix, out, at, n = self.ids, self.longest, self.suffix, [], 0, len(letters)
+        ids, longest, out, at, n = self.ids.get, self.longest.get, [], 0, len(letters)
+        marked = letters + self.suffix
         while at < n:
-            end = min(n, at + longest.get(letters[at : at + 2], 1))
-            while True:
-                got = ids.get(letters[at:end] + suffix if end == n else letters[at:end])
+            # if no token begins with the next four letters, three are the most
+            end = at + longest(letters[at : at + 4], 3)
+            if end >= n:
+                got, end = ids(marked[at:]), n
                 if got is not None:
+                    out.append(got)
                     break
                 end -= 1
+            while (got := ids(letters[at:end])) is None:
+                end -= 1
             out.append(got)
             at = end
         return out
@@ -125,9 +176,30 @@ class Vocabulary:
         return ok
 
     def exact(self, letters: str) -> list[int]:
-        """Merges by rank, further left first, with a heap over linked symbols."""
-        n = len(letters)
+        """Merges by rank, further left first."""
         token = [self.ids[c] for c in letters[:-1]] + [self.ids[letters[-1] + self.suffix]]
+        return self._merge_short(token) if len(token) <= 64 else self._merge_long(token)
+
+    def _merge_short(self, token: list[int]) -> list[int]:
+        """The least rank is looked up in a list."""
+        get, made, size = self.rank_of.get, self.made, self.size
+        rank = [get(a * size + b, NEVER) for a, b in zip(token, token[1:], strict=False)]
+        while rank:
+            least = min(rank)
+            if least == NEVER:
+                break
+            i = rank.index(least)
+            new = token[i] = made[least]
+            del token[i + 1], rank[i]
+            if i:
+                rank[i - 1] = get(token[i - 1] * size + new, NEVER)
+            if i < len(rank):
+                rank[i] = get(new * size + token[i + 1], NEVER)
+        return token
+
+    def _merge_long(self, token: list[int]) -> list[int]:
+        """A heap over linked symbols."""
+        n = len(token)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(self.merges[p][0], i, p) for i in range(n - 1) if (p := (token[i], token[i + 1])) in self.merges]
         heapq.heapify(heap)
@@ -173,43 +245,74 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of words."""
+    """Encodes texts with a bounded memory of words: the recent ones and, until that is full, those before."""
 
     def __init__(self, vocabulary: Vocabulary, cache: int = CACHE) -> None:
-        self.v, self.cache, self.known = vocabulary, cache, {}
+        self.v, self.cache, self.known, self.old = vocabulary, cache, {}, {}
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes the words known."""
+        if len(self.known) > self.cache:
+            self.known, self.old = {}, self.known
+        else:
+            words = words.difference(self.known)
+        if self.old:
+            found = {w: self.old[w] for w in words if w in self.old}
+            self.known.update(found)
+            words = words.difference(found)
+        if words:
+            self.known.update(self.v.encode_words(words))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         v = self.v
         docs = [[(special, [p] if special else v.words(p)) for special, p in v.pieces(t)] for t in texts]
-        new = {w for d in docs for special, words in d if not special for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.cache:
-            self.known = {}
-            new = {w for d in docs for special, words in d if not special for w in words}
-        if new:
-            self.known.update(v.encode_words(new))
+        words: set[str] = set()
+        for d in docs:
+            for special, ws in d:
+                if not special:
+                    words.update(ws)
+        self._learn(words)
         get = self.known.__getitem__
-        return [list(chain.from_iterable([v.special[words[0]]] if special else chain.from_iterable(map(get, words)) for special, words in d)) for d in docs]
+        return [list(chain.from_iterable([v.special[ws[0]]] if special else chain.from_iterable(map(get, ws)) for special, ws in d)) for d in docs]
+
 
+_encoders: dict[int, Encoder] = {}
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, ids array<int>; with carry those columns too, prefixed by ``c_``.
+
+def worker_encoder(number: int, vocabulary: Vocabulary) -> Encoder:
+    """The Python worker's encoder for a broadcast vocabulary: the words that a task has met are known to the worker's next one."""
+    if number not in _encoders:
+        _encoders.clear()
+        _encoders[number] = Encoder(vocabulary)
+    return _encoders[number]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, ids array<int>; with carry those columns too, prefixed by ``c_``; with decoded the text that the ids decode to.
 
     The vocabulary's tables are read on the driver from path and broadcast; their size is that of the vocabulary.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    number = vocabulary._jbroadcast.id()  # the worker must not hold the words of another vocabulary
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry or []])
     kept = [c for c in chosen.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder, strings = worker_encoder(number, vocabulary.value), pa.array(vocabulary.value.strings)
         for batch in batches:
             for at in range(0, len(batch), 250):
                 part = batch.slice(at, 250)
                 ids = pa.array(encoder.encode_batch(part.column("text").to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], ids], names=[*kept, "ids"])
+                texts = [decode_lists(ids, strings)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], ids, *texts], names=[*kept, "ids", *["decoded"] * decoded])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text")
-    return arrow_map(chosen, run, f"{schema}, ids array<int>")
+    return arrow_map(chosen, run, f"{schema}, ids array<int>" + ", decoded string" * decoded)
+
+
+def decode_lists(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
+    """The text of each list of ids."""
+    return pc.binary_join(pa.ListArray.from_arrays(_offsets(ids), strings.take(ids.flatten())), " ")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -221,9 +324,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 250):
                 part = batch.slice(at, 250)
-                ids = part.column(ids_col)
-                texts = pa.ListArray.from_arrays(_offsets(ids), strings.take(ids.flatten()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(texts, " ")], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(ids_col), strings)], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return arrow_map(encoded, run, f"{schema}, decoded string")

@@ -75,8 +75,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    back = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 

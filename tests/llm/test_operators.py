@@ -57,6 +57,13 @@ def test_band_keys_of_short_and_equal_lines():
     assert (keys[0] == keys[1]).all() and (keys[0] != keys[2]).all() and keys.shape == (3, line_dedup.BANDS)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"Ab", b"c", b" ", b"  ", b"\n", b"\t", b"\r", b"\x0b"]), max_size=12).map(b"".join))
+def test_normal_lines(text):
+    want = [(i, b" ".join(x.split())) for i, x in enumerate(text.lower().split(b"\n"))]
+    assert list(line_dedup.normal_lines(text, 1)) == [(i, x) for i, x in want if x]
+
+
 def test_band_recall():
     rng = random.Random(1)
     met = total = 0
@@ -428,6 +435,7 @@ def test_bpe_tables(spark, small, odd, empty, library):
     for r in back:
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert sorted((r.doc_id, r.decoded) for r in bpe.encode(small, PATH, decoded=True).collect()) == sorted((r.doc_id, r.decoded) for r in back)
     assert bpe.encode(odd, PATH).count() == 10 and bpe.decode(bpe.encode(empty, PATH), PATH).count() == 0
     assert bpe.encode(odd, PATH, carry=odd.columns).columns[1:-1] == [f"c_{c}" for c in odd.columns]
 
