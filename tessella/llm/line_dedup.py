@@ -6,9 +6,10 @@ bins taking their next neighbour's value; lines that agree in all rows of a band
 rows a pair of Jaccard similarity s meets with probability 1 - (1 - s^4)^12: 0.998 at 0.8 and 0.99999 at 0.9. Buckets
 are verified on the exact shingle sets, the verified links go through distributed union-find, and of each component the
 line that comes first (smallest doc_id, then line number) stays; all its other occurrences go, equal lines included.
+A line of under k bytes is one shingle as a whole, so it is similar to its equals only, which its id finds.
 
-Defined results: a null text has no lines and stays null; lines whose normal form has under MIN_BYTES bytes, blank ones
-included, are never compared or dropped; rows that repeat a doc_id are treated alike, as one document; a null doc_id
+Defined results: a null text has no lines and stays null; blank lines (under MIN_BYTES bytes in normal form) are never
+compared or dropped, lines of any other length are; rows that repeat a doc_id are treated alike, as one document; a null doc_id
 comes first; an empty table gives an empty result; other columns pass unchanged, but for ones named like the two new ones.
 """
 
@@ -26,7 +27,7 @@ from .common import FILTER_BITS, arrow_map, default_partitions, hash_filter, hot
 from .components import connected_components
 from .verify import char_shingles, mix64, packed_shingles, verified_links
 
-K, BANDS, ROWS, THRESHOLD, MIN_BYTES = 7, 12, 4, 0.8, 20
+K, BANDS, ROWS, THRESHOLD, MIN_BYTES = 7, 12, 4, 0.8, 1
 #: Distinct lines that a task remembers to make their signatures only once, and bytes whose shingles it hashes at once.
 SEEN, CHUNK_BYTES = 200_000, 1 << 21
 #: Band keys that a task packs at once.
@@ -106,11 +107,12 @@ def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Members (group, id) of the buckets with two or more different lines. A group has the smallest id of its members as its name, so the buckets of all bands in which a line comes first are one group.
+    Lines of under k bytes have no near copies and no keys.
 
     Band keys travel packed: a task sends arrays of (key, id) to each partition of the shuffle instead of a row for each
     key, and the receiving task, which holds its share of the keys, sorts them as arrays.
     """
-    parts = default_partitions(rows.sparkSession)
+    parts, least = default_partitions(rows.sparkSession), max(min_bytes, k)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -133,7 +135,7 @@ def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS,
         ids, forms, held = [], [], 0
         for batch in batches:
             for text in _texts(batch):
-                for _, form in normal_lines(text or b"", min_bytes):
+                for _, form in normal_lines(text or b"", least):
                     i = _id(form)
                     if i in seen:
                         continue
@@ -181,8 +183,8 @@ def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS,
     return arrow_map(packed_keys.repartitionById(parts, F.col("part")), runs, "group long, id long").distinct()
 
 
-def line_texts(rows: DataFrame, members: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id, text) of the members' lines, one row for each; lines that aren't members are stopped in the scan by a filter of fixed size."""
+def line_texts(rows: DataFrame, members: DataFrame, least: int = K) -> DataFrame:
+    """(id, text) of the members' lines, one row for each; lines that aren't members are stopped in the scan by a filter of fixed size, those of under ``least`` bytes before it."""
     held = rows.sparkSession.sparkContext.broadcast(bytes(hash_filter(members)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def line_texts(rows: DataFrame, members: DataFrame, min_bytes: int = MIN_BYTES)
         for batch in batches:
             ids, forms = [], []
             for text in _texts(batch):
-                for _, form in normal_lines(text or b"", min_bytes):
+                for _, form in normal_lines(text or b"", least):
                     ids.append(_id(form))
                     forms.append(form)
             ids = np.array(ids, np.int64)
@@ -208,7 +210,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, k: int, bands: in
     texts = docs.select(_place(id_col).alias("place"), F.col(text_col).alias("text"))
     occ = materialize(occurrences(texts, min_bytes), "line-occurrences")
     members = materialize(buckets(texts, k, bands, rows, min_bytes), "line-members")
-    links = materialize(verified_links(members, line_texts(texts, members, min_bytes), char_shingles(k), threshold), "line-links")
+    links = materialize(verified_links(members, line_texts(texts, members, max(min_bytes, k)), char_shingles(k), threshold), "line-links")
     comps = connected_components(links)
     lines = materialize(occ.groupBy("id").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
     linked = comps.join(lines, F.col("node") == F.col("id")).select("node", "root", "first", "n")

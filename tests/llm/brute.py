@@ -45,6 +45,35 @@ def dropped_lines(docs, k=7, threshold=0.8, least=20):
     return dict(out)
 
 
+def dropped_of_rows(rows, k=7, threshold=0.8):
+    """Set of dropped line numbers of each of [(order, text)], all lines but blank ones taken; a line of under k bytes is one shingle."""
+    places, forms = [], {}
+    for at in sorted(range(len(rows)), key=lambda i: (rows[i][0], i)):
+        for n, line in enumerate((rows[at][1] or "").encode().lower().split(b"\n")):
+            form = b" ".join(line.split())
+            if form:
+                places.append((at, n, forms.setdefault(form, len(forms))))
+    sets = [{f[i : i + k] for i in range(max(1, len(f) - k + 1))} for f in forms]
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            having[x].append(i)
+    u = Union(len(sets))
+    for i, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for j in having[x]:
+                shared[j] += 1
+        for j, n in shared.items():
+            if j < i and n >= threshold * (len(s) + len(sets[j]) - n) - 1e-9:
+                u.join(i, j)
+    first, out = {}, [set() for _ in rows]
+    for at, n, f in places:
+        if first.setdefault(u.find(f), (at, n)) != (at, n):
+            out[at].add(n)
+    return out
+
+
 def simhash(text, k=4):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []

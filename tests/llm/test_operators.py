@@ -35,6 +35,14 @@ def test_line_dedup_equals_brute_force(small):
     assert got == want and len(want) > 20
 
 
+def test_line_dedup_takes_short_lines(spark):
+    texts = ["Ok.\n\nand ornd.\na line that stays", "ok.\n \nand  ornd.\nx", "in in oredble ea.\nX\n\nin in oredble ea!", "in in oredble ea\nabcdef\nabcdefg", "bcdefg\n\0abcdef\nno", "ABCDEF\n\nno\nabcdefgh"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [set(got[i].line_dropped) for i, _ in rows] == brute.dropped_of_rows(rows)
+    assert got[1].text == " \nx" and got[2].text == "in in oredble ea.\n" and got[5].text == "\nabcdefgh"
+
+
 def test_line_dedup_texts(small):
     texts = dict(pairs(small))
     for r in line_dedup.line_dedup(small).collect():
