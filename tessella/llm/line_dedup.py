@@ -5,12 +5,14 @@ ends. A signature has the minimum of the k-byte shingle hashes in each of BANDS
 bins taking their next neighbour's value; lines that agree in all rows of a band share a bucket. With 12 bands of 4
 rows a pair of Jaccard similarity s meets with probability 1 - (1 - s^4)^12: 0.998 at 0.8 and 0.99999 at 0.9. Buckets
 are verified on the exact shingle sets, the verified links go through distributed union-find, and of each component the
-line that comes first (smallest doc_id, then line number) stays; all its other occurrences go, equal lines included.
-A line of under k bytes is one shingle as a whole, so it is similar to its equals only, which its id finds.
+line that comes first (smallest doc_id, then part (below), then line number) stays; all its other occurrences go, equal
+lines included. A line of under k bytes is one shingle as a whole, so it is similar to its equals only, which its id finds.
 
 Defined results: a null text has no lines and stays null; blank lines (under MIN_BYTES bytes in normal form) are never
-compared or dropped, lines of any other length are; rows that repeat a doc_id are treated alike, as one document; a null doc_id
-comes first; an empty table gives an empty result; other columns pass unchanged, but for ones named like the two new ones.
+compared or dropped, lines of any other length are; rows that repeat a doc_id and its text are treated alike, as one
+document; different texts of a doc_id are documents of their own, their parts being hashes of the texts; a null doc_id
+names no document, so each row that has one is a document of its own (its part is the row's number) and comes first; an
+empty table gives an empty result; other columns pass unchanged, but for ones named like the two new ones.
 """
 
 from __future__ import annotations
@@ -90,19 +92,20 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(place, line_no, id) of each line of rows (place, text) that counts; id is a hash of the normal form."""
+    """(place, part, line_no, id) of each line of rows (place, part, text) that counts; id is a hash of the normal form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, number, ids = [], [], []
-            for p, text in zip(batch.column("place").to_pylist(), _texts(batch), strict=True):
+            place, part, number, ids = [], [], [], []
+            for p, q, text in zip(batch.column("place").to_pylist(), batch.column("part").to_pylist(), _texts(batch), strict=True):
                 for i, form in normal_lines(text or b"", min_bytes):
                     place.append(p)
+                    part.append(q)
                     number.append(i)
                     ids.append(_id(form))
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(number, pa.int32()), pa.array(ids, pa.int64())], names=["place", "line_no", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(part, pa.int64()), pa.array(number, pa.int32()), pa.array(ids, pa.int64())], names=["place", "part", "line_no", "id"])
 
-    return arrow_map(rows.select("place", "text"), run, "place long, line_no int, id long")
+    return arrow_map(rows.select("place", "part", "text"), run, "place long, part long, line_no int, id long")
 
 
 def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -205,37 +208,50 @@ def line_texts(rows: DataFrame, members: DataFrame, least: int = K) -> DataFrame
     return arrow_map(rows.select("text"), run, "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int, threshold: float, min_bytes: int) -> DataFrame:
-    """(place, dropped array<int>) for the documents that lose lines."""
-    texts = docs.select(_place(id_col).alias("place"), F.col(text_col).alias("text"))
+def dropped_lines(texts: DataFrame, k: int, bands: int, rows: int, threshold: float, min_bytes: int) -> DataFrame:
+    """(place, part, dropped array<int>) for the documents of texts (place, part, text) that lose lines."""
     occ = materialize(occurrences(texts, min_bytes), "line-occurrences")
     members = materialize(buckets(texts, k, bands, rows, min_bytes), "line-members")
     links = materialize(verified_links(members, line_texts(texts, members, max(min_bytes, k)), char_shingles(k), threshold), "line-links")
     comps = connected_components(links)
-    lines = materialize(occ.groupBy("id").agg(F.min(F.struct("place", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
+    lines = materialize(occ.groupBy("id").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
     linked = comps.join(lines, F.col("node") == F.col("id")).select("node", "root", "first", "n")
     firsts = linked.groupBy("root").agg(F.min("first").alias("keep"))
     named = linked.select("node", F.col("root").alias("r"), "n").join(firsts, F.col("r") == F.col("root")).select("node", "n", "keep")
     single = lines.where("n > 1").join(comps.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "n", F.col("first").alias("keep"))
     table = materialize(named.union(single), "line-table")
     found = hot_lookup(occ, "id", table, "node", "n", occ.count())
-    gone = found.where("place != keep.place or line_no != keep.line_no")
-    return gone.groupBy("place").agg(F.sort_array(F.array_distinct(F.collect_list("line_no"))).alias("dropped"))
+    gone = found.where("place != keep.place or part != keep.part or line_no != keep.line_no")
+    return gone.groupBy("place", "part").agg(F.sort_array(F.array_distinct(F.collect_list("line_no"))).alias("dropped"))
 
 
 def _place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
+def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __key (place by doc_id) and __part, which tells the documents of one place apart: a hash of the text, or the row's number where doc_id is null.
+
+    Row numbers hold for one evaluation only, so the rows are written once if any needs its number.
+    """
+    null = F.col(id_col).cast("long").isNull()
+    if docs.where(null).limit(1).isEmpty():
+        return docs.withColumns({"__key": _place(id_col), "__part": F.xxhash64(F.col(text_col))})
+    part = F.when(null, F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(text_col)))
+    return materialize(docs.withColumns({"__key": _place(id_col), "__part": part}), "line-rows")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text_col cleaned, and two more columns: line_count (lines before) and line_dropped (array of the numbers of dropped lines)."""
-    gone = dropped_lines(docs, id_col, text_col, k, bands, rows, threshold, min_bytes)
-    gone = gone.select(F.col("place").alias("__place"), F.col("dropped").alias("__dropped"))
+    placed = _with_places(docs, id_col, text_col)
+    texts = placed.select(F.col("__key").alias("place"), F.col("__part").alias("part"), F.col(text_col).alias("text"))
+    gone = dropped_lines(texts, k, bands, rows, threshold, min_bytes)
+    gone = gone.select(F.col("place").alias("__place"), F.col("part").alias("__of"), F.col("dropped").alias("__dropped"))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     text = F.when(F.col("__dropped").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     # the documents' side isn't sorted: the other one, a row of line numbers for each document that loses some, is hashed
-    joined = docs.withColumn("__key", _place(id_col)).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__place"), "left")
+    joined = placed.join(gone.hint("shuffle_hash"), (F.col("__key") == F.col("__place")) & (F.col("__part") == F.col("__of")), "left")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("line_count", "line_dropped")],
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).alias("line_count"), F.coalesce(F.col("__dropped"), F.array().cast("array<int>")).alias("line_dropped"),

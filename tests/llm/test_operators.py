@@ -43,6 +43,15 @@ def test_line_dedup_takes_short_lines(spark):
     assert got[1].text == " \nx" and got[2].text == "in in oredble ea.\n" and got[5].text == "\nabcdefgh"
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    shared, own = "a line that many rows have", [f"nothing else has {w} in it" for w in ("pears", "a door", "quite blue", "79 (+)", "Kyoto", "zeal")]
+    rows = [(None, f"{shared}\n{own[0]}"), (None, f"{own[1]}\n{shared}"), (None, f"{own[2]}\n{own[3]}"), (None, f"{shared}\nends"), (7, f"{shared}\n{own[4]}"), (7, f"{own[5]}\n{shared}"), (8, "ends"), (8, "ends\nends")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(x for r in got for x in r.text.split("\n") if x) == sorted([shared, "ends", *own])
+    assert all(not r.line_dropped for r in got if own[2] in r.text)
+    assert all(shared not in r.text for r in got if r.doc_id == 7) and all(not r.text.strip() for r in got if r.doc_id == 8)
+
+
 def test_line_dedup_texts(small):
     texts = dict(pairs(small))
     for r in line_dedup.line_dedup(small).collect():
