@@ -1,7 +1,9 @@
 """Order MinHash fingerprints, by DataFrame functions only.
 
-A text is cut at ASCII white space into words, longer words into pieces of at most PIECE characters, and k successive
-pieces make a k-mer (fewer pieces: all of them; none: no k-mer). Equal k-mers of a text are numbered by occurrence, so
+A text is cut at ASCII white space into words. A word of at most PIECE characters is a piece; a longer one has a piece of
+GRAM characters at each offset, so that an inserted character changes the few pieces round it. A text of under FEW words
+has, after those, a piece of two characters at each offset of its words joined by single spaces. k successive pieces
+make a k-mer (fewer pieces: all of them; none: no k-mer). Equal k-mers of a text are numbered by occurrence, so
 a text is a set of (k-mer, number). Each of the m signatures has two random orders on such pairs; the minimal pair of
 either order is selected, the two retain their order in the text, and the ordered tuple is hashed. Two texts agree in
 a signature if they share both minima and have them in the same order, which a change of order undoes as well as a
@@ -19,8 +21,11 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-#: Signatures of a fingerprint, pieces of a k-mer, characters of a piece.
+#: Signatures of a fingerprint, pieces of a k-mer, characters of a word that is a piece.
 SIGNATURES, K, PIECE = 48, 2, 12
+#: Characters of a piece of a longer word; words from which on a text needs no pieces of two characters.
+GRAM, FEW = 6, 4
+_WHITE, _BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Bits of a packed (hash, position) that the position has while k-mers are sorted.
 POSITION_BITS = 24
 
@@ -30,7 +35,13 @@ def sorted_kmers(rows: DataFrame, keep: list[str], text: Column, k: int = K, pie
 
     Sorting brings equal k-mers together, in text order. Positions beyond the bits count as the last one.
     """
-    pieces = rows.select(*keep, F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0)).alias("p"))
+    word = rf"(?<!{_BLACK}){_BLACK}{{1,{piece}}}+(?!{_BLACK})"
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?=({word}|{_BLACK}{{{min(GRAM, piece + 1)}}}))(?:{word}|{_BLACK})"), F.lit(1))
+    cut = rows.select(*keep, text.alias("t"), tokens.alias("w"))
+    # anchored and without backtracking: one pass as far as the first FEW words
+    many = F.col("t").rlike(rf"\A{_WHITE}*+(?:{_BLACK}++{_WHITE}++){{{FEW - 1}}}{_BLACK}")
+    pairs = F.regexp_extract_all(F.trim(F.regexp_replace("t", f"{_WHITE}+", " ")), F.lit("(?s)(?=(..))."), F.lit(1))
+    pieces = cut.select(*keep, F.when(many | (F.size("w") == 0), F.col("w")).otherwise(F.concat("w", pairs)).alias("p"))
     room, key = F.lit((1 << POSITION_BITS) - 1).cast("long"), F.lit(~((1 << POSITION_BITS) - 1)).cast("long")
     # hashing ignores nulls, so the k-mers at the end are shorter ones; those that aren't whole are cut off
     packed = F.transform("p", lambda x, i: F.xxhash64(x, *[F.get("p", i + n) for n in range(1, k)]).bitwiseAND(key).bitwiseOR(F.least(i.cast("long"), room)))

@@ -497,6 +497,17 @@ def test_order_minhash_numbers_equal_brute_force(spark):
     assert {(r.h, r.pos) for r in part} <= {(r.h, r.pos) for r in flat}
 
 
+def test_order_minhash_follows_edits_without_spaces(spark):
+    rng = random.Random(13)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) if i % 15 else "\u3002" for i in range(1, 1501))
+    texts = [han, "\u65b0" + han, han[:700] + "\u65b0" + han[700:], han[:700] + " " + han[700:], "hello world", "hello other", "abcdefghijkl", "abcdefghijklm", "see " * 20 + "x" * 3 + han[:40], "see " * 20 + "y" + "x" * 3 + han[:40], "hello \n world", "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fp = {r.doc_id: r.fp_text for r in order_minhash.fingerprints(df, ["doc_id"], ["text"]).collect()}
+    near = lambda a, b: np.mean([x == y for x, y in zip(fp[a], fp[b], strict=True)])
+    assert min(near(0, 1), near(0, 2), near(0, 3)) > 0.85 and near(0, 11) < 0.1
+    assert near(4, 5) > 0 and near(6, 7) > 0.1 and near(8, 9) > 0.5 and near(4, 10) == 1
+
+
 def test_order_minhash_edges(odd, empty, spark):
     assert order_minhash.fingerprint_and_edit(empty).count() == 0
     assert order_minhash.fingerprint_and_edit(odd).count() == 10
