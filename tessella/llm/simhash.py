@@ -279,8 +279,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, radius2: int = 34) -> DataFrame:
-    """Rows (doc_id, keep_id) for the documents that have a near copy: Jaccard of k-word shingle sets at or above threshold, over any chain of such links.
+def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, radius2: int = 34) -> DataFrame:
+    """Rows (row, keep) for the rows that have a near copy: Jaccard of k-word shingle sets at or above threshold, over any chain of such links. row_col identifies a row; keep has the row of the smallest id, nulls last, and of those the smallest row.
 
     Candidates come from fingerprints of 2 x 64 bits within radius (first half) and radius2 (both); at the threshold
     the expected distance of both is 128 * acos(2t / (1 + t)) / pi = 19 bits with a deviation of 4, and 26 for texts of a
@@ -295,11 +295,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                 s = np.unique(hash_windows(h, k))
                 rows.append((_signed(xxhash.xxh3_64_intdigest(b" ".join(words))), _signed(bit_majority(s)), _signed(bit_majority(hash_windows(s, 1))), len(s)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]] if rows else [batch.column("doc_id")] * 5, names=["doc_id", "id", "fp", "fp2", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]] if rows else [batch.column("doc_id")] * 6, names=["doc_id", "row", "id", "fp", "fp2", "size"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = materialize(arrow_map(rows, points, "doc_id long, id long, fp long, fp2 long, size long"), "near-points")
-    classes = materialize(every.groupBy("id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "near-classes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    every = materialize(arrow_map(rows, points, "doc_id long, row long, id long, fp long, fp2 long, size long"), "near-points")
+    classes = materialize(every.groupBy("id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n")), "near-classes")
     groups = connected_components(hamming_links(classes.select("id", "fp", "fp2", "size"), radius, radius2, threshold))
     members = materialize(groups.select(F.col("root").alias("group"), F.col("node").alias("id")), "near-members")
     words = hash_filter(members)
@@ -317,14 +317,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(verified_links(members, texts, word_shingles(k), threshold), "near-links")
     comps = connected_components(links)
     linked = comps.join(classes, F.col("node") == F.col("id")).select("node", "root", "least", "n")
-    roots = linked.groupBy("root").agg(F.min("least").alias("keep_id"))
-    named = linked.select("node", F.col("root").alias("r"), "n").join(roots, F.col("r") == F.col("root")).select("node", "n", "keep_id")
-    single = classes.where("n > 1").join(named.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "n", F.col("least").alias("keep_id"))
+    roots = linked.groupBy("root").agg(F.min("least").alias("keep"))
+    named = linked.select("node", F.col("root").alias("r"), "n").join(roots, F.col("r") == F.col("root")).select("node", "n", "keep")
+    single = classes.where("n > 1").join(named.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "n", F.col("least").alias("keep"))
     table = materialize(named.union(single), "near-table")
-    return hot_lookup(every.select("doc_id", "id"), "id", table, "node", "n", every.count()).select("doc_id", "keep_id")
+    return hot_lookup(every.select("row", "id"), "id", table, "node", "n", every.count()).select("row", F.col("keep.row").alias("keep"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that have a near copy with a smaller id; of each group the smallest id stays."""
-    dropped = near_groups(docs, id_col, text_col, **options).where("doc_id != keep_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped_id"), "left_anti")
+    """The rows of docs without those that have a near copy with a smaller id; of each group one row stays, that of the smallest id and of rows with equal ids the first."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    dropped = near_groups(rows, "__row", id_col, text_col, **options).where("row != keep").select(F.col("row").alias("__dropped_row"))
+    return rows.join(dropped, F.col("__row") == F.col("__dropped_row"), "left_anti").drop("__row")

@@ -328,6 +328,14 @@ def test_near_dedup_equals_brute_force(small):
     assert {d for d, _ in pairs(small)} - kept == want and len(want) > 10
 
 
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(None, one), (None, one), (None, one + " z"), (1, two), (1, two), (1, three), (2, three), (3, four), (2, four), (None, four), (2, "a text of its own")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert [r.doc_id for r in kept if r.text.startswith(one)] == [None] and len(kept) == 5
+    assert {(r.doc_id, r.text) for r in kept if not r.text.startswith(one)} == {(1, two), (1, three), (2, four), (2, "a text of its own")}
+
+
 def test_simhash_edges(odd, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
     got = simhash.simhash_components(odd).collect()
