@@ -80,7 +80,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.fingerprint_and_edit(table(spark, sf_dir, "documents"), buckets=max(8, 4 * min(default_partitions(spark), 256)))
+    return order_minhash.fingerprint_and_edit(table(spark, sf_dir, "documents"), buckets=max(8, 4 * default_partitions(spark)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 from collections import defaultdict
 
 import xxhash
@@ -145,3 +146,65 @@ def mixed(docs):
             out[d] = sizes[d], total[s], target[s], epochs * sizes[d] + max(0, min(sizes[d], rest - done))
             done += sizes[d]
     return out
+
+
+def pieces(text):
+    """Pieces of a text for Order MinHash, by a walk over it."""
+    white = " \t\n\x0b\x0c\r"
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and (text[j] in white) == (text[i] in white):
+            j += 1
+        run = text[i:j]
+        if text[i] in white:
+            out += [run] if run != " " else []
+        else:
+            out += [run] if len(run) <= 12 else [run[a : a + 6] for a in range(len(run) - 5)]
+        i = j
+    words = "".join(c if c not in white else " " for c in text).split(" ")
+    if sum(map(bool, words)) < 4:
+        out += [text[a : a + 2] for a in range(len(text) - 1)]
+    return out
+
+
+def _mix(*longs):
+    h = 42
+    for x in longs:
+        h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h
+
+
+def _mix_int(x, n):
+    return xxhash.xxh64_intdigest(n.to_bytes(4, "little"), _mix(x))
+
+
+def order_minhash(text, bins=64):
+    """For each bin the two smallest elements over all rounds, in text order, hashed."""
+    p = pieces(text)
+    kmers = [p[i : i + 2] for i in range(max(1, len(p) - 1))] if p else []
+    seen, found = defaultdict(int), []
+    for at, kmer in enumerate(kmers):
+        h = 42
+        for piece in kmer:
+            h = xxhash.xxh64_intdigest(piece.encode(), h)
+        h = h >> 31 << 31
+        n = seen[h]
+        seen[h] += 1
+        found.append(((_mix_int(h, n) if n else h) >> 31, at))
+    n = len(found)
+    out = []
+    for b in [*range(bins // 2, bins), *range(bins // 2)]:
+        if n <= 2:
+            pair = sorted(found, key=lambda f: f[1])
+        else:
+            falls = [(0, e & (1 << 26) - 1, e, at) for e, at in found if e >> 27 == b]
+            for r in range(1, math.ceil(bins * (math.log(n + 1) + 11.5) / (n - 1))):
+                falls += [(r, h >> 31 & 0xFFFF, e, at) for e, at in found for h in [_mix_int(e, r)] if h >> 58 == b]
+            first = {}
+            for r, rank, e, at in falls:
+                first[e, at] = min(first.get((e, at), (r, rank)), (r, rank))
+            pair = sorted(sorted(first, key=lambda f: first[f])[:2], key=lambda f: f[1])
+        if pair or n <= 2:
+            out.append(_mix(b, *[e for e, _ in pair]))
+    return out
