@@ -39,6 +39,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that no column of df has or begins with."""
+    name = f"_{stem}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 #: Of a key with more than a thousandth of all rows there are fewer than a thousand.
 HOT_SHARE = 1000
 

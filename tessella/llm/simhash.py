@@ -1,13 +1,17 @@
 """SimHash near-dedup by segment-popcount embedding.
 
-A fingerprint is embedded as the popcounts of its four segments of 16 bits. The Manhattan distance of two such points
-is at most the Hamming distance of the fingerprints, as is that of the coarser points (popcounts of the two halves).
-A range join on a grid over the coarse points deals out the work: each distinct fingerprint lies in its own cell and is
-sent to the later cells within reach; large cells are dealt as blocks. Inside a task the segment counts exclude pairs,
-the rest is verified on the bits. A task returns only the links that join what it hadn't joined before, never all pairs.
+A fingerprint is embedded as the popcounts of its segments. The Manhattan distance of two such points is at most the
+Hamming distance of the fingerprints, also for any choice of segments. A range join on a grid over the points deals out
+the work: each distinct fingerprint lies in its own cell and is sent to those of the cells within reach that come later;
+large cells are dealt as blocks. The rest is verified on the bits. A task returns only the links that join what it hadn't
+joined before, never all pairs.
 
-near_dedup() uses wider fingerprints to find candidates for a Jaccard similarity and verifies these on the shingle
-sets; sizes of the sets are a further dimension of its grid (a Jaccard of t needs sizes within a factor of 1/t).
+Grids (see Grid) differ in what they cost, not in what they find: cells over the popcounts of the two halves send few
+rows and leave many pairs to compare; with many small segments, dealt to two groups of which one must lie within half the
+radius, a point goes to hundreds of cells that leave almost nothing. cheapest() picks by the number of points.
+
+near_dedup() finds candidates for a Jaccard similarity with wider fingerprints and verifies these on the shingle sets;
+sizes of the sets are a further dimension of its grid (a Jaccard of t needs sizes within a factor of 1/t).
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any others; a
 text with fewer words than a shingle has its whole sequence as the one shingle; repeated rows are linked like other
@@ -16,8 +20,10 @@ equal texts; an empty table gives an empty result; other columns are ignored or
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,14 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import FILTER_BITS, arrow_map, default_partitions, hash_filter, hot_lookup, materialize, passes
+from .common import FILTER_BITS, arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes
 from .components import connected_components
-from .verify import batches_of, hash_windows, verified_links, word_shingles
+from .verify import batches_of, hash_windows, mix64, verified_links, word_shingles
 
 #: Fingerprints of a cell that one task holds as its own.
 CELL_BLOCK = 20_000
+#: Seconds that a row sent to a cell and a pair compared there cost, about.
+ROW_S, PAIR_S = 2e-6, 1.5e-9
 #: Pairs that are compared at once: on arrays that stay in the cache, or gathered from several cells.
 PLAIN_CHUNK, CHUNK = 1 << 18, 1 << 21
 #: From this radius on segment counts exclude too few pairs of random fingerprints to be worth a look.
@@ -81,15 +89,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class _Joined:
-    """Union-find on points numbered as they come, by vectors: merging() yields the pairs that join two components."""
-
-    def __init__(self) -> None:
-        self.root = np.zeros(0, np.int64)
+    """Union-find on points 0 to n - 1, by vectors."""
 
-    def grow(self, n: int) -> None:
-        self.root = np.concatenate((self.root, np.arange(len(self.root), n, dtype=np.int64)))
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n, dtype=np.int64)
 
     def merging(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Joins a and b; yields the pairs of points that join two components."""
         ra, rb = self.root[a], self.root[b]
         differ = ra != rb
         if not differ.any():
@@ -120,50 +126,62 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
 
 
 class CellJoin:
-    """Links between the points of a cell and those sent to it: Hamming distance of fp at most radius; with fp2, of both together at most radius2; with a ratio, sizes within it."""
+    """Links between the points of a cell, which it holds, and those sent to it, which it doesn't keep.
 
-    def __init__(self, radius: int, radius2: int | None, ratio: float | None) -> None:
-        self.radius, self.radius2, self.ratio = radius, radius2, ratio
-        self.joined, self.all = _Joined(), np.zeros((0, 4), np.int64)
+    Points are rows (id, fp, size, further 64 bits ...). A pair is linked if fp is within radius; with further bits, all
+    together within radius2; with a ratio, if the sizes are within it.
+    """
 
-    def home(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
-        """points: rows (id, fp, fp2, size). Yields the ids of links."""
+    def __init__(self, points: np.ndarray, radius: int, radius2: int | None = None, ratio: float | None = None, plain: bool = False) -> None:
+        self.radius, self.radius2, self.ratio = radius, radius2, ratio
+        self.plain = plain or radius >= PLAIN_RADIUS
+        self.own, self.joined = self._sorted(points), _Joined(len(points))
+        self.cells, begins = self._cells(self.own)
+        self.length = np.diff(begins)
+
+    def _sorted(self, points: np.ndarray) -> np.ndarray:
+        """The points by segment counts."""
+        return points if self.plain else points[np.lexsort(segment_counts(points[:, 1].view(np.uint64)).T)]
+
+    @staticmethod
+    def _cells(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different segment counts of sorted points, and where each begins, with the end."""
         counts = segment_counts(points[:, 1].view(np.uint64))
-        order = np.lexsort(counts.T)
-        self.all = points[order]
-        self.joined.grow(len(points))
-        counts = counts[order]
         new = np.ones(len(points), bool)
         new[1:] = (counts[1:] != counts[:-1]).any(axis=1)
-        self.cells, self.length = counts[new], np.diff(np.append(np.flatnonzero(new), len(points)))
-        self.own = self.all
-        yield from self._match(self.own, 0, inside=True)
+        return counts[new], np.append(np.flatnonzero(new), len(points))
 
-    def probe(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
-        base = len(self.all)
-        counts = segment_counts(points[:, 1].view(np.uint64))
-        points = points[np.lexsort(counts.T)]
-        self.all = np.concatenate((self.all, points))
-        self.joined.grow(len(self.all))
-        yield from self._match(points, base, inside=False)
-
-    def _match(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[int, int]]:
-        for a, b in self._plain(points, base, inside) if self.radius >= PLAIN_RADIUS else self._by_cells(points, base, inside):
-            keep = a != b
-            a, b = a[keep], b[keep]
-            if len(a) and (self.radius2 is not None or self.ratio is not None):
-                x, y = self.all[a], self.all[b]
-                ok = np.ones(len(a), bool)
-                if self.radius2 is not None:
-                    both = np.bitwise_count((x[:, 1] ^ y[:, 1]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64))
-                    ok &= both <= self.radius2
-                if self.ratio is not None:
-                    ok &= np.minimum(x[:, 3], y[:, 3]) >= self.ratio * np.maximum(x[:, 3], y[:, 3]) - 1e-9
-                a, b = a[ok], b[ok]
+    def inside(self) -> Iterator[tuple[int, int]]:
+        """Ids of links among the cell's own points."""
+        for a, b in self._matches(self.own, True):
             for x, y in self.joined.merging(a, b):
-                yield int(self.all[x, 0]), int(self.all[y, 0])
+                yield int(self.own[x, 0]), int(self.own[y, 0])
 
-    def _plain(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def probe(self, points: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ids of links to points sent here: one for each component of own points that such a point reaches, which it joins."""
+        points = self._sorted(points)
+        for a, b in self._matches(points, False):
+            reach = np.unique(np.stack((b, self.joined.root[a]), axis=1), axis=0)
+            yield from zip(self.own[reach[:, 1], 0].tolist(), points[reach[:, 0], 0].tolist(), strict=True)
+            again = np.flatnonzero(reach[1:, 0] == reach[:-1, 0])
+            if len(again):
+                for _ in self.joined.merging(reach[again, 1], reach[again + 1, 1]):
+                    pass
+
+    def _matches(self, points: np.ndarray, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of an own point and one of points that are to be linked."""
+        for a, b in self._plain(points, inside) if self.plain else self._by_cells(points, inside):
+            x, y = self.own[a], points[b]
+            ok = x[:, 0] != y[:, 0]
+            if self.radius2 is not None:
+                apart = sum(np.bitwise_count((x[:, c] ^ y[:, c]).view(np.uint64)).astype(np.int64) for c in (1, *range(3, points.shape[1])))
+                ok &= apart <= self.radius2
+            if self.ratio is not None:
+                ok &= np.minimum(x[:, 2], y[:, 2]) >= self.ratio * np.maximum(x[:, 2], y[:, 2]) - 1e-9
+            if ok.any():
+                yield a[ok], b[ok]
+
+    def _plain(self, points: np.ndarray, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs within the radius, all points against all of the cell's own in blocks."""
         fp, some, wide = self.own[:, 1].view(np.uint64), points[:, 1].view(np.uint64), 8192
         for first in range(0, len(some), PLAIN_CHUNK // wide):
@@ -172,18 +190,15 @@ class CellJoin:
                 own = fp[at : at + wide]
                 hit = np.flatnonzero(np.bitwise_count(mine[:, None] ^ own[None, :]) <= self.radius)
                 if len(hit):
-                    yield at + hit % len(own), base + first + hit // len(own)
+                    yield at + hit % len(own), first + hit // len(own)
 
-    def _by_cells(self, points: np.ndarray, base: int, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _by_cells(self, points: np.ndarray, inside: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs within the radius, only between cells of segment counts whose Manhattan distance is within it."""
-        counts = segment_counts(points[:, 1].view(np.uint64))
-        new = np.ones(len(points), bool)
-        new[1:] = (counts[1:] != counts[:-1]).any(axis=1)
-        begins = np.append(np.flatnonzero(new), len(points))
+        counts, begins = self._cells(points)
         fp, at_own = self.own[:, 1].view(np.uint64), np.cumsum(self.length) - self.length
         for first in range(0, len(begins) - 1, 256):
             some = begins[first : first + 257]
-            apart = sum(np.abs(self.cells[None, :, d] - counts[some[:-1], d][:, None]) for d in range(4))
+            apart = sum(np.abs(self.cells[None, :, d] - counts[first : first + 256, d][:, None]) for d in range(4))
             row, cell = np.nonzero(apart <= self.radius)
             ends = np.searchsorted(row, np.arange(len(some)))
             for k in range(len(some) - 1):
@@ -199,35 +214,128 @@ class CellJoin:
                 for here in range(lo, hi, step):
                     hit = np.flatnonzero(np.bitwise_count(points[here : min(here + step, hi), 1].view(np.uint64)[:, None] ^ mine[None, :]) <= self.radius)
                     if len(hit):
-                        yield at[hit % len(at)], base + here + hit // len(at)
+                        yield at[hit % len(at)], here + hit // len(at)
 
 
-def hamming_links(points: DataFrame, radius: int, radius2: int | None = None, ratio: float | None = None) -> DataFrame:
-    """Links (a, b) between ids of points (id, fp, fp2, size), enough to connect what all pairs within the bounds connect."""
-    spark = points.sparkSession
-    width = max(3, radius // 2 + 1)
+@dataclass(frozen=True)
+class Grid:
+    """How fingerprints are dealt to cells.
+
+    groups = 1: cells over the popcounts of the two halves. Else the 64 bits are cut into ``segments`` segments, dealt
+    to groups; the Manhattan distance of fingerprints within the radius is at most radius // groups in one of them, and
+    a cell is the exact popcounts of a group's segments.
+    """
+
+    segments: int
+    groups: int
+
+    def reach(self, radius: int) -> int:
+        return radius // self.groups
+
+    def offsets(self, radius: int) -> list[tuple[int, ...]]:
+        """Steps to the later one of each pair of cells of a group within reach."""
+        return sorted(x for x in _steps(self.segments // self.groups, self.reach(radius)) if next((d for d in x if d), 0) > 0)
+
+    def rows(self, radius: int) -> float:
+        """Rows that a point is sent as."""
+        if self.groups == 1:
+            return 8.0 if radius < PLAIN_RADIUS else 4.0
+        return self.groups * (1 + sum(_shell(self.segments // self.groups, r) for r in range(1, self.reach(radius) + 1)) / 2)
+
+    def share(self, radius: int) -> float:
+        """Share of the pairs of random fingerprints that are compared."""
+        if self.groups == 1:
+            # tasks look at four segments before they compare
+            return 1.0 if radius >= PLAIN_RADIUS else _within(16, 4, radius)
+        return self.groups * _within(64 // self.segments, self.segments // self.groups, self.reach(radius))
+
+    def cost(self, n: int, radius: int) -> float:
+        """Seconds of all tasks for n points."""
+        return n * self.rows(radius) * ROW_S + n * n / 2 * self.share(radius) * PAIR_S
+
+
+def _steps(dims: int, reach: int) -> Iterator[tuple[int, ...]]:
+    """All integer vectors with a sum of absolute values of at most reach."""
+    if not dims:
+        yield ()
+        return
+    for d in range(-reach, reach + 1):
+        for rest in _steps(dims - 1, reach - abs(d)):
+            yield (d, *rest)
+
+
+def _shell(dims: int, r: int) -> int:
+    """Number of integer vectors with a sum of absolute values of exactly r > 0."""
+    return sum(math.comb(dims, k) * math.comb(r - 1, k - 1) * 2**k for k in range(1, min(dims, r) + 1))
+
+
+def _within(bits: int, dims: int, reach: int) -> float:
+    """P(the popcounts of ``dims`` segments of ``bits`` random bits are within a Manhattan distance)."""
+    one = np.zeros(bits + 1)
+    for d in range(-bits, bits + 1):
+        one[abs(d)] += math.comb(2 * bits, bits + d) / 4**bits
+    total = np.ones(1)
+    for _ in range(dims):
+        total = np.convolve(total, one)
+    return float(total[: reach + 1].sum())
+
+
+HALVES = Grid(2, 1)
+GRIDS = (HALVES, Grid(16, 2), Grid(32, 2))
+
+
+def cheapest(n: int, radius: int) -> Grid:
+    """The grid for n points."""
+    return min(GRIDS, key=lambda g: g.cost(n, radius))
+
+
+def _dealt(points: DataFrame, grid: Grid, radius: int, ratio: float | None) -> tuple[DataFrame, DataFrame]:
+    """points with the key of their own cell, and with those of the later cells that they are sent to."""
+    columns = points.columns
+    if grid.groups > 1:
+        bits, per = 64 // grid.segments, grid.segments // grid.groups
+        # a digit of a key is a count and the reach, so that no step goes below zero
+        width = (bits + 2 * grid.reach(radius)).bit_length()
+        digit = lambda i: F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))) + grid.reach(radius)
+        key = lambda g: sum((F.shiftleft(digit(g * per + i).cast("long"), width * i) for i in range(per)), F.lit(g << width * per).cast("long"))
+        own = points.select(*columns, F.explode(F.array(*[key(g) for g in range(grid.groups)])).alias("key"))
+        steps = F.array(*[F.lit(sum(d << width * i for i, d in enumerate(x))).cast("long") for x in grid.offsets(radius)])
+        return own, own.select(*columns, F.explode(F.transform(steps, lambda d: F.col("key") + d)).alias("key"))
+    width = max(2, radius // 2 + 1 if radius >= PLAIN_RADIUS else 2)
     half = lambda i: F.bit_count(F.shiftrightunsigned("fp", 32) if i else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).cast("int")
     size_cell = F.lit(0) if ratio is None else F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / (math.log(1 / ratio) * 1.000001)).cast("int")
-    own = points.select("id", "fp", "fp2", "size", half(0).alias("p"), half(1).alias("q"), size_cell.alias("z"))
-    own = materialize(own.withColumn("x", F.floor(F.col("p") / width).cast("int")).withColumn("y", F.floor(F.col("q") / width).cast("int")), "grid-points")
+    key = lambda z, x, y: (z * 4096 + (x + 16) * 64 + y + 16).cast("long")
+    cells = points.select(*columns, half(0).alias("p"), half(1).alias("q"), size_cell.alias("z")).select("*", F.floor(F.col("p") / width).cast("int").alias("x"), F.floor(F.col("q") / width).cast("int").alias("y"))
     reach = math.ceil(radius / width)
-    offsets = [(dz, dx, dy) for dz in ((0,) if ratio is None else (0, 1)) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1) if (dz, dx, dy) > (0, 0, 0)]
+    offsets = [o for o in itertools.product((0,) if ratio is None else (0, 1), range(-reach, reach + 1), range(-reach, reach + 1)) if o > (0, 0, 0)]
 
     def gap(p: Column, cell: Column, d: Column) -> Column:
         return F.when(d > 0, (cell + d) * width - p).when(d < 0, p - ((cell + d) * width + width - 1)).otherwise(F.lit(0))
 
     table = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dx"), F.lit(c).alias("dy")) for a, b, c in offsets])
-    sent = own.select("*", F.explode(F.filter(table, lambda o: gap(F.col("p"), F.col("x"), o["dx"]) + gap(F.col("q"), F.col("y"), o["dy"]) <= radius)).alias("o"))
-    sent = sent.select("id", "fp", "fp2", "size", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    # the table of cells has at most (32 / width + 1)^2 * 64 rows or, with sizes, as many for each power of 1 / ratio: a fixed bound
-    cells = own.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n")).select(F.col("z").alias("cz"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.ceil(F.col("n") / CELL_BLOCK).cast("int").alias("blocks"))
-    cells = F.broadcast(materialize(cells, "grid-cells"))
-    on = (F.col("z") == F.col("cz")) & (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    home = own.join(cells, on).select("id", "fp", "fp2", "size", "z", "x", "y", F.explode(F.transform(F.sequence(mine, F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), (b == mine).alias("home")))).alias("b"))
-    away = sent.join(cells, on).select("id", "fp", "fp2", "size", "z", "x", "y", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(False).alias("home")))).alias("b"))
-    rows = home.union(away).select("id", "fp", "fp2", "size", "z", "x", "y", "b.block", "b.home")
-    rows = rows.repartition(max(default_partitions(spark), 16), "z", "x", "y", "block").sortWithinPartitions("z", "x", "y", "block", F.col("home").desc())
+    near = F.filter(table, lambda o: gap(F.col("p"), F.col("x"), o["dx"]) + gap(F.col("q"), F.col("y"), o["dy"]) <= radius)
+    sent = F.explode(F.transform(near, lambda o: key(F.col("z") + o["dz"], F.col("x") + o["dx"], F.col("y") + o["dy"])))
+    return cells.select(*columns, key(F.col("z"), F.col("x"), F.col("y")).alias("key")), cells.select(*columns, sent.alias("key"))
+
+
+def hamming_links(points: DataFrame, radius: int, radius2: int | None = None, ratio: float | None = None, grid: Grid | None = None) -> DataFrame:
+    """Links (a, b) between ids of points (id, fp, size, further longs ...), enough to connect what all pairs within the bounds connect."""
+    spark, columns = points.sparkSession, points.columns
+    points = materialize(points, "grid-points")
+    grid = grid or (HALVES if ratio is not None else cheapest(points.count(), radius))
+    own, sent = _dealt(points, grid, radius, ratio)
+    # cells of more than a block: at most one for each CELL_BLOCK rows; Spark broadcasts them only while their measured size is small
+    large = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_BLOCK)
+    large = materialize(large.select(F.col("key").alias("c_key"), F.ceil(F.col("n") / CELL_BLOCK).cast("int").alias("blocks")), "grid-cells")
+    blocks = F.coalesce("blocks", F.lit(1))
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    to = lambda first, home: F.explode(F.transform(F.sequence(first, blocks - 1), lambda b: F.struct(b.alias("block"), home(b).alias("home")))).alias("b")
+    on = F.col("key") == F.col("c_key")
+    home = own.join(large, on, "left").select("key", *columns, to(mine, lambda b: b == mine))
+    away = sent.join(large, on, "left").select("key", *columns, to(F.lit(0), lambda b: F.lit(False)))
+    rows = home.union(away).select("key", *columns, "b.block", "b.home")
+    rows = rows.repartition(max(default_partitions(spark), 16), "key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
+    make = lambda waiting: CellJoin(np.concatenate(waiting), radius, radius2, ratio, plain=grid.groups > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -235,8 +343,8 @@ def hamming_links(points: DataFrame, radius: int, radius2: int | None = None, ra
         def links() -> Iterator[tuple[int, int]]:
             key, join, waiting = None, None, []
             for batch in batches:
-                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("z", "x", "y", "block")], axis=1)
-                data = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "fp", "fp2", "size")], axis=1)
+                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "block")], axis=1)
+                data = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
                 at_home = batch.column("home").to_numpy(zero_copy_only=False).astype(bool)
                 change = np.ones(len(keys), bool)
                 change[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (at_home[1:] != at_home[:-1])
@@ -245,19 +353,19 @@ def hamming_links(points: DataFrame, radius: int, radius2: int | None = None, ra
                     k = tuple(keys[lo].tolist())
                     if k != key:
                         if join is None and waiting:
-                            yield from CellJoin(radius, radius2, ratio).home(np.concatenate(waiting))
+                            yield from make(waiting).inside()
                         key, join, waiting = k, None, []
                     if at_home[lo]:
                         waiting.append(data[lo:hi])
                     else:
                         if join is None and waiting:
-                            join = CellJoin(radius, radius2, ratio)
-                            yield from join.home(np.concatenate(waiting))
+                            join = make(waiting)
+                            yield from join.inside()
                             waiting = []
                         if join is not None:
                             yield from join.probe(data[lo:hi])
             if join is None and waiting:
-                yield from CellJoin(radius, radius2, ratio).home(np.concatenate(waiting))
+                yield from make(waiting).inside()
 
         yield from batches_of(links(), schema)
 
@@ -268,7 +376,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: doc_id, fingerprint, component_id (smallest doc_id reachable over fingerprints within radius bits), group_size."""
     fps = materialize(fingerprints(docs, id_col, text_col, k), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    edges = hamming_links(classes.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("fp2"), F.lit(0).cast("long").alias("size")), radius)
+    edges = hamming_links(classes.select(F.col("fp").alias("id"), "fp"), radius)
     nodes = connected_components(edges)
     linked = nodes.join(classes, F.col("node") == F.col("fp")).select("node", "root", "least", "n")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
@@ -279,13 +387,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 20, radius2: int = 34) -> DataFrame:
+def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, radius: int = 22, radius2: int = 76) -> DataFrame:
     """Rows (row, keep) for the rows that have a near copy: Jaccard of k-word shingle sets at or above threshold, over any chain of such links. row_col identifies a row; keep has the row of the smallest id, nulls last, and of those the smallest row.
 
-    Candidates come from fingerprints of 2 x 64 bits within radius (first half) and radius2 (both); at the threshold
-    the expected distance of both is 128 * acos(2t / (1 + t)) / pi = 19 bits with a deviation of 4, and 26 for texts of a
-    dozen shingles.
+    Candidates come from fingerprints of 4 x 64 bits within radius (first 64) and radius2 (all); at the threshold the
+    expected distance of all is 256 * acos(2t / (1 + t)) / pi = 39 bits with a deviation of 6, and 52 for texts of a
+    dozen shingles. Two unrelated texts are candidates with a probability of 5e-11, so candidates seldom connect groups.
     """
+    more = ["fp2", "fp3", "fp4"]
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,13 +403,15 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
                 words = (text or b"").lower().split()
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                 s = np.unique(hash_windows(h, k))
-                rows.append((_signed(xxhash.xxh3_64_intdigest(b" ".join(words))), _signed(bit_majority(s)), _signed(bit_majority(hash_windows(s, 1))), len(s)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]] if rows else [batch.column("doc_id")] * 6, names=["doc_id", "row", "id", "fp", "fp2", "size"])
+                seeded = [s, *(mix64(s ^ np.uint64(0xA0761D6478BD642F * i % (1 << 64))) for i in (1, 2, 3))]
+                rows.append((_signed(xxhash.xxh3_64_intdigest(b" ".join(words))), *(_signed(bit_majority(x)) for x in seeded), len(s)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]] if rows else [batch.column("doc_id")] * 8, names=["doc_id", "row", "id", "fp", *more, "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    every = materialize(arrow_map(rows, points, "doc_id long, row long, id long, fp long, fp2 long, size long"), "near-points")
-    classes = materialize(every.groupBy("id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n")), "near-classes")
-    groups = connected_components(hamming_links(classes.select("id", "fp", "fp2", "size"), radius, radius2, threshold))
+    every = materialize(arrow_map(rows, points, "doc_id long, row long, id long, fp long, fp2 long, fp3 long, fp4 long, size long"), "near-points")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
+    classes = materialize(every.groupBy("id").agg(*[F.first(c).alias(c) for c in ("fp", *more, "size")], least, F.count(F.lit(1)).alias("n")), "near-classes")
+    groups = connected_components(hamming_links(classes.select("id", "fp", "size", *more), radius, radius2, threshold))
     members = materialize(groups.select(F.col("root").alias("group"), F.col("node").alias("id")), "near-members")
     words = hash_filter(members)
     held = docs.sparkSession.sparkContext.broadcast(bytes(words))
@@ -326,6 +437,7 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without those that have a near copy with a smaller id; of each group one row stays, that of the smallest id and of rows with equal ids the first."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    dropped = near_groups(rows, "__row", id_col, text_col, **options).where("row != keep").select(F.col("row").alias("__dropped_row"))
-    return rows.join(dropped, F.col("__row") == F.col("__dropped_row"), "left_anti").drop("__row")
+    own = fresh_name(docs, "row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "near-rows")
+    dropped = near_groups(rows, own, id_col, text_col, **options).where("row != keep").select(F.col("row").alias(f"{own}_gone"))
+    return rows.join(dropped, F.col(own) == F.col(f"{own}_gone"), "left_anti").select(*docs.columns)
