@@ -311,11 +311,37 @@ def test_toxicity_finds_unlabelled(toxic):
     assert b"5:sneer" in model.index
 
 
+def test_toxicity_keeps_every_marking_feature(spark):
+    """Hundreds of marked words, each in its own few documents, none of them dropped for its number or rank."""
+    rows = [(i, f"plain words of a text {i} " + (" ".join(f"qz{k}x" for k in range(i % 150, i % 150 + 5)) if i % 2 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(3000)], LABELS), sample=10**6)
+    assert {f"w:qz{k}x".encode() for k in range(1, 150, 2)} <= set(model.index) and not any(f.startswith(b"w:plain") for f in model.index)
+    got = {r.doc_id: r.tox for r in toxicity.grade_documents(docs, model).collect()}
+    assert all((t.p_toxic >= 0.5) == (i % 2 == 1) for i, t in got.items())
+
+
+def test_marking_equals_definition(spark):
+    import math
+
+    rows = [(a, b) for a in (0, 1, 3, 10, 40, 50) for b in (0, 1, 5, 60, 200)]
+
+    def g2(a, b, n1=50, n0=200):
+        q = (a + b) / (n1 + n0)
+        return 2 * sum(k * math.log(k / e) for k, e in ((a, n1 * q), (b, n0 * q), (n1 - a, n1 * (1 - q)), (n0 - b, n0 * (1 - q))) if k)
+
+    df = spark.createDataFrame(rows, "a long, b long").where("a + b > 0")
+    got = {(r.a, r.b): r.m for r in df.select("a", "b", toxicity.marking(F.col("a"), F.col("b"), 50, 200, 20.0).alias("m")).collect()}
+    assert got == {(a, b): a / 50 > b / 200 and g2(a, b) >= 20 for a, b in rows if a + b} and any(got.values())
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 2))
     y = np.digitize(2 * x[:, 0] + rng.logistic(size=2000), [-1, 1, 3])
-    w, theta = toxicity.fit_ordinal(x, y)
+    entries = toxicity.Rows(2000, np.repeat(np.arange(2000), 2), np.tile([0, 1], 2000), x.ravel())
+    assert entries.take(y > 1) @ np.ones(2) == pytest.approx(x[y > 1].sum(axis=1))
+    w, theta = toxicity.fit_ordinal(entries, 2, y, balanced=False)
     assert w[0] == pytest.approx(2, abs=0.4) and abs(w[1]) < 0.3 and theta == pytest.approx([-1, 1, 3], abs=0.5)
 
 
