@@ -18,6 +18,7 @@ import os
 import shutil
 import struct
 import tempfile
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -26,10 +27,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, default_partitions, materialize
+from .common import arrow_map, default_partitions, materialize, unclashed
 
-#: Bytes of distinct content that a table holds.
-TABLE_BYTES = 48 << 20
+#: Bytes of distinct content and references that a table holds, and bytes of a reference.
+TABLE_BYTES, MEMBER = 48 << 20, 16
 #: Files that a bucket is split into, as hash bits.
 FAN_BITS = 4
 
@@ -73,17 +74,25 @@ Record = tuple[int, bytes, int, tuple[bool, int], int]  # representative, conten
 _HEAD = struct.Struct("<QQq?qqI")
 
 
-def _write(f, h: int, r: Record) -> int:
-    f.write(_HEAD.pack(h, r[0], r[2], r[3][0], r[3][1], r[4], len(r[1])))
-    f.write(r[1])
-    return _HEAD.size + len(r[1])
+#: In place of a content's length: the record has the content of the one before.
+SAME = (1 << 32) - 1
+
+
+def _write(f, h: int, r: Record, same: bool = False) -> int:
+    f.write(_HEAD.pack(h, r[0], r[2], r[3][0], r[3][1], r[4], SAME if same else len(r[1])))
+    if not same:
+        f.write(r[1])
+    return _HEAD.size + (0 if same else len(r[1]))
 
 
 def _read(path: str) -> Iterator[tuple[int, Record]]:
+    content = b""
     with open(path, "rb", buffering=1 << 20) as f:
         while head := f.read(_HEAD.size):
             h, rep, n, known, best, row, size = _HEAD.unpack(head)
-            yield h, (rep, f.read(size), n, (known, best), row)
+            if size != SAME:
+                content = f.read(size)
+            yield h, (rep, content, n, (known, best), row)
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -94,40 +103,40 @@ def _better(a: tuple, b: tuple) -> tuple:
 def grace_classes(records: Iterable[tuple[int, Record]], folder: str, table_bytes: int = TABLE_BYTES, depth: int = 0) -> Iterator[tuple[int, tuple[bool, int], int, int]]:
     """(representative, id that stays, row that stays, rows of the class) of each record.
 
-    Records go into a table; when their content exceeds it, all go to spill files by the next hash bits, and each file
-    is treated alike. When no bits are left, a bucket's records have one hash, and the table holds its distinct
-    contents only.
+    Records go into a table, which holds each content once and of every record a reference of MEMBER bytes. When that
+    exceeds table_bytes, all go to spill files by the next hash bits, a content of the table once with its references
+    after it, and each file is treated alike. A bucket of one content can't be split and stays in its table; when no
+    bits are left, a bucket's records have one hash, and the table holds its distinct contents.
     """
     last = (depth + 1) * FAN_BITS > 60
-    table, members, best, total, waiting, used = ContentTable(), [], [], [], [], 0
+    table, members, best, total, held = ContentTable(), [], [], [], 0
     records = iter(records)
     for h, r in records:
-        used += len(r[1]) + 200
-        if not last and used > table_bytes and waiting:
+        if not last and len(table.contents) > 1 and table.bytes + held > table_bytes:
             break
         entry = table.put(h, r[1])
         if entry == len(members):
-            members.append([])
+            members.append(array("Q"))
             best.append((r[3], r[4]))
             total.append(0)
         members[entry].append(r[0])
+        held += MEMBER
         best[entry] = _better(best[entry], (r[3], r[4]))
         total[entry] += r[2]
-        if not last:
-            waiting.append((h, r))
     else:
         for reps, (doc, row), n in zip(members, best, total, strict=True):
             for rep in reps:
                 yield rep, doc, row, n
         return
-    del table, members, best, total
     paths = [os.path.join(folder, f"{depth}-{i}-{os.urandom(6).hex()}") for i in range(1 << FAN_BITS)]
     files = [open(p, "wb", buffering=1 << 16) for p in paths]  # noqa: SIM115
     shift, mask = 60 - FAN_BITS * depth, (1 << FAN_BITS) - 1
     try:
-        for x in waiting:
-            _write(files[x[0] >> shift & mask], *x)
-        waiting.clear()
+        for x, content, reps, (doc, row), n in zip(table.hashes, table.contents, members, best, total, strict=True):
+            # the first reference carries the sums of all so far
+            for i, rep in enumerate(reps):
+                _write(files[x >> shift & mask], x, (rep, content, 0 if i else n, doc, row), same=i > 0)
+        del table, members, best, total
         _write(files[h >> shift & mask], h, r)
         for x in records:
             _write(files[x[0] >> shift & mask], *x)
@@ -211,7 +220,7 @@ def _classes(table_bytes: int) -> Callable:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = unclashed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     folded = arrow_map(rows, _fold(table_bytes), "row long, doc_id long, rep long, sha string, content binary, hash long, n long, best_id long, best_row long")
     # rows are numbered by their place, which a recomputation after a shuffle could change; so the numbered rows are written once
     folded = materialize(folded, "exact-fold")
@@ -226,6 +235,6 @@ SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)
 """
