@@ -39,6 +39,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def unclashed(df: DataFrame, *needed: str) -> DataFrame:
+    """df with other names for columns whose names differ from a needed or an earlier one by case only, which Spark can't tell apart."""
+    names, seen = [], {c.lower() for c in needed}
+    for i, c in enumerate(df.columns):
+        clash = c not in needed and c.lower() in seen
+        names.append(f"_{i}_{c}" if clash else c)
+        seen.add(c.lower())
+    return df if names == df.columns else df.toDF(*names)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of df has or begins with."""
     name = f"_{stem}"
@@ -64,17 +74,19 @@ def hot_lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, coun
     return rows.join(hot, on, "inner").union(rows.join(hot.select(table_key), on, "left_anti").join(cold, on, "inner"))
 
 
-#: Bits of the filter that candidates' texts are looked up with.
-FILTER_BITS = 1 << 27
+#: Bits of a filter for each member, and at most: 128 MB. A filter that is fuller lets more through, which a join then stops.
+MEMBER_BITS, MOST_BITS = 64, 1 << 30
 
 
-def hash_filter(ids: DataFrame, column: str = "id", bits: int = FILTER_BITS) -> bytearray:
-    """A filter of fixed size (bits / 8 bytes) that has the top bits of each hash: what it lets through may be wanted, what it stops is not.
+def hash_filter(ids: DataFrame, column: str = "id") -> bytearray:
+    """A filter that has the top bits of each hash: what it lets through may be wanted, what it stops is not.
 
-    Words of the filter are made on the executors; at most bits / 64 of them come to the driver.
+    Its size, a power of two, is by the number of members, within MOST_BITS. Words of the filter are made on the
+    executors; at most bits / 64 of them come to the driver.
     """
     import numpy as np
 
+    bits = min(MOST_BITS, 1 << (MEMBER_BITS * max(ids.count(), 1 << 14) - 1).bit_length())
     shift = 64 - (bits.bit_length() - 1)
     slot = F.shiftrightunsigned(column, shift)
     words = ids.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({column}, {shift}), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
@@ -84,9 +96,9 @@ def hash_filter(ids: DataFrame, column: str = "id", bits: int = FILTER_BITS) ->
     return bytearray(out.tobytes())
 
 
-def passes(filter_words, hashes, bits: int = FILTER_BITS):
+def passes(filter_words, hashes):
     """Which of the uint64 hashes the filter lets through."""
     import numpy as np
 
-    slot = hashes >> np.uint64(64 - (bits.bit_length() - 1))
+    slot = hashes >> np.uint64(64 - (64 * len(filter_words)).bit_length() + 1)
     return (filter_words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0

@@ -25,7 +25,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 
-from .common import FILTER_BITS, arrow_map, default_partitions, hash_filter, hot_lookup, materialize, passes
+from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes, unclashed
 from .components import connected_components
 from .verify import char_shingles, mix64, packed_shingles, verified_links
 
@@ -187,7 +187,7 @@ def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS,
 
 
 def line_texts(rows: DataFrame, members: DataFrame, least: int = K) -> DataFrame:
-    """(id, text) of the members' lines, one row for each; lines that aren't members are stopped in the scan by a filter of fixed size, those of under ``least`` bytes before it."""
+    """(id, text) of the members' lines, one row for each; lines that aren't members are stopped in the scan by a filter of bounded size, those of under ``least`` bytes before it."""
     held = rows.sparkSession.sparkContext.broadcast(bytes(hash_filter(members)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def line_texts(rows: DataFrame, members: DataFrame, least: int = K) -> DataFrame
                     ids.append(_id(form))
                     forms.append(form)
             ids = np.array(ids, np.int64)
-            keep = np.flatnonzero(passes(table, ids.view(np.uint64), FILTER_BITS)).tolist() if len(ids) else []
+            keep = np.flatnonzero(passes(table, ids.view(np.uint64))).tolist() if len(ids) else []
             if len(seen) > SEEN:
                 seen.clear()
             keep = [i for i in keep if ids[i] not in seen and not seen.add(ids[i])]
@@ -229,30 +229,35 @@ def _place(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-def _with_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __key (place by doc_id) and __part, which tells the documents of one place apart: a hash of the text, or the row's number where doc_id is null.
+def _with_places(docs: DataFrame, id_col: str, text_col: str, key: str, part: str) -> DataFrame:
+    """docs with columns key (place by doc_id) and part, which tells the documents of one place apart: a hash of the text, or the row's number where doc_id is null.
 
     Row numbers hold for one evaluation only, so the rows are written once if any needs its number.
     """
     null = F.col(id_col).cast("long").isNull()
     if docs.where(null).limit(1).isEmpty():
-        return docs.withColumns({"__key": _place(id_col), "__part": F.xxhash64(F.col(text_col))})
-    part = F.when(null, F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(text_col)))
-    return materialize(docs.withColumns({"__key": _place(id_col), "__part": part}), "line-rows")
+        return docs.withColumns({key: _place(id_col), part: F.xxhash64(F.col(text_col))})
+    own = F.when(null, F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(text_col)))
+    return materialize(docs.withColumns({key: _place(id_col), part: own}), "line-rows")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with text_col cleaned, and two more columns: line_count (lines before) and line_dropped (array of the numbers of dropped lines)."""
-    placed = _with_places(docs, id_col, text_col)
-    texts = placed.select(F.col("__key").alias("place"), F.col("__part").alias("part"), F.col(text_col).alias("text"))
+    passed = [c for c in docs.columns if c not in ("line_count", "line_dropped")]
+    plain = unclashed(docs, id_col, text_col, "line_count", "line_dropped").drop("line_count", "line_dropped")
+    name = fresh_name(plain, "line")
+    key, part, place, of, dropped = (f"{name}_{x}" for x in ("key", "part", "place", "of", "dropped"))
+    placed = _with_places(plain, id_col, text_col, key, part)
+    texts = placed.select(F.col(key).alias("place"), F.col(part).alias("part"), F.col(text_col).alias("text"))
     gone = dropped_lines(texts, k, bands, rows, threshold, min_bytes)
-    gone = gone.select(F.col("place").alias("__place"), F.col("part").alias("__of"), F.col("dropped").alias("__dropped"))
+    gone = gone.select(F.col("place").alias(place), F.col("part").alias(of), F.col("dropped").alias(dropped))
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    text = F.when(F.col("__dropped").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    # the documents' side isn't sorted: the other one, a row of line numbers for each document that loses some, is hashed
-    joined = placed.join(gone.hint("shuffle_hash"), (F.col("__key") == F.col("__place")) & (F.col("__part") == F.col("__of")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    text = F.when(F.col(dropped).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # the documents' side isn't sorted: the other one, line numbers of the documents that lose some, is hashed; a task's
+    # part of it is smaller than the lines that it numbers
+    joined = placed.join(gone.hint("shuffle_hash"), (F.col(key) == F.col(place)) & (F.col(part) == F.col(of)), "left")
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("line_count", "line_dropped")],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).alias("line_count"), F.coalesce(F.col("__dropped"), F.array().cast("array<int>")).alias("line_dropped"),
-    )
+        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in plain.columns],
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).alias("line_count"), F.coalesce(F.col(dropped), F.array().cast("array<int>")).alias("line_dropped"),
+    ).toDF(*passed, "line_count", "line_dropped")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, default_partitions
+from .common import HOT_SHARE, arrow_map, default_partitions, materialize
 
 #: Members of a group that one task compares at once; larger groups are dealt as pairs of blocks of half that size.
 BLOCK = 2000
@@ -63,14 +63,24 @@ def jaccard_at_least(threshold: float) -> Callable[[np.ndarray, np.ndarray], boo
 
 
 def split_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (group, id) with a part: groups of more than ``block`` members become pairs of blocks, so that each pair of members meets in one part and no task holds a whole large group."""
+    """Rows (group, id) with a part: groups of more than ``block`` members become pairs of blocks, so that each pair of members meets in one part and no task holds a whole large group.
+
+    Groups with over a thousandth of all members are fewer than a thousand, and their sizes are broadcast within that
+    bound; those of the other large groups are joined as Spark sees fit, by a shuffle in which no group has more than
+    that share of the members.
+    """
     half = block // 2
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select(F.col("group").alias("g"), F.ceil(F.col("size") / half).cast("int").alias("blocks"))
-    dealt = members.join(sizes, F.col("group") == F.col("g"), "left").drop("g")
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
+    sizes = materialize(sizes.select(F.col("group").alias("g"), "size", F.ceil(F.col("size") / half).cast("int").alias("blocks")), "group-sizes")
+    limit = max(block, members.count() // HOT_SHARE)
+    on = F.col("group") == F.col("g")
+    hot = F.broadcast(sizes.where(F.col("size") > limit).limit(HOT_SHARE))
+    dealt = members.join(hot, on, "inner").select("group", "id", "blocks")
+    others = members.join(hot.select("g"), on, "left_anti").join(sizes.where(F.col("size") <= limit), on, "left").select("group", "id", "blocks")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
     parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)
-    return dealt.select("group", "id", F.explode(parts).alias("part"))
+    return dealt.union(others).select("group", "id", F.explode(parts).alias("part"))
 
 
 def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[list[bytes]], list[np.ndarray]], threshold: float) -> DataFrame:
