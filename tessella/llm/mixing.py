@@ -15,15 +15,15 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from .common import materialize, prepare, word_count
+from .common import materialize, prepare, unclashed, word_count
 
 #: Rows of a source that one range of keys holds on average.
 ROWS_PER_RANGE = 2000
 
 
-def hash_key(doc_id: Column, seed: str) -> Column:
-    """A uniform key of 60 bits."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def hash_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A uniform key of 60 bits; rows without an id are told apart by their texts."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -64,9 +64,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     doesn't cut rows: the row at the cut counts if at least half of it is before the cut.
     """
     prepare(docs.sparkSession)
+    docs = unclashed(docs, id_col, text_col, source_col)
 
     def row(*more: Column) -> DataFrame:
-        return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), hash_key(F.col(id_col), seed).alias("key"), word_count(F.col(text_col)).alias("size"), *more)
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), hash_key(F.col(id_col), F.col(text_col), seed).alias("key"), word_count(F.col(text_col)).alias("size"), *more)
 
     narrow = materialize(row(), "mix-sizes")
     targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), cycle, most)
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("ranges_before"))
 
-    rows = narrow if carry is None else row(*[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = narrow if carry is None else row(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
     inside = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         ranged(rows)
@@ -103,16 +104,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix has it as a whole."""
-    copies = mix(docs, carry=docs.columns, **options)
+    plain = unclashed(docs, *(options.get(k, k[:-4] if k != "id_col" else "doc_id") for k in ("id_col", "text_col", "source_col")))
+    copies = mix(plain, carry=plain.columns, **options)
     repeated = copies.withColumn("copy", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).where("copies > 0")
-    return repeated.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    return repeated.select(*[F.col(f"`c_{c}`") for c in plain.columns]).toDF(*docs.columns)
 
 
 #: DuckDB SQL for op7.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
-         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS key,
+         ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15))::BIGINT AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM {documents}),
 src AS (
