@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import arrow_map
+from .common import arrow_map, unclashed
 
-#: Words whose encoding a task remembers.
-CACHE = 120_000
+#: Words whose encoding a task remembers, and characters in them.
+CACHE, CACHE_CHARS = 120_000, 8 << 20
 #: Unicode White_Space, as the word pattern of the vocabulary file has it (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -245,23 +245,25 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of words: the recent ones and, until that is full, those before."""
+    """Encodes texts with a memory of words that is bounded in words and in their characters: the recent ones and, until that is full, those before."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = CACHE) -> None:
-        self.v, self.cache, self.known, self.old = vocabulary, cache, {}, {}
+    def __init__(self, vocabulary: Vocabulary, cache: int = CACHE, chars: int = CACHE_CHARS) -> None:
+        self.v, self.cache, self.chars, self.known, self.old, self.held = vocabulary, cache, chars, {}, {}, 0
 
     def _learn(self, words: set[str]) -> None:
         """Makes the words known."""
-        if len(self.known) > self.cache:
-            self.known, self.old = {}, self.known
+        if len(self.known) > self.cache or self.held > self.chars:
+            self.known, self.old, self.held = {}, self.known if self.held <= self.chars else {}, 0
         else:
             words = words.difference(self.known)
         if self.old:
             found = {w: self.old[w] for w in words if w in self.old}
             self.known.update(found)
+            self.held += sum(map(len, found))
             words = words.difference(found)
         if words:
             self.known.update(self.v.encode_words(words))
+            self.held += sum(map(len, words))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         v = self.v
@@ -294,7 +296,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
     number = vocabulary._jbroadcast.id()  # the worker must not hold the words of another vocabulary
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry or []])
+    chosen = unclashed(docs, id_col, text_col, *carry or []).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry or []])
     kept = [c for c in chosen.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

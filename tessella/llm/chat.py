@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, unclashed
 
 CONTROL = re.compile(r"<s>|</s>|\[INST\]|\[/INST\]")
 _PLAIN = re.compile(r"(<|\[)(\\*)(/?s>|/?INST\])")
@@ -116,7 +116,7 @@ def format_chat(conversations: DataFrame, loss_role: str = "assistant") -> DataF
             close()
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = unclashed(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return arrow_map(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, FORMATTED)
 
 

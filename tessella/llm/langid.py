@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, unclashed
 
 SAMPLE, BITS, AMBIGUOUS = 400, 12, 0.6
 _LETTER = re.compile("[A-Za-z]")
@@ -115,6 +115,7 @@ class Model:
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample: int = SAMPLE, bits: int = BITS) -> Model | None:
     """Fits on a hash sample of rows; None if there is nothing to learn from."""
+    rows = unclashed(rows, lang_col, text_col, key_col)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(key_col)).alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -161,5 +162,5 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         lang[i], score[i], unsure[i] = name, float(s), bool(gap < 2 * ambiguous - 1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = unclashed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_map(rows, run, "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -32,6 +32,8 @@ from collections import Counter
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from .common import unclashed
+
 #: Signatures of a fingerprint, pieces of a k-mer, characters of a word that is a piece.
 BINS, K, PIECE = 64, 2, 12
 #: Characters of a piece of a longer word; words from which on a text needs no pieces of two characters.
@@ -209,7 +211,7 @@ def edited_texts(rows: DataFrame) -> DataFrame:
 
 def fingerprint_and_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = edited_texts(with_next(docs, id_col, text_col, buckets))
+    rows = edited_texts(with_next(unclashed(docs, id_col, text_col), id_col, text_col, buckets))
     rows = rows.select("bucket", "ghost", "order", "tie", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
     fp = fingerprints(rows, ["text", "edited"])
     done = fp.withColumn("fp_next", F.lag("fp_text").over(_in_range())).where("not ghost")

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import arrow_map, materialize, prepare
+from .common import arrow_map, materialize, prepare, unclashed
 
 SAMPLE, GRADES, FOLDS = 8000, 4, 3
 _NOT_WORD = re.compile(rb"[\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
@@ -166,11 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on a bounded hash sample of the labelled documents."""
     spark = docs.sparkSession
     prepare(spark)
+    labels = unclashed(labels, id_col, label_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     total = marks.count()
     # at most about ``sample`` rows of two numbers: a bounded broadcast
     chosen = marks.where(F.pmod(F.xxhash64(F.lit("toxicity"), "l_id"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, sample / max(1, total))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = unclashed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("l_id"), "inner").select("id", "toxic", "text")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int").alias("fold")
     rows = materialize(rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select("id", fold, "toxic", "text"), "toxic-sample")
@@ -238,10 +239,12 @@ def severity(model: Model, text: Column) -> Column:
 def grade_documents(docs: DataFrame, model: Model, text_col: str = "text", column: str = "tox") -> DataFrame:
     """docs with a column tox (see severity()), in place of one of that name."""
     prepare(docs.sparkSession)
-    return docs.withColumn(column, severity(model, F.col(text_col)))
+    passed = [c for c in docs.columns if c != column]
+    plain = unclashed(docs, text_col, column).drop(column)
+    return plain.withColumn(column, severity(model, F.col(text_col))).toDF(*passed, column)
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs whose P(grade > 0) is under ``least``."""
     prepare(docs.sparkSession)
-    return docs.where(severity(model, F.col(text_col))["p_toxic"] < least)
+    return unclashed(docs, text_col).where(severity(model, F.col(text_col))["p_toxic"] < least).toDF(*docs.columns)

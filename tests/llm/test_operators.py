@@ -238,6 +238,8 @@ def test_licenses_equal_plain_search():
 
 
 def test_license_edges():
+    whole = licenses.Scanner.build(licenses.TEMPLATES)
+    assert whole.retrieval(licenses.CONTAINMENT) > 0.997 and whole.retrieval(1.0) > 0.9995
     scanner = licenses.Scanner.build({"one": "Copyleft", "none": "--", "two": "all rights"})
     assert [m[0] for m in scanner.scan(b"copyleft all rights, All Rights (copyleft)")] == ["one", "two", "two", "one"]
     assert scanner.scan(b"copyleft") == [("one", 0, 1, 1.0)] and scanner.scan(b"") == [] and licenses.Scanner.build({}).scan(b"a b") == []
@@ -270,6 +272,22 @@ def test_grace_recursion(tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+@pytest.mark.parametrize("distinct", [1, 200])
+def test_grace_spills_a_hot_text_once(tmp_path, monkeypatch, distinct):
+    """A third of all records have one text: its bytes are written about once for each level that splits anything."""
+    written = []
+    plain = exact_dedup._write
+    monkeypatch.setattr(exact_dedup, "_write", lambda f, *a, **k: written.append(plain(f, *a, **k)))
+    rng = random.Random(22)
+    contents = [b"hot" * 500] * 400 + [bytes(rng.randrange(256) for _ in range(1500)) for _ in range(distinct)] * (4 if distinct > 1 else 1)
+    order = list(range(len(contents)))
+    rng.shuffle(order)
+    records = [(int.from_bytes(hashlib.sha1(contents[i]).digest()[:8]), (i, contents[i], 1, (True, i), i)) for i in order]
+    got = {rep: n for rep, _, _, n in exact_dedup.grace_classes(records, str(tmp_path), table_bytes=40_000)}
+    assert got == {i: contents.count(c) for i, c in enumerate(contents)}
+    assert sum(written) < (3 if distinct > 1 else 0.01) * sum(map(len, contents)) + 1
+
+
 def test_exact_dedup_edges(odd, empty):
     got = exact_dedup.exact_dedup(odd).collect()
     assert len(got) == 10 and sum(r.kept for r in got) == len({r.text_sha256 for r in got})
