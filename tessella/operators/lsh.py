@@ -22,9 +22,12 @@ from tessella.session import ship
 from .search import candidate_distances, ranked
 
 
+DECIMALS = 6
+
+
 @dataclass(frozen=True)
 class LshParams:
-    """Dimensions D, hashes per table M, tables L, buckets H, width W; seed of the random projections."""
+    """Dimensions D, hashes per table M, tables L, buckets H, width W; seed of the random projections, which have DECIMALS places so that they can be written down."""
 
     D: int
     M: int = 10
@@ -38,8 +41,8 @@ class LshParams:
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(self.seed)
-        object.__setattr__(self, "alphas", rng.standard_normal((self.L, self.M, self.D)))
-        object.__setattr__(self, "betas", rng.uniform(0, self.W, (self.L, self.M)))
+        object.__setattr__(self, "alphas", np.round(rng.standard_normal((self.L, self.M, self.D)), DECIMALS))
+        object.__setattr__(self, "betas", np.round(rng.uniform(0, self.W, (self.L, self.M)), DECIMALS))
         object.__setattr__(self, "weights", rng.integers(0, 1 << 32, (self.L, self.M), dtype=np.uint64))
 
     def project(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
@@ -116,6 +119,21 @@ def _emit(rows: DataFrame, params: LshParams, tables: int, probes: int, id_col:
     return chosen.mapInArrow(run, f"table_no int, bucket long, {id_name} long, probe int")
 
 
+def hash_vectors(vecs: DataFrame, params: LshParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(vec_id, table_no, hashes) of every vector and table. No shuffle."""
+    ship(vecs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).flatten()).reshape(len(batch), -1)
+            h = params.hashes(x).reshape(-1, params.M)
+            ends = pa.array(np.arange(len(h) + 1, dtype=np.int32) * params.M)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), params.L)), pa.array(np.tile(np.arange(params.L, dtype=np.int32), len(batch))), pa.ListArray.from_arrays(ends, pa.array(h.ravel()))], names=["vec_id", "table_no", "hashes"])
+
+    chosen = vecs.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
+    return chosen.mapInArrow(run, "vec_id long, table_no int, hashes array<long>")
+
+
 def build_index(vecs: DataFrame, params: LshParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(table_no, bucket, vec_id) of every vector. No shuffle; write it with save_index() to probe it often."""
     return _emit(vecs, params, params.L, 0, id_col, vec_col, "vec_id").drop("probe").distinct()
@@ -139,32 +157,27 @@ def lsh_knn(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, tabl
     return ranked(candidate_distances(found, vecs, queries, "L2_float", id_col, vec_col), k)
 
 
-def _normal(x: float) -> float:
-    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+#: The standard normal distribution function, on arrays.
+_normal = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), otypes=[float])
 
 
 def recall_table(params: LshParams, probes: int, steps: int = 100, low: float = 0.01, high: float = 4.0, squared: bool = False) -> np.ndarray:
     """Probabilities (probes + 1, steps) that a vector at each distance is found with 0, 1, ... extra probes in L tables.
 
-    Distances run from low to high; with squared they are squares.
+    Distances run from low to high; with squared they are squares. A projection of two vectors at distance d differs by
+    a normal deviate times d, so both fall into one slot of width W with the probability ``same``, and a deviate leads a
+    query at a given place of its slot across the border with ``across``; places are taken as evenly spread. A probe is
+    missed independently of the others.
     """
-    sets = perturbations(params.M, probes)
-    border = [(i + 1) / (params.M + 1) * 0.5 for i in range(params.M)]
-    border += [1 - b for b in reversed(border)]
-    out = np.zeros((probes + 1, steps))
-    for i in range(steps):
-        d = low + (high - low) * i / steps
-        x = params.W / (math.sqrt(d) if squared else d)
-        p = 2 * _normal(x) - 1 + math.sqrt(2 / math.pi) * (math.exp(-x * x / 2) - 1) / x
-        miss = math.log(max(1e-300, 1 - p**params.M))
-        out[0, i] = miss
-        for j, places in enumerate(sets, 1):
-            hit = p ** (params.M - len(places))
-            for s in places:
-                hit *= _normal((1 + border[s]) * x) - _normal(border[s] * x)
-            miss += math.log(max(1e-300, 1 - hit))
-            out[j, i] = miss
-    return 1 - np.exp(params.L * out)
+    d = low + (high - low) * np.arange(steps) / steps
+    width = params.W / (np.sqrt(d) if squared else d)
+    same = 2 * _normal(width) - 1 - math.sqrt(2 / math.pi) * (1 - np.exp(-(width**2) / 2)) / width
+    place = np.arange(1, params.M + 1) / (2 * (params.M + 1))
+    place = np.concatenate((place, 1 - place[::-1]))[:, None] * width
+    across = _normal(place + width) - _normal(place)
+    hits = [same**params.M] + [same ** (params.M - len(steps_)) * np.prod(across[list(steps_)], axis=0) for steps_ in perturbations(params.M, probes)]
+    missed = np.cumprod(1 - np.minimum(np.array(hits), 1 - 1e-16), axis=0)
+    return 1 - missed**params.L
 
 
 def probes_for_recall(table: np.ndarray, distance: np.ndarray, target: float, low: float, high: float) -> np.ndarray:

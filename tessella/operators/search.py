@@ -36,6 +36,18 @@ def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int, prefix: str)
     return block, n
 
 
+def _first_k(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least entries of each row of d, ties by id."""
+    k = min(k, d.shape[1])
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    r, c = np.nonzero(d <= kth)
+    order = np.lexsort((ids[c], d[r, c], r))
+    r, c = r[order], c[order]
+    begins = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    best = np.arange(len(r)) - np.repeat(begins, np.diff(np.append(begins, len(r)))) < k
+    return r[best], c[best]
+
+
 def _scan(table: DataFrame, queries: DataFrame, dist: str, k: int | None, limit: float | None, id_col: str, vec_col: str) -> DataFrame:
     ship(table.sparkSession)
     q, nq = _blocks(queries, id_col, vec_col, QUERY_BLOCK, "q")
@@ -52,8 +64,7 @@ def _scan(table: DataFrame, queries: DataFrame, dist: str, k: int | None, limit:
                 for at in range(0, len(qi), step):
                     d = np.round(between(qv[at : at + step], tv), DECIMALS)
                     if k is not None:
-                        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-                        r, c = np.nonzero(d <= kth)
+                        r, c = _first_k(d, ti, k)
                     else:
                         r, c = np.nonzero(d < limit)
                     yield pa.RecordBatch.from_arrays([pa.array(qi[at : at + step][r], pa.int64()), pa.array(ti[c], pa.int64()), pa.array(d[r, c], pa.float64())], names=["query_id", "id", "dist"])
