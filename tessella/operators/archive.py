@@ -21,6 +21,7 @@ from tessella.session import default_partitions, ship
 MAGIC, FINGERPRINT, COMPRESSED = 123456, 0, 1
 HEAD, RECORD = struct.Struct("<iB"), struct.Struct("<BQ")
 ARCHIVES = "file_idx long, archive binary, n_records long, bytes_in long, bytes_compressed long"
+_ARROW = pa.schema([("file_idx", pa.int64()), ("archive", pa.binary()), ("n_records", pa.int64()), ("bytes_in", pa.int64()), ("bytes_compressed", pa.int64())])
 
 
 def header(codec_name: str) -> bytes:
@@ -129,8 +130,40 @@ def write_archives(flagged: DataFrame, codec_name: str = "gzip") -> DataFrame:
 
         return fold
 
-    arrow = pa.schema([("file_idx", pa.int64()), ("archive", pa.binary()), ("n_records", pa.int64()), ("bytes_in", pa.int64()), ("bytes_compressed", pa.int64())])
-    return _stream_files(flagged.select("file_idx", "l1", "l2", "sha1", "is_dup", "data"), make, ARCHIVES, arrow)
+    return _stream_files(flagged.select("file_idx", "l1", "l2", "sha1", "is_dup", "data"), make, ARCHIVES, _ARROW)
+
+
+def pack_files(files: DataFrame, flagged: DataFrame, codec_name: str = "gzip", id_col: str = "file_idx", content_col: str = "content") -> DataFrame:
+    """One row of ARCHIVES for each file with chunks, from the files and their flagged layout (chunks without data).
+
+    A file's layout is one narrow row that is joined to it, so contents are shuffled once, cut and compressed in one
+    pass, and never travel as chunks.
+    """
+    ship(files.sparkSession)
+    head, compress = header(codec_name), codec(codec_name).compress
+    part = F.struct("l1", "l2", F.col("offset").alias("at"), "n", "is_dup", "sha1")
+    layout = flagged.groupBy(F.col("file_idx").alias("l_idx")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    rows = files.select(F.col(id_col).cast("long").alias("file_idx"), F.col(content_col).cast("binary").alias("content")).join(layout, F.col("file_idx") == F.col("l_idx"))
+    fields = [F.col(f"parts.{f}").alias(f) for f in ("at", "n", "is_dup", "sha1")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                content, out, kept = batch.column("content")[i].as_py(), [head], 0
+                lists = (batch.column(c)[i].as_py() for c in ("at", "n", "is_dup", "sha1"))
+                total = 0
+                for at, n, dup, sha1 in zip(*lists, strict=True):
+                    total += n
+                    if dup:
+                        out.append(record(FINGERPRINT, bytes.fromhex(sha1)))
+                    else:
+                        made = compress(content[at : at + n])
+                        kept += len(made)
+                        out.append(record(COMPRESSED, made))
+                made = {"file_idx": batch.column("file_idx")[i].as_py(), "archive": b"".join(out), "n_records": len(out) - 1, "bytes_in": total, "bytes_compressed": kept}
+                yield pa.RecordBatch.from_pylist([made], schema=_ARROW)
+
+    return rows.select("file_idx", "content", *fields).mapInArrow(run, ARCHIVES)
 
 
 def archive_records(archives: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 scope ``file``: a chunk repeats an earlier one of its file; ``global``: of any file, in the order (file, l1, l2). The
 first occurrence is an aggregate with partial sums before the shuffle, and only fingerprints that occur twice or more
-are joined back, so unique chunks cost one small shuffle and a hot fingerprint is a single row of the joined table.
+are written and joined back. Fingerprints with over a thousandth of all repeated chunks are fewer than a thousand and are
+broadcast within that bound; the others are joined by a shuffle in which none has more than that share.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from tessella.session import materialize
+
 from .chunking import size_slot, with_fingerprint
 
 SCOPES = ("file", "global")
+#: A hot fingerprint has more than this share of the repeated chunks, and so many copies at least.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
 
 
 def flag_duplicates(chunks: DataFrame, scope: str = "file") -> DataFrame:
@@ -23,11 +28,17 @@ def flag_duplicates(chunks: DataFrame, scope: str = "file") -> DataFrame:
     keys = ["file_idx", "sha1"] if scope == "file" else ["sha1"]
     place = F.struct(F.col("file_idx").alias("f"), F.col("l1").alias("l1"), F.col("l2").alias("l2"))
     firsts = chunks.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    firsts = firsts.select(*[F.col(k).alias(f"k_{k}") for k in keys], "first")
+    firsts = materialize(firsts.select(*[F.col(k).alias(f"k_{k}") for k in keys], "first", "copies"), "first-chunks")
+    limit = max(HOT_LEAST, (firsts.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
     on = F.col("sha1") == F.col("k_sha1")
     if scope == "file":
         on = on & F.col("file_idx").eqNullSafe(F.col("k_file_idx"))
-    joined = chunks.join(firsts, on, "left")
+    hot, cold = F.broadcast(firsts.where(F.col("copies") > limit).limit(HOT_SHARE)), firsts.where(F.col("copies") <= limit)
+    names = [*chunks.columns, "first"]
+    if firsts.where(F.col("copies") > limit).isEmpty():
+        joined = chunks.join(cold, on, "left")
+    else:
+        joined = chunks.join(hot, on, "inner").select(*names).union(chunks.join(hot, on, "left_anti").join(cold, on, "left").select(*names))
     dup = F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))
     of = lambda field, own: F.coalesce(F.col(f"first.{field}"), F.col(own))
     return joined.select(*chunks.columns, dup.alias("is_dup"), of("f", "file_idx").alias("first_file"), of("l1", "l1").alias("first_l1"), of("l2", "l2").alias("first_l2"))

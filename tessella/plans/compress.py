@@ -21,10 +21,13 @@ class CompressPlan:
 
 
 def compress(files: DataFrame, plan: CompressPlan = CompressPlan()) -> tuple[DataFrame, DataFrame]:
-    """(archives, flagged chunks) of files (file_idx, content); an empty file has an archive without records."""
-    chunks = chunking.cdc_chunks(files, "file_idx", "content", plan.chunks)
-    flagged = materialize(dedup.flag_duplicates(chunks, plan.scope), "flagged")
-    made = archive.write_archives(flagged, plan.codec)
+    """(archives, flagged layout of chunks) of files (file_idx, content); an empty file has an archive without records.
+
+    Files are cut once. Their layout is written, duplicates are found on it, and it comes back to the files to pack them.
+    """
+    layout = materialize(chunking.cdc_layout(files, "file_idx", "content", plan.chunks), "layout")
+    flagged = materialize(dedup.flag_duplicates(layout, plan.scope), "flagged")
+    made = archive.pack_files(files, flagged, plan.codec)
     empty = files.where(F.coalesce(F.octet_length(F.col("content").cast("binary")), F.lit(0)) == 0)
     none = empty.select(F.col("file_idx").cast("long"), F.lit(archive.header(plan.codec)).alias("archive"), *[F.lit(0).cast("long").alias(c) for c in ("n_records", "bytes_in", "bytes_compressed")])
     return made.unionByName(none), flagged

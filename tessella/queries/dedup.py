@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.operators import archive, chunking, dedup
+from tessella.plans.compress import CompressPlan, compress, restore
 from tessella.session import materialize
 
 from .common import LINES_SQL, query, table
@@ -19,10 +20,15 @@ def _cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cdc_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_idx"), F.col("text").cast("binary").alias("content"))
+
+
 @query()
 def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined chunks of every text with their digests."""
-    return chunking.with_fingerprint(_cdc(spark, sf_dir)).select("file_idx", "l1", "l2", "is_last_l2", "offset", "n", "sha1")
+    return chunking.cdc_layout(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("SELECT doc_id AS file_idx, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE octet_length(encode(text)) > 0")
@@ -114,25 +120,32 @@ def archive_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS file_idx, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE octet_length(encode(text)) > 0")
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined chunks to compressed archives and back."""
-    flagged = dedup.flag_duplicates(_cdc(spark, sf_dir), "file")
-    back = archive.decode_archives(archive.write_archives(flagged, "gzip"))
+    made, _ = compress(_files(spark, sf_dir))
+    back = restore(made.where("n_records > 0"))
     return back.select("file_idx", F.sha1("content").alias("sha1"), F.octet_length("content").cast("long").alias("n"))
 
 
 @query("SELECT doc_id AS file_idx, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE octet_length(encode(text)) > 0")
 def archive_roundtrip_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with one fingerprint index for all files, decoded by a join."""
-    flagged = dedup.flag_duplicates(_cdc(spark, sf_dir), "global")
-    records = materialize(archive.archive_records(archive.write_archives(flagged, "bzip2")), "records")
-    back = archive.decode_records(records)
+    made, _ = compress(_files(spark, sf_dir), CompressPlan(scope="global", codec="bzip2"))
+    back = archive.decode_records(materialize(archive.archive_records(made), "records"))
     return back.select("file_idx", F.sha1("content").alias("sha1"), F.octet_length("content").cast("long").alias("n"))
 
 
+@query(f"""WITH {LINES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY file_idx, sha1 ORDER BY l2) AS k FROM chunks)
+SELECT file_idx, CAST(5 + sum(CASE WHEN k > 1 THEN 29 ELSE 9 + n END) AS BIGINT) AS archive_bytes, count(*) AS n_records FROM r WHERE n > 0 GROUP BY file_idx""")
+def archive_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of the lines of texts, uncompressed, written record by record: their real sizes."""
+    lines = _lines(spark, sf_dir).where("n > 0")
+    return archive.write_archives(dedup.flag_duplicates(lines, "file"), "none").select("file_idx", F.octet_length("archive").cast("long").alias("archive_bytes"), "n_records")
+
+
 @query()
 def archive_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and ratios of all archives, zlib."""
-    flagged = materialize(dedup.flag_duplicates(_cdc(spark, sf_dir), "file"), "flagged")
-    made = archive.write_archives(flagged, "gzip").agg(F.sum(F.octet_length("archive")).alias("bytes_out"), F.sum("bytes_compressed").alias("bytes_compressed"))
+    archives, flagged = compress(_files(spark, sf_dir))
+    made = archives.agg(F.sum(F.octet_length("archive")).alias("bytes_out"), F.sum("bytes_compressed").alias("bytes_compressed"))
     stats = dedup.dedup_stats(flagged).withColumn("one", F.lit(1)).join(made.withColumn("one", F.lit(1)), "one").drop("one")
     return dedup.ratios(stats).withColumn("size_in", dedup.human_size(F.col("bytes_in"))).withColumn("size_out", dedup.human_size(F.col("bytes_out")))
 
