@@ -76,89 +76,93 @@ def _power_tables(exponent: int) -> list[list[int]]:
     return tables
 
 
-@lru_cache(maxsize=4)
-def _corrections(window: int, mask: int, length: int) -> np.ndarray:
-    """Rows (bit, j): low bits of (x^(8(j+1)) + [j >= w] x^(8(j-w+2))) * x^bit for the position j of a chunk."""
+@lru_cache(maxsize=2)
+def _powers(length: int) -> np.ndarray:
+    """x^(8j) * x^bit for j = 0..length, rows (j, bit)."""
     power = np.zeros((length + 1, 32), np.uint32)
     power[0] = np.uint32(1) << np.arange(32, dtype=np.uint32)
     for j in range(1, length + 1):
         power[j] = times_x8(power[j - 1])
+    return power
+
+
+@lru_cache(maxsize=4)
+def _corrections(window: int, mask: int, length: int) -> np.ndarray:
+    """Rows (bit, j): low bits of (x^(8(j+1)) + [j >= w] x^(8(j-w+2))) * x^bit for the position j of a chunk."""
+    power = _powers(length)
     out = power[1:].copy()
     if length > window:
         out[window:] ^= power[2 : length - window + 2]
     return np.ascontiguousarray((out & np.uint32(mask)).T).astype(np.uint16 if mask <= 0xFFFF else np.uint32)
 
 
+def _bits(seed: int) -> list[int]:
+    return [b for b in range(32) if seed >> b & 1]
+
+
+class Cutter:
+    """Finds the cuts of a byte array; its fingerprints are made once."""
+
+    #: Positions of a chunk that the table of corrections has; beyond them the seed is carried on and the table used again.
+    LENGTH, BLOCK = 16_384, 2048
+
+    def __init__(self, data: np.ndarray, window: int = WINDOW, mask: int = MASK) -> None:
+        self.w, self.mask, self.g = window, mask, buffer_fingerprints(data)
+        low = self.g.copy()
+        if len(low) > window:
+            low[window:] ^= times_x8(self.g[:-window])
+        self.low = (low & np.uint32(mask)).astype(np.uint16 if mask <= 0xFFFF else np.uint32)
+        self.length = max(self.LENGTH, 4 * window)
+        self.table = _corrections(window, mask, self.length)
+
+    def next(self, c: int, end: int) -> int:
+        """Where the chunk that begins at c ends, at most at ``end``; a rest below the window is a chunk of its own."""
+        w = self.w
+        if end - c < w:
+            return end
+        seed = int(self.g[c - 1]) if c else 0
+        bits = _bits(seed)
+        # the last byte of the first window: no outgoing byte yet, and what lies before the chunk must not come in
+        first = int(self.g[c + w - 1]) & self.mask
+        for b in bits:
+            first ^= int(self.table[b, w - 1])
+        if first & self.mask == 0:
+            return c + w
+        j, block, shift = w, self.BLOCK, 0
+        while c + j < end:
+            hi = min(j + block, end - c)
+            if hi - shift > self.length:
+                # corrections of seed * x^(8 ahead) at j - ahead are those of seed at j
+                ahead = j - shift - w
+                seed = int(np.bitwise_xor.reduce(_powers(self.length)[ahead][bits])) if bits else 0
+                bits, shift = _bits(seed), shift + ahead
+                hi = min(hi, j + self.length - w)
+            value = self.low[c + j : c + hi].copy()
+            for b in bits:
+                value ^= self.table[b, j - shift : hi - shift]
+            hit = np.flatnonzero(value == 0)
+            if len(hit):
+                return c + j + int(hit[0]) + 1
+            j, block = hi, min(block * 2, self.length // 2)
+        return end
+
+    def lengths(self, start: int, end: int) -> list[int]:
+        """Lengths of the chunks of a range that is a buffer of its own."""
+        out = []
+        while start < end:
+            stop = self.next(start, end)
+            out.append(stop - start)
+            start = stop
+        return out
+
+
 def cuts(buffers: list[bytes], window: int = WINDOW, mask: int = MASK) -> list[list[int]]:
     """Chunk lengths of each buffer, by position from its start; a rest below the window is a chunk of its own."""
     data = np.frombuffer(b"".join(buffers), np.uint8)
     if not len(data):
         return [[] for _ in buffers]
-    g = buffer_fingerprints(data)
-    low = g.copy()
-    if len(g) > window:
-        low[window:] ^= times_x8(g[:-window])
-    low = (low & np.uint32(mask)).astype(np.uint16 if mask <= 0xFFFF else np.uint32)
-    first_low = (g & np.uint32(mask)).astype(low.dtype)
-    # the first window of a chunk has no outgoing byte, and what lies before the chunk must not come in
-    out, at = [], 0
-    table = _corrections(window, mask, 16_384)
+    cutter, at, out = Cutter(data, window, mask), 0, []
     for b in buffers:
-        start, end, lengths = at, at + len(b), []
-        while start < end:
-            stop = _next_cut(g, low, first_low, start, end, window, mask, table)
-            lengths.append(stop - start)
-            start = stop
-        out.append(lengths)
-        at = end
+        out.append(cutter.lengths(at, at + len(b)))
+        at += len(b)
     return out
-
-
-def _next_cut(g: np.ndarray, low: np.ndarray, first_low: np.ndarray, c: int, end: int, w: int, mask: int, table: np.ndarray) -> int:
-    if end - c < w:
-        return end
-    seed = int(g[c - 1]) if c else 0
-    bits = [b for b in range(32) if seed >> b & 1]
-    # the last byte of the first window: no outgoing byte yet
-    first = int(first_low[c + w - 1])
-    for b in bits:
-        first ^= int(table[b, w - 1])
-    if first & mask == 0:
-        return c + w
-    j, block = w, 2048
-    length = table.shape[1]
-    while c + j < end:
-        hi = min(j + block, end - c)
-        if hi > length:
-            return _slow_cut(g, c, end, w, mask, j)
-        value = low[c + j : c + hi].copy()
-        for b in bits:
-            value ^= table[b, j:hi]
-        hit = np.flatnonzero(value == 0)
-        if len(hit):
-            return c + j + int(hit[0]) + 1
-        j, block = hi, block * 2
-    return end
-
-
-def _slow_cut(g: np.ndarray, c: int, end: int, w: int, mask: int, j: int) -> int:
-    """Beyond the table of corrections: the correction is carried on from position to position, in blocks."""
-    seed = int(g[c - 1]) if c else 0
-    tables = _power_tables(8)
-
-    def up(v: int) -> int:
-        return tables[0][v & 255] ^ tables[1][v >> 8 & 255] ^ tables[2][v >> 16 & 255] ^ tables[3][v >> 24]
-
-    ahead, behind, i = seed, 0, 0  # seed * x^(8(i+1)) and seed * x^(8(i-w+2)) for i = j
-    for i in range(j + 1):
-        ahead = up(ahead)
-        if i == w:
-            behind = up(up(seed))
-        elif i > w:
-            behind = up(behind)
-    for i in range(j, end - c):
-        h = int(g[c + i]) ^ up(int(g[c + i - w])) ^ ahead ^ behind
-        if h & mask == 0:
-            return c + i + 1
-        ahead, behind = up(ahead), up(behind)
-    return end

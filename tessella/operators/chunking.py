@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tessella.functions import rabin
-from tessella.session import ship
+from tessella.session import open_path, ship
 
 CHUNKS = "file_idx long, l1 int, l2 int, is_last_l2 boolean, offset long, n long, data binary"
 LAYOUT = "file_idx long, l1 int, l2 int, is_last_l2 boolean, offset long, n long, sha1 string"
@@ -34,15 +35,66 @@ def split_levels(content: bytes, params: ChunkParams) -> list[tuple[int, list[in
     if not params.coarse_anchor:
         return [(0, rabin.cuts([content], params.window, params.mask)[0])]
     parts, at = [], 0
+    cutter = rabin.Cutter(np.frombuffer(content, np.uint8), params.window, params.mask) if content else None
     while at < len(content):
         end = len(content)
         if len(content) - at > params.coarse_anchor:
-            end = at + params.coarse_anchor + rabin.cuts([content[at + params.coarse_anchor :]], params.window, params.mask)[0][0]
-        parts.append((at, rabin.cuts([content[at:end]], params.window, params.mask)[0]))
+            end = cutter.next(at + params.coarse_anchor, len(content))
+        parts.append((at, cutter.lengths(at, end)))
         at = end
     return parts
 
 
+def cut_blocks(blocks: Iterator[bytes], params: ChunkParams = ChunkParams()) -> Iterator[bytes]:
+    """The content-defined chunks (one level) of a file that comes in blocks: what follows a block's last cut is carried into the next one."""
+    carry = b""
+    for block in blocks:
+        carry += block
+        lengths, at = rabin.cuts([carry], params.window, params.mask)[0], 0
+        for n in lengths[:-1]:
+            yield carry[at : at + n]
+            at += n
+        carry = carry[at:]
+    # a cut at the very end of the data was found as one, an end without cut is a cut too
+    at = 0
+    for n in rabin.cuts([carry], params.window, params.mask)[0]:
+        yield carry[at : at + n]
+        at += n
+
+
+def cdc_layout_of_paths(paths: DataFrame, params: ChunkParams = ChunkParams(), block_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of LAYOUT (one level) for files (file_idx, path) that are read block by block, so that no file is ever a value of its own.
+
+    A path is a URI or a local path that pyarrow's file systems open (file, hdfs, s3, gs). A task holds one block and
+    the chunk that goes over its border.
+    """
+    ship(paths.sparkSession)
+    schema = pa.schema([("file_idx", pa.int64()), ("l1", pa.int32()), ("l2", pa.int32()), ("is_last_l2", pa.bool_()), ("offset", pa.int64()), ("n", pa.int64()), ("sha1", pa.string())])
+
+    def blocks(path: str) -> Iterator[bytes]:
+        system, name = open_path(path)
+        with system.open_input_stream(name) as f:
+            while block := f.read(block_bytes):
+                yield block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, held, at = [], None, 0
+                for l2, chunk in enumerate(cut_blocks(blocks(path), params)):
+                    if held:
+                        rows.append(held)
+                    held = {"file_idx": f, "l1": 0, "l2": l2, "is_last_l2": False, "offset": at, "n": len(chunk), "sha1": hashlib.sha1(chunk).hexdigest()}
+                    at += len(chunk)
+                    if len(rows) >= 5000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+                if held:
+                    yield pa.RecordBatch.from_pylist([*rows, held | {"is_last_l2": True}], schema=schema)
+
+    return paths.select(F.col("file_idx").cast("long"), "path").mapInArrow(run, LAYOUT)
+
+
 def cdc_chunks(files: DataFrame, id_col: str, content_col: str, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Rows of CHUNKS for each file, cut by content; a null or empty file has none. No shuffle."""
     return _cut_files(files, id_col, content_col, params, ("data", pa.binary(), bytes), CHUNKS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,16 +50,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session in one process gets a folder of its own; on a cluster that would lose data, so it is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
     return _own_dirs[app]
 
 
+def open_path(path: str):
+    """(pyarrow file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), os.path.abspath(path)) if "://" not in path else fs.FileSystem.from_uri(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a table in the shared folder and rereads it: this cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession

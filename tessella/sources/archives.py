@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
-import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +14,9 @@ from pyspark.sql.types import StructType
 
 from tessella.functions.codecs import codec_by_code
 from tessella.operators import archive
-from tessella.session import ship
+from tessella.session import open_path, ship
 
-SUFFIX = ".ddp"
+SUFFIX, PART = ".ddp", ".part"
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +37,7 @@ def decode_folder(spark: SparkSession, folder: str) -> DataFrame:
 class ArchiveSource(DataSource):
     """format("ddp"): reads records (file_name, rec_no, kind, sha1, data) of the archives at a path; writes rows (file_name, archive) as one file each.
 
-    Paths are those of a file system that all executors see.
+    A path is a URI or a local path that pyarrow's file systems open (file, hdfs, s3, gs) and that all executors see.
     """
 
     @classmethod
@@ -60,45 +59,72 @@ class _File(InputPartition):
     path: str
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """Names of the files that a task wrote beside the old ones."""
+
+    parts: list[str]
+
+
+def _listed(path: str, suffix: str) -> list[str]:
+    """Base names of the files with a suffix right below a folder, in order."""
+    from pyarrow import fs
+
+    system, folder = open_path(path)
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.is_file and f.base_name.endswith(suffix))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.path = path.rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
-        files = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(os.path.join(self.path, "*" + SUFFIX)))
-        return [_File(f) for f in files]
+        system, name = open_path(self.path)
+        if system.get_file_info(name).is_file:
+            return [_File(self.path)]
+        return [_File(f"{self.path}/{f}") for f in _listed(self.path, SUFFIX)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        system, name = open_path(partition.path)
+        with system.open_input_stream(name) as f:
             code, records = archive.parse_archive(f.read())
         expand = codec_by_code(code).decompress
         for i, (kind, payload) in enumerate(records):
             data = expand(payload) if kind == archive.COMPRESSED else None
-            yield os.path.basename(partition.path), i, kind, hashlib.sha1(data).hexdigest() if data is not None else payload.hex(), data
+            yield name.rsplit("/", 1)[-1], i, kind, hashlib.sha1(data).hexdigest() if data is not None else payload.hex(), data
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write under names of their own; the commit gives the files their names, and only then old ones go."""
+
     def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path.removeprefix("file://"), overwrite
-        if overwrite:
-            for old in glob.glob(os.path.join(self.path, "*" + SUFFIX)):
-                os.remove(old)
+        self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = open_path(self.path)
+        system.create_dir(folder, recursive=True)
+        parts = []
         for row in rows:
-            target = os.path.join(self.path, row.file_name + SUFFIX)
-            with open(target + ".part", "wb") as f:
+            parts.append(f"{row.file_name}{SUFFIX}.{uuid.uuid4().hex}{PART}")
+            with system.open_output_stream(f"{folder}/{parts[-1]}") as f:
                 f.write(row.archive)
-            os.replace(target + ".part", target)
-        return WriterCommitMessage()
+        return _Written(parts)
 
     def commit(self, messages: list) -> None:
-        """Each file is complete when it has its name."""
+        system, folder = open_path(self.path)
+        old = set(_listed(self.path, SUFFIX)) if self.overwrite else set()
+        for part in (p for m in messages if m for p in m.parts):
+            name = part[: -len(PART) - 33]
+            system.move(f"{folder}/{part}", f"{folder}/{name}")
+            old.discard(name)
+        for name in old:
+            system.delete_file(f"{folder}/{name}")
 
     def abort(self, messages: list) -> None:
-        for part in glob.glob(os.path.join(self.path, "*.part")):
-            os.remove(part)
+        system, folder = open_path(self.path)
+        for part in (p for m in messages if m for p in m.parts):
+            system.delete_file(f"{folder}/{part}")
 
 
 def register(spark: SparkSession) -> None:

@@ -3,19 +3,42 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.session import materialize
+
+
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows (with distinct values of a column) with name: the place of each value in their order, from 0.
+
+    The values are sorted by ranges and written; a row's number is its place in its range and the number of rows in the
+    ranges before, which is all that is collected.
+    """
+    sorted_ = materialize(rows.repartitionByRange(column).sortWithinPartitions(column).select("*", F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_place")), "numbered")
+    before, total = {}, 0
+    for r in sorted_.groupBy("_range").count().orderBy("_range").collect():
+        before[r["_range"]] = total
+        total += r["count"]
+    starts = F.split(F.lit(",".join(str(before.get(i, 0)) for i in range(max(before, default=0) + 1))), ",").cast("array<long>")
+    return sorted_.select(*rows.columns, (F.get(starts, F.col("_range")) + F.col("_place")).alias(name))
 
 
 def scan_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(file_idx, file_name, size, content) of a folder's files but those whose name starts with a dot; file_idx numbers them by path.
 
-    The numbering is a window over paths only; contents aren't sorted. Spark's scan leaves out empty files.
+    Only paths are sorted to number them. Spark's scan leaves out empty files.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = found.where(~name.startswith("."))
-    numbered = files.select("path").withColumn("file_idx", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
-    return files.join(numbered, "path").select("file_idx", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), "content")
+    files = found.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    places = numbered(files.select("path"), "path", "file_idx").withColumnRenamed("path", "n_path")
+    return files.join(places, F.col("path") == F.col("n_path")).select("file_idx", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), "content")
+
+
+def scan_paths(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """(file_idx, path, size) of the same files without their contents, for reading them block by block."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    files = found.where(~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", F.col("length").alias("size"))
+    return numbered(files, "path", "file_idx").select("file_idx", "path", "size")
 
 
 def file_totals(files: DataFrame) -> DataFrame:

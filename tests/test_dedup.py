@@ -1,6 +1,9 @@
+import random
+
 import pyspark.sql.functions as F
 import pytest
 
+from tessella.functions import rabin
 from tessella.operators import archive, chunking, dedup
 from tessella.plans import compress as plans
 from tessella.sources import archives as sources
@@ -100,6 +103,69 @@ def test_folder_and_data_source(spark, tmp_path):
     assert records.where("kind = 1").agg(F.sum(F.octet_length("data"))).first()[0] <= 30_000
 
 
+@pytest.mark.parametrize("size", [1, 33, 1000, 4096, 100_000])
+def test_blocks_with_carry(size):
+    rng = random.Random(size)
+    content = bytes(rng.randrange(256) for _ in range(30_000)) + b"\0" * 500 + b"ab" * 20_000
+    if size < 1000:
+        content = content[:3000]
+    want, at = [], 0
+    for n in rabin.cuts([content])[0]:
+        want.append(content[at : at + n])
+        at += n
+    assert list(chunking.cut_blocks(content[i : i + size] for i in range(0, len(content), size))) == want
+    assert list(chunking.cut_blocks([])) == []
+
+
+def test_files_read_in_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    for i in range(5):
+        (tmp_path / f"f{i}").write_bytes(bytes(rng.randrange(256) for _ in range(20_000 * i + 10)))
+    whole = chunking.cdc_layout(files.scan_files(spark, str(tmp_path)), "file_idx", "content")
+    parts = chunking.cdc_layout_of_paths(files.scan_paths(spark, str(tmp_path)), block_bytes=7000)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_coarse_parts_are_cut_by_themselves():
+    rng = random.Random(4)
+    content = bytes(rng.randrange(256) for _ in range(60_000))
+    parts = chunking.split_levels(content, chunking.ChunkParams(coarse_anchor=8192))
+    at = 0
+    for begin, lengths in parts:
+        assert begin == at
+        end = len(content) if len(content) - at <= 8192 else at + 8192 + rabin.cuts([content[at + 8192 :]])[0][0]
+        assert lengths == rabin.cuts([content[at:end]])[0]
+        at = end
+    assert at == len(content) and chunking.split_levels(b"", chunking.ChunkParams(coarse_anchor=8192)) == []
+
+
+def test_paths_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([(f"p{i:04d}",) for i in random.Random(5).sample(range(5000), 1000)], "path string").repartition(7)
+    got = [(r.path, r.n) for r in files.numbered(rows, "path", "n").orderBy("path").collect()]
+    assert [n for _, n in got] == list(range(1000))
+    assert files.numbered(rows.where("false"), "path", "n").count() == 0
+
+
+def test_data_source_overwrites_at_commit(spark, tmp_path):
+    sources.register(spark)
+    out = f"file://{tmp_path}/out"
+    one = archive.header("none") + archive.record(1, b"one")
+    write = lambda rows, mode: spark.createDataFrame(rows, "file_name string, archive binary").write.format("ddp").option("path", out).mode(mode).save()
+    write([("a", one), ("b", one)], "overwrite")
+    write([("b", one), ("c", one)], "overwrite")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["b.ddp", "c.ddp"]
+    assert {(r.file_name, bytes(r.data)) for r in spark.read.format("ddp").option("path", out).load().collect()} == {("b.ddp", b"one"), ("c.ddp", b"one")}
+
+
+def test_hot_fingerprints_by_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "x\nx\ny" if i % 3 else f"x\nown {i}\nown {i}") for i in range(40)], "doc_id long, text string")
+    chunks = chunking.line_chunks(rows, "doc_id", "text")
+    plain = {tuple(r) for r in dedup.flag_duplicates(chunks, "global").collect()}
+    monkeypatch.setattr(dedup, "HOT_LEAST", 5)
+    monkeypatch.setattr(dedup, "HOT_SHARE", 4)
+    assert {tuple(r) for r in dedup.flag_duplicates(chunks, "global").collect()} == plain
+
+
 def test_synthetic_text(spark):
     for pattern in files.PATTERNS:
         lines = [r.line for r in files.synthetic_text(spark, 20, pattern).collect()]
