@@ -7,9 +7,9 @@ at least CONTAINMENT * S of them.
 Templates fall into classes by S, each up to WIDTH times the least one. For a class, the text is cut into overlapping
 windows of twice its reach, each starting one reach after the last, so that a match lies wholly within a window. The
 minimum of a window's shingles under each of BANDS permutations is a band; an index of the templates' bands retrieves
-those that share one with the window. A window with a match has at least c / (2 * REACH * WIDTH + 1 - c) of the union's
-shingles in common with its template, 0.21 at a containment c of 0.8, so it is retrieved with a probability of at least
-1 - 0.79^32 = 0.9995, and of 0.9999 for a whole template (c = 1).
+those that share one with the window. A window of 2r shingles with a match has at least c S / (2r + S - c S) of the
+union's shingles in common with its template, so it is retrieved with the probability that Scanner.retrieval() states:
+0.997 or more for each of TEMPLATES at a containment c of 0.8, and 0.9995 or more for a whole one (c = 1).
 
 The windows that retrieve a template are joined to ranges, and those are searched exactly, on the words themselves: from
 left to right, at the first place where a match begins, the one of those that begin up to where it is complete with the
@@ -36,10 +36,12 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, unclashed
 from .verify import mix64
 
 BANDS, CONTAINMENT, REACH, WIDTH = 32, 0.8, 1.25, 1.4
+#: Shingles of a block whose minima larger blocks are made of; bits of a hash that are looked at before it is looked up.
+UNIT, LOW_BITS = 4, 18
 #: Templates with this Jaccard similarity or more are alike.
 ALIKE = 0.5
 
@@ -185,8 +187,8 @@ class Scanner:
 
     templates: list[Template]
     seeds: np.ndarray
-    #: reach, sorted band keys, templates of the keys
-    classes: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: reach, sorted band keys, templates of the keys, which low bits the keys have
+    classes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     alike: set[tuple[int, int]] = field(default_factory=set)
     #: templates of one word: word, name
     singles: dict[bytes, str] = field(default_factory=dict)
@@ -203,45 +205,45 @@ class Scanner:
             most = max(len(out.templates[begin].pairs) * WIDTH, len(out.templates[begin].pairs))
             end = next((i for i in range(begin, len(out.templates)) if len(out.templates[i].pairs) > most), len(out.templates))
             lows = np.array([permuted(shingles(word_hashes(texts[t.name].encode())), seeds).min(axis=1) for t in out.templates[begin:end]], np.uint64)
-            keys = out._keys(lows.T).T.ravel()
-            order = np.argsort(keys)
-            out.classes.append((out.templates[end - 1].reach, keys[order], np.repeat(np.arange(begin, end), bands)[order]))
+            keys, bits = lows.ravel(), np.zeros(1 << LOW_BITS, bool)
+            bits[keys & np.uint64((1 << LOW_BITS) - 1)] = True
+            order, reach = np.argsort(keys), out.templates[end - 1].reach
+            out.classes.append((-(-reach // UNIT) * UNIT if reach >= 2 * UNIT else reach, keys[order], np.repeat(np.arange(begin, end), bands)[order], bits))
             begin = end
         sets = [t.pairs for t in out.templates]
         out.alike = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and len(sets[a] & sets[b]) >= ALIKE * len(sets[a] | sets[b])}
         return out
 
-    def _keys(self, lows: np.ndarray) -> np.ndarray:
-        """Index keys (bands x windows) of band minima: the band's number is mixed in."""
-        return mix64(lows ^ self.seeds[:, None])
+    def retrieval(self, containment: float) -> float:
+        """The least probability, over the templates, that a window with a match of that containment retrieves its template."""
+        reach = {t: r for r, _, members, _ in self.classes for t in members.tolist()}
+        share = [containment * len(x.pairs) / (2 * reach[t] + (1 - containment) * len(x.pairs)) for t, x in enumerate(self.templates)]
+        return 1 - (1 - min(share)) ** len(self.seeds)
 
     def candidates(self, s: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each retrieved template the ranges of shingles (joined windows) that may hold a match."""
         p, n = permuted(s, self.seeds), len(s)
+        units = np.minimum.reduceat(p, np.arange(0, n, UNIT), axis=1)
         ranges: dict[int, list[tuple[int, int]]] = {}
-        for reach, keys, members in self.classes:
+        for reach, keys, members, bits in self.classes:
             # blocks of one reach; a window is a block and the next one
-            begins = np.arange(0, n, reach)
-            low = np.minimum.reduceat(p, begins, axis=1)
-            if len(begins) > 1:
+            values, size = (units, reach // UNIT) if reach >= 2 * UNIT else (p, reach)
+            low = np.minimum.reduceat(values, np.arange(0, values.shape[1], size), axis=1)
+            if low.shape[1] > 1:
                 low[:, :-1] = np.minimum(low[:, :-1], low[:, 1:])
-            got = self._keys(low)
-            at = np.searchsorted(keys, got)
-            at[at == len(keys)] = 0
-            _, windows = np.nonzero(keys[at] == got)
-            if not len(windows):
-                continue
-            for w in np.unique(windows).tolist():
-                column = got[:, w]
-                lo, hi = np.searchsorted(keys, column, "left"), np.searchsorted(keys, column, "right")
-                for t in np.unique(np.concatenate([members[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])).tolist():
-                    here = ranges.setdefault(t, [])
-                    # a reach more on either side, so that a range begins and ends as the whole text would
-                    first, last = max(0, (w - 1) * reach), min(n, (w + 3) * reach)
-                    if here and here[-1][1] >= first:
-                        here[-1] = here[-1][0], max(last, here[-1][1])
-                    else:
-                        here.append((first, last))
+            band, window = np.nonzero(bits[low & np.uint64((1 << LOW_BITS) - 1)])
+            got = low[band, window]
+            lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+            hit = hi > lo
+            retrieved = sorted({(w, t) for w, a, b in zip(window[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True) for t in members[a:b].tolist()})
+            for w, t in retrieved:
+                here = ranges.setdefault(t, [])
+                # a reach more on either side, so that a range begins and ends as the whole text would
+                first, last = max(0, (w - 1) * reach), min(n, (w + 3) * reach)
+                if here and here[-1][1] >= first:
+                    here[-1] = here[-1][0], max(last, here[-1][1])
+                else:
+                    here.append((first, last))
         return ranges
 
     def scan(self, text: bytes) -> list[tuple[str, int, int, float]]:
@@ -278,5 +280,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
             found = [[dict(zip(("license", "start_word", "end_word", "containment"), m, strict=True)) for m in scanner.scan(t or b"")] for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "matches"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = unclashed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return arrow_map(rows, run, "doc_id long, matches array<struct<license:string,start_word:long,end_word:long,containment:double>>")
