@@ -31,7 +31,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import FILTER_BITS, arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes
+from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes, unclashed
 from .components import connected_components
 from .verify import batches_of, hash_windows, mix64, verified_links, word_shingles
 
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [_signed(fingerprint(t or b"", k, seed)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    return arrow_map(unclashed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 class _Joined:
@@ -221,7 +221,7 @@ class CellJoin:
 class Grid:
     """How fingerprints are dealt to cells.
 
-    groups = 1: cells over the popcounts of the two halves. Else the 64 bits are cut into ``segments`` segments, dealt
+    groups = 1: cells over the popcounts of the two halves, exact ones or, for a wide radius, ranges. Else the 64 bits are cut into ``segments`` segments, dealt
     to groups; the Manhattan distance of fingerprints within the radius is at most radius // groups in one of them, and
     a cell is the exact popcounts of a group's segments.
     """
@@ -238,8 +238,8 @@ class Grid:
 
     def rows(self, radius: int) -> float:
         """Rows that a point is sent as."""
-        if self.groups == 1:
-            return 8.0 if radius < PLAIN_RADIUS else 4.0
+        if self.groups == 1 and radius >= PLAIN_RADIUS:
+            return 4.0
         return self.groups * (1 + sum(_shell(self.segments // self.groups, r) for r in range(1, self.reach(radius) + 1)) / 2)
 
     def share(self, radius: int) -> float:
@@ -301,7 +301,7 @@ def _dealt(points: DataFrame, grid: Grid, radius: int, ratio: float | None) -> t
         own = points.select(*columns, F.explode(F.array(*[key(g) for g in range(grid.groups)])).alias("key"))
         steps = F.array(*[F.lit(sum(d << width * i for i, d in enumerate(x))).cast("long") for x in grid.offsets(radius)])
         return own, own.select(*columns, F.explode(F.transform(steps, lambda d: F.col("key") + d)).alias("key"))
-    width = max(2, radius // 2 + 1 if radius >= PLAIN_RADIUS else 2)
+    width = radius // 2 + 1 if radius >= PLAIN_RADIUS else 1
     half = lambda i: F.bit_count(F.shiftrightunsigned("fp", 32) if i else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).cast("int")
     size_cell = F.lit(0) if ratio is None else F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / (math.log(1 / ratio) * 1.000001)).cast("int")
     key = lambda z, x, y: (z * 4096 + (x + 16) * 64 + y + 16).cast("long")
@@ -421,7 +421,7 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = [b" ".join((t or b"").lower().split()) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
-            keep = np.flatnonzero(passes(table, ids, FILTER_BITS)) if len(ids) else []
+            keep = np.flatnonzero(passes(table, ids)) if len(ids) else []
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64) if len(ids) else [], pa.int64()), pa.array([texts[i] for i in keep], pa.binary())], names=["id", "text"])
 
     texts = arrow_map(rows.select("text"), wanted, "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
@@ -437,7 +437,8 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without those that have a near copy with a smaller id; of each group one row stays, that of the smallest id and of rows with equal ids the first."""
-    own = fresh_name(docs, "row")
-    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "near-rows")
+    plain = unclashed(docs, id_col, text_col)
+    own = fresh_name(plain, "row")
+    rows = materialize(plain.withColumn(own, F.monotonically_increasing_id()), "near-rows")
     dropped = near_groups(rows, own, id_col, text_col, **options).where("row != keep").select(F.col("row").alias(f"{own}_gone"))
-    return rows.join(dropped, F.col(own) == F.col(f"{own}_gone"), "left_anti").select(*docs.columns)
+    return rows.join(dropped, F.col(own) == F.col(f"{own}_gone"), "left_anti").drop(own).toDF(*docs.columns)
