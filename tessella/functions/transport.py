@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Regions above which an object isn't compared, and the value that stands for it (fixed values).
-MOST_REGIONS, UNCOMPARED = 256, 1e20
+#: The value that stands for objects that aren't compared (fixed value), and the number of regions above which that is so; none by default.
+UNCOMPARED = 1e20
+MOST_REGIONS: int | None = None
 _EPS = 1e-12
 
 
-def emd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
+def emd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most_regions: int | None = MOST_REGIONS) -> float:
     """Least cost of moving min(total supply, total demand), divided by it; 0 if nothing is to be moved."""
-    if len(supply) > MOST_REGIONS or len(demand) > MOST_REGIONS:
+    if most_regions is not None and max(len(supply), len(demand)) > most_regions:
         return UNCOMPARED
     total = float(min(supply.sum(), demand.sum()))
     if total <= 0:
@@ -98,10 +99,11 @@ def _vogel(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> list[tup
     return basis
 
 
-def myemd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most: int = 5000) -> float:
-    """The same quantity by the transportation simplex."""
-    if len(supply) > MOST_REGIONS or len(demand) > MOST_REGIONS:
+def myemd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most: int | None = None, most_regions: int | None = MOST_REGIONS) -> float:
+    """The same quantity by the transportation simplex; it raises if it isn't done after ``most`` steps (by default a hundred for each region, 5,000 at least)."""
+    if most_regions is not None and max(len(supply), len(demand)) > most_regions:
         return UNCOMPARED
+    most = max(5000, 100 * (len(supply) + len(demand))) if most is None else most
     s, d = supply.astype(float), demand.astype(float)
     total = float(min(s.sum(), d.sum()))
     if total <= 0:
@@ -147,6 +149,8 @@ def myemd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most: int =
         for k, cell in enumerate(loop):
             basis[cell] += step if k % 2 == 0 else -step
         del basis[out]
+    else:
+        raise RuntimeError(f"the transportation simplex isn't done after {most} steps")
     return float(max(0.0, sum(x * c[cell] for cell, x in basis.items())) / total)
 
 

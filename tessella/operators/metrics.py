@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from tessella.session import ship
+
 MICROS = 1_000_000
 
 
@@ -35,29 +40,55 @@ def throughput_windows(rows: DataFrame, amount: str, ts: str, width: str = "1 ho
 
 
 def elapsed_intervals(rows: DataFrame, key: str, ts: str, amount: str, seconds: float) -> DataFrame:
-    """Intervals that close with the first row at least ``seconds`` after the last close: (key, interval, t_first, t_last, n, total, mean); the rest is flushed at the end.
+    """Intervals that close with the first time at least ``seconds`` after the last close: (key, interval, t_first, t_last, n, total, mean, per_second); the rest is flushed at the end.
 
-    The rule depends on each row before, so each key's rows are folded in order; a key's rows stay together.
+    Rows of one time belong together and are added up before the shuffle. A key's times are then streamed in order
+    through one task, which holds a batch of them and steps from close to close.
     """
+    ship(rows.sparkSession)
+    width = int(seconds * MICROS)
+    schema = pa.schema([("key", pa.string()), ("interval", pa.int32()), ("t_first", pa.int64()), ("t_last", pa.int64()), ("n", pa.int64()), ("total", pa.float64())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stamp", "amount"], kind="stable")
-        out, begin, part = [], None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = object()
+        key_now, begin, number, held, out = nothing, 0, 0, None, []
 
         def close() -> None:
-            out.append((pdf.key.iloc[0], len(out), part[0][0], part[-1][0], len(part), float(sum(a for _, a in part))))
-
-        for stamp, a in zip(pdf.stamp.tolist(), pdf.amount.tolist(), strict=True):
-            begin = stamp if begin is None else begin
-            part.append((stamp, a))
-            if stamp - begin >= seconds * MICROS:
-                close()
-                begin, part = stamp, []
-        if part:
-            close()
-        return pd.DataFrame(out, columns=["key", "interval", "t_first", "t_last", "n", "total"])
-
-    picked = rows.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("stamp"), F.col(amount).cast("double").alias("amount"))
-    made = picked.groupBy("key").applyInPandas(fold, "key string, interval int, t_first long, t_last long, n long, total double")
-    return made.withColumn("mean", F.col("total") / F.col("n")).withColumn("per_second", F.when(F.col("t_last") > F.col("t_first"), F.col("total") * MICROS / (F.col("t_last") - F.col("t_first"))))
+            nonlocal held, number
+            if held:
+                out.append({"key": key_now, "interval": number, "t_first": held[0], "t_last": held[1], "n": held[2], "total": held[3]})
+                held, number = None, number + 1
+
+        def add(stamps: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+            nonlocal held
+            if len(stamps):
+                first, so_far, amount = (held[0], held[2], held[3]) if held else (int(stamps[0]), 0, 0.0)
+                held = first, int(stamps[-1]), so_far + int(n.sum()), amount + float(total.sum())
+
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            stamps, n, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stamp", "n", "total"))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if key_now is nothing or keys[lo] != key_now:
+                    close()
+                    key_now, begin, number = keys[lo], int(stamps[lo]), 0
+                at = lo
+                while (end := lo + int(np.searchsorted(stamps[lo:hi], begin + width))) < hi:
+                    add(stamps[at : end + 1], n[at : end + 1], total[at : end + 1])
+                    close()
+                    at, begin = end + 1, int(stamps[end])
+                add(stamps[at:hi], n[at:hi], total[at:hi])
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = rows.groupBy(F.col(key).cast("string").alias("key"), stamp.alias("stamp")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(amount).cast("double")).alias("total")).where("stamp is not null")
+    made = times.withColumn("total", F.coalesce("total", F.lit(0.0))).repartition("key").sortWithinPartitions("key", "stamp").mapInArrow(run, "key string, interval int, t_first long, t_last long, n long, total double")
+    return made.withColumn("mean", F.col("total") / F.col("n")).withColumn("per_second", F.when(F.col("t_last") > F.col("t_first"), F.col("total") * MICROS / (F.col("t_last") - F.col("t_first"))))

@@ -148,7 +148,8 @@ def result_lines(hits: DataFrame, name_col: str = "name") -> DataFrame:
 
 def sample_percent(rows: DataFrame, percent: int, id_col: str, seed: int = 0) -> DataFrame:
     """Keeps a row iff a number of 0..99 drawn from its id is at most percent: 100 keeps all, 0 about one in a hundred."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(100)) <= percent)
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long") % 100
+    return rows.where(drawn <= percent)
 
 
 def nearest_parent(vecs: DataFrame, starts: DataFrame) -> DataFrame:

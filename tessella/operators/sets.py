@@ -70,5 +70,5 @@ def set_distances(pairs: DataFrame, sets: DataFrame, set_dist: str = "emd", vec_
 
 
 def rank_sets(candidates: DataFrame, sets: DataFrame, k: int, **options) -> DataFrame:
-    """The k nearest objects of each query among its candidates; objects with too many regions come never."""
+    """The k nearest objects of each query among its candidates; pairs that a distance refuses to compare come never."""
     return ranked(set_distances(candidates, sets, **options).where(F.col("dist") < UNCOMPARED), k)

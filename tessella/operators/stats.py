@@ -56,6 +56,17 @@ def weighted_stats(rows: DataFrame, value: str, w: str, by: list[str] | None = N
     return s.select(*(by or []), mean.alias("wmean"), (spread * F.col("s") / (F.col("s") * F.col("s") - F.col("s2"))).alias("wvariance"))
 
 
+def weighted_shape(rows: DataFrame, value: str, w: str, by: list[str]) -> DataFrame:
+    """Weighted mean, standard deviation (unbiased for reliability weights), mean absolute deviation, skewness and excess kurtosis of each group."""
+    x, k = F.col(value).cast("double"), F.col(w).cast("double")
+    first = rows.groupBy(*by).agg((F.sum(k * x) / F.sum(k)).alias("_m"), F.sum(k).alias("_w"), F.sum(k * k).alias("_w2"))
+    d = x - F.col("_m")
+    spread = rows.join(first, by).groupBy(*by).agg(F.first("_m").alias("_m"), F.sqrt(F.sum(k * d * d) * F.first("_w") / (F.first("_w") * F.first("_w") - F.first("_w2"))).alias("_s"))
+    z = d / F.col("_s")
+    mean = lambda c: F.sum(k * c) / F.sum(k)
+    return rows.join(spread, by).groupBy(*by).agg(F.first("_m").alias("wmean"), F.first("_s").alias("wsd"), mean(F.abs(d)).alias("wabsdev"), mean(z * z * z).alias("wskew"), (mean(z * z * z * z) - 3).alias("wkurtosis"))
+
+
 def shape_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean absolute deviation, skewness and excess kurtosis (sample deviation in the denominators) for each group."""
     mean = rows.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
@@ -91,8 +102,10 @@ def extremes(rows: DataFrame, value: str, id_col: str) -> DataFrame:
     return rows.agg(low.alias("a"), high.alias("b")).select(F.col("a.v").alias("least"), F.col("a.i").alias("least_id"), (-F.col("b.v")).alias("most"), F.col("b.i").alias("most_id"))
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """Exact quantiles by linear interpolation, one column for each share."""
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+    """Quantiles, one column for each share: exact ones by linear interpolation, which hold the distinct values of a group, or with an accuracy values whose rank is off by at most 1 / accuracy of the rows, in bounded memory."""
+    if accuracy:
+        return rows.groupBy(*(by or [])).agg(*[F.percentile_approx(value, s, accuracy).alias(f"q{round(100 * s)}") for s in shares])
     return rows.groupBy(*(by or [])).agg(*[F.percentile(value, F.lit(s)).alias(f"q{round(100 * s)}") for s in shares])
 
 
@@ -102,6 +115,34 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, slots: int)
     return rows.where((x >= low) & (x < high)).groupBy(F.floor((x - low) / ((high - low) / slots)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def combine_histograms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(slot, plus, minus, times, over) of two histograms (slot, n), slot by slot; a missing slot is empty, a quotient by an empty one is null."""
+    x, y = F.coalesce("a_n", F.lit(0)), F.coalesce("b_n", F.lit(0))
+    both = a.select("slot", F.col("n").alias("a_n")).join(b.select("slot", F.col("n").alias("b_n")), "slot", "full")
+    return both.select("slot", (x + y).alias("plus"), (x - y).alias("minus"), (x * y).alias("times"), F.when(y != 0, x / y).alias("over"))
+
+
+def scale_histogram(h: DataFrame, factor: float = 1.0, shift: float = 0.0) -> DataFrame:
+    return h.select("slot", (F.col("n") * factor + shift).alias("n"))
+
+
+def histogram_cdf(h: DataFrame) -> DataFrame:
+    """(slot, n, cdf): shares of all up to each slot. A histogram is a small table; its slots are bounded."""
+    total = Window.partitionBy(F.lit(0))
+    return h.select("slot", "n", (F.sum("n").over(total.orderBy("slot")) / F.sum("n").over(total)).alias("cdf"))
+
+
+def sample_histogram(h: DataFrame, rows: DataFrame, uniform: Column, low: float, width: float) -> DataFrame:
+    """rows with sample: a value drawn from a histogram (slot, n) by a uniform number of each row; inside a slot evenly. The slots are collected."""
+    slots = [(r.slot, r.n, r.cdf) for r in histogram_cdf(h.where("n > 0")).orderBy("slot").collect()]
+    if not slots:
+        return rows.withColumn("sample", F.lit(None).cast("double"))
+    total = sum(n for _, n, _ in slots)
+    table = F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(c).alias("c"), F.lit(n / total).alias("p")) for s, n, c in slots])
+    hit = F.coalesce(F.get(F.filter(table, lambda t: uniform < t["c"]), F.lit(0)), F.element_at(table, -1))
+    return rows.withColumn("sample", F.lit(low) + F.lit(width) * (hit["s"] + F.greatest(F.lit(0.0), uniform - (hit["c"] - hit["p"])) / hit["p"]))
+
+
 def histogram2d(rows: DataFrame, x: str, y: str, xs: tuple[float, float, int], ys: tuple[float, float, int]) -> DataFrame:
     """(slot_x, slot_y, n)."""
     cell = lambda c, r: F.floor((F.col(c) - r[0]) / ((r[1] - r[0]) / r[2])).cast("int")

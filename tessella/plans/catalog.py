@@ -7,6 +7,7 @@ reads will do. Every change of a table goes to a new folder and is seen when the
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
@@ -97,31 +98,36 @@ class Environment:
 
     # catalogue
 
-    def _path(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/catalog.json")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _versions(self) -> tuple:
+        """(file system, paths of the catalogue's versions, oldest first)."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.base)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return fs, sorted((p for p in found if re.fullmatch(r"catalog-\d{12}\.json", p.getName())), key=lambda p: p.getName())
 
     def _restore(self) -> bool:
-        path, fs = self._path()
-        if not fs.exists(path):
+        _, versions = self._versions()
+        if not versions:
             return False
-        text = "\n".join(r.value for r in self.spark.read.text(str(path.toString())).collect())
+        text = "\n".join(r.value for r in self.spark.read.text(str(versions[-1].toString())).collect())
         saved = json.loads(text)
         self.configs = {k: VecConfig(**v) for k, v in saved["configs"].items()}
         self.tables = {k: TableEntry(**v) for k, v in saved["tables"].items()}
         return True
 
     def checkpoint(self) -> None:
-        """Writes the catalogue, whole, under a new name and renames it."""
-        path, fs = self._path()
+        """Writes the catalogue, whole, as a new version: complete before it gets its name, and older ones go after that."""
+        fs, versions = self._versions()
+        number = int(versions[-1].getName()[8:20]) + 1 if versions else 0
         fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/catalog-{uuid.uuid4().hex}.json")
         out = fs.create(fresh)
         out.write(bytearray(json.dumps({"configs": {k: asdict(v) for k, v in self.configs.items()}, "tables": {k: asdict(v) for k, v in self.tables.items()}}).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        if not fs.rename(fresh, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/catalog-{number:012d}.json")):
+            raise RuntimeError(f"another writer has made version {number} of the catalogue at {self.base}")
+        for old in versions:
+            fs.delete(old, False)
 
     def describe(self) -> DataFrame:
         """(kind, name, detail) of everything registered."""

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 
 from tessella.functions import images as kernels
 from tessella.operators import lsh
 from tessella.session import materialize, ship
+from tessella.sources.files import numbered
 
 from .similarity import SimilarityPlan, similarity_search
 
@@ -34,16 +35,16 @@ def image_regions(images: DataFrame, side: int = kernels.SIDE) -> DataFrame:
 
 
 def numbered_regions(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vecs, vecsets): objects numbered by name, regions below them. The window is over names only."""
-    names = regions.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("num_regions")).withColumn("vecset_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
+    """(vecs, vecsets): objects numbered by name, regions below them."""
+    names = numbered(regions.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("num_regions")), "name", "vecset_id")
     vecs = regions.join(names, "name").select((F.col("vecset_id") * F.lit(1 << 16) + F.col("region")).alias("vec_id"), "vecset_id", "weight", "features")
     return vecs, names.select("vecset_id", "name", "num_regions", (F.col("vecset_id") * F.lit(1 << 16)).alias("start_vecid"))
 
 
-def image_search(images: DataFrame, query_names: DataFrame, params: lsh.LshParams | None = None, plan: SimilarityPlan = SimilarityPlan()) -> DataFrame:
+def image_search(images: DataFrame, query_names: DataFrame, params: lsh.LshParams | None = None, plan: SimilarityPlan = SimilarityPlan(), side: int = kernels.SIDE) -> DataFrame:
     """(query, name, dist, rank): the images nearest to each named one by their regions."""
     params = params or lsh.LshParams(D=14, M=17, L=12, W=4.0708, H=19697)
-    regions = materialize(image_regions(images), "regions")
+    regions = materialize(image_regions(images, side), "regions")
     vecs, sets = numbered_regions(regions)
     asked = sets.join(query_names.select("name"), "name", "left_semi")
     hits = similarity_search(vecs, asked, params, plan)

@@ -6,6 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.plans.images import image_regions
+from tessella.plans.images import image_search as search_images
+from tessella.plans.similarity import SimilarityPlan
 
 from .common import query, table
 
@@ -28,3 +30,17 @@ def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions' weights sum to 1 in every image."""
     return image_regions(_images(spark, sf_dir), side=32).groupBy("name").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query()
+def image_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, segment, extract, index, rank and name: the images nearest to each one whose id is divisible by 50."""
+    images = _images(spark, sf_dir)
+    asked = images.where(F.col("name").cast("long") % 50 == 0).select("name")
+    return search_images(images, asked, plan=SimilarityPlan(k=5, tables=None, probes=20), side=32)
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS name FROM embeddings WHERE vec_id % 50 = 0")
+def image_search_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image asked for is found among its own results, at no distance."""
+    return image_search(spark, sf_dir).where("query = name and dist < 1e-6").select("name")

@@ -375,7 +375,7 @@ def region_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_weights(v, "size", "vecset_id").select("vec_id", F.round("weight", 9).alias("weight"))
 
 
-@query()
+@query("SELECT vec_id FROM embeddings WHERE ('0x' || substr(md5('0:' || CAST(vec_id AS VARCHAR)), 1, 15))::BIGINT % 100 <= 10")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampling operator: about 11 of 100 rows (a number up to and including 10)."""
     return search.sample_percent(table(spark, sf_dir, "embeddings"), 10, "vec_id").select("vec_id")

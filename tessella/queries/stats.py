@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.operators import metrics, stats
+from tessella.operators import distributions, metrics, stats
 
 from .common import query, table
 
@@ -94,14 +94,14 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [0.25, 0.5, 0.9], ["o_orderpriority"]), ["o_orderpriority"], 4)
 
 
-@query("SELECT CAST(floor(l_quantity / 2.5) AS INTEGER) AS slot, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 GROUP BY 1")
+@query("SELECT CAST(floor(l_quantity / 2.5) AS INTEGER) AS slot, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 52.5 GROUP BY 1")
 def histogram_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 50.0, 20)
+    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 52.5, 21)
 
 
-@query("SELECT CAST(floor(l_quantity / 5.0) AS INTEGER) AS slot_x, CAST(floor(l_extendedprice / 8192.0) AS INTEGER) AS slot_y, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 AND l_extendedprice >= 0 AND l_extendedprice < 131072 GROUP BY 1, 2")
+@query("SELECT CAST(floor(l_quantity / 5.0) AS INTEGER) AS slot_x, CAST(floor(l_extendedprice / 8192.0) AS INTEGER) AS slot_y, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 55 AND l_extendedprice >= 0 AND l_extendedprice < 131072 GROUP BY 1, 2")
 def histogram_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (0.0, 50.0, 10), (0.0, 131072.0, 16))
+    return stats.histogram2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (0.0, 55.0, 11), (0.0, 131072.0, 16))
 
 
 _STAGES = "s AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS latency_us FROM events)"
@@ -131,14 +131,67 @@ def throughput_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(F.unix_micros("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+#: Intervals of at least an hour as a recursion from each close to the next; an interval has the stamps after the last close.
+_INTERVALS = """{rows}, s AS (SELECT key, stamp, count(*) AS n, sum(amount) AS total FROM rows GROUP BY key, stamp),
+r(key, i, lo, hi) AS (
+  SELECT b.key, 0, b.first - 1, (SELECT min(x.stamp) FROM s x WHERE x.key = b.key AND x.stamp >= b.first + 3600000000) FROM (SELECT key, min(stamp) AS first FROM s GROUP BY key) b
+  UNION ALL SELECT r.key, r.i + 1, r.hi, (SELECT min(x.stamp) FROM s x WHERE x.key = r.key AND x.stamp >= r.hi + 3600000000) FROM r WHERE r.hi IS NOT NULL),
+p AS (SELECT r.key, r.i, min(s.stamp) AS a, max(s.stamp) AS b, CAST(sum(s.n) AS BIGINT) AS n, sum(s.total) AS total FROM r JOIN s ON s.key = r.key AND s.stamp > r.lo AND (r.hi IS NULL OR s.stamp <= r.hi) GROUP BY r.key, r.i)
+SELECT key, CAST(i AS INTEGER) AS "interval", a AS t_first, b AS t_last, n, round(total, 4) AS total, round(total / n, 4) AS mean, round(CASE WHEN b > a THEN total * 1000000 / (b - a) END, 4) AS per_second FROM p"""
+
+
+@query("WITH RECURSIVE rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, value AS amount FROM events)" + _INTERVALS.format(rows=""))
 def interval_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that close with the first event at least an hour after the last close, by type of event."""
-    return metrics.elapsed_intervals(_events(spark, sf_dir), "event_type", "ts", "value", 3600.0)
+    return _rounded(metrics.elapsed_intervals(_events(spark, sf_dir), "event_type", "ts", "value", 3600.0), ["key"], 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STAGES}, rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, latency_us::DOUBLE AS amount FROM s WHERE latency_us IS NOT NULL)" + _INTERVALS.format(rows="").replace(", s AS (", ", s2 AS (").replace("FROM s x", "FROM s2 x").replace("FROM s GROUP", "FROM s2 GROUP").replace("JOIN s ON s.key", "JOIN s2 s ON s.key"))
 def interval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean latencies of such intervals."""
     rows = metrics.stage_latency(_events(spark, sf_dir), "user_id", "ts", ["ts", "event_id"]).where("latency_us is not null")
-    return metrics.elapsed_intervals(rows, "event_type", "ts", "latency_us", 3600.0)
+    return _rounded(metrics.elapsed_intervals(rows, "event_type", "ts", "latency_us", 3600.0), ["key"], 4)
+
+
+@query("""WITH s AS (SELECT l_returnflag, sum(l_quantity * l_discount) / sum(l_quantity) AS m, sum(l_quantity) AS w, sum(l_quantity * l_quantity) AS w2 FROM lineitem GROUP BY 1),
+v AS (SELECT l_returnflag, any_value(m) AS m, any_value(w) AS w, sum(l_quantity * pow(l_discount - m, 2)) * any_value(w) / (any_value(w) * any_value(w) - any_value(w2)) AS var FROM lineitem JOIN s USING (l_returnflag) GROUP BY 1)
+SELECT l_returnflag, round(any_value(m), 6) AS wmean, round(sqrt(any_value(var)), 6) AS wsd, round(sum(l_quantity * abs(l_discount - m)) / any_value(w), 6) AS wabsdev,
+round(sum(l_quantity * pow((l_discount - m) / sqrt(var), 3)) / any_value(w), 6) AS wskew, round(sum(l_quantity * pow((l_discount - m) / sqrt(var), 4)) / any_value(w) - 3, 6) AS wkurtosis FROM lineitem JOIN v USING (l_returnflag) GROUP BY 1""")
+def weighted_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean, deviations, skewness and kurtosis."""
+    return _rounded(stats.weighted_shape(table(spark, sf_dir, "lineitem"), "l_discount", "l_quantity", ["l_returnflag"]), ["l_returnflag"])
+
+
+_TWO = """a AS (SELECT CAST(floor(l_quantity / 2.5) AS INTEGER) AS slot, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 52.5 GROUP BY 1),
+b AS (SELECT CAST(floor(l_quantity / 2.5) AS INTEGER) AS slot, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' AND l_quantity < 52.5 GROUP BY 1)"""
+
+
+@query(f"WITH {_TWO} SELECT slot, coalesce(a.n, 0) + coalesce(b.n, 0) AS plus, coalesce(a.n, 0) - coalesce(b.n, 0) AS minus, coalesce(a.n, 0) * coalesce(b.n, 0) AS times, round(coalesce(a.n, 0)::DOUBLE / nullif(coalesce(b.n, 0), 0), 9) AS over FROM a FULL JOIN b USING (slot)")
+def histogram_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of returned and other items, combined slot by slot."""
+    items, back = table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R"
+    a, b = (stats.histogram(items.where(c), "l_quantity", 0.0, 52.5, 21) for c in (back, ~back))
+    return _rounded(stats.combine_histograms(a, b), ["slot"], 9)
+
+
+@query("""WITH h AS (SELECT CAST(floor(l_quantity / 2.5) AS INTEGER) AS slot, count(*) AS n FROM lineitem WHERE l_quantity < 52.5 GROUP BY 1)
+SELECT slot, n, round(sum(n) OVER (ORDER BY slot) / sum(n) OVER (), 9) AS cdf FROM h""")
+def histogram_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative shares of a histogram."""
+    return _rounded(stats.histogram_cdf(stats.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0.0, 52.5, 21)), ["slot"], 9)
+
+
+@query("""SELECT event_id, round(1 - exp(-abs(value) / 20), 9) AS exponential, round(1 / (1 + exp(-(value - 50) / 10)), 9) AS logistic, round(CASE WHEN value < 50 THEN exp((value - 50) / 10) / 2 ELSE 1 - exp(-(value - 50) / 10) / 2 END, 9) AS laplace,
+round(0.5 + atan((value - 50) / 10) / pi(), 9) AS cauchy, round(1 - exp(-pow(abs(value) / 30, 2)), 9) AS weibull, round(1 - exp(-value * value / (2 * 30.0 * 30.0)), 9) AS rayleigh, round(CASE WHEN abs(value) < 2 THEN 0 ELSE 1 - pow(2 / abs(value), 1.5) END, 9) AS pareto, round(exp(-exp(-(value - 50) / 10)), 9) AS gumbel FROM events""")
+def distribution_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution functions of every event's value."""
+    x, z = F.col("value"), (F.col("value") - 50) / 10
+    made = {"exponential": ("exponential", F.abs(x), (20.0,)), "logistic": ("logistic", z, ()), "laplace": ("laplace", z, ()), "cauchy": ("cauchy", z, ()), "weibull": ("weibull", F.abs(x), (30.0, 2.0)), "rayleigh": ("rayleigh", F.abs(x), (30.0,)), "pareto": ("pareto", F.abs(x), (1.5, 2.0)), "gumbel": ("gumbel", z, ())}
+    return _events(spark, sf_dir).select("event_id", *[F.round(distributions.cdf(kind, v, *args), 9).alias(c) for c, (kind, v, args) in made.items()])
+
+
+@query()
+def random_variates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variates of several distributions for every customer, drawn from its key."""
+    kinds = {"uniform": (2.0, 5.0), "gaussian": (3.0, 2.0), "exponential": (4.0,), "laplace": (0.0, 2.0), "logistic": (1.0, 2.0), "weibull": (3.0, 2.0), "poisson": (4.5,), "binomial": (20.0, 0.3), "geometric": (0.25,)}
+    return table(spark, sf_dir, "customer").select("c_custkey", *[distributions.variate(kind, F.col("c_custkey"), 7, *args).alias(kind) for kind, args in kinds.items()])

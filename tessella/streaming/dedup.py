@@ -46,36 +46,42 @@ def flag_duplicates(chunks: DataFrame) -> DataFrame:
     )
 
 
-def flag_to_table(chunks: DataFrame) -> DataFrame:
+def _numbered_folders(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that name subfolders, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()) if fs.exists(path) else []
+
+
+def flag_to_table(chunks: DataFrame, base: str | None = None) -> DataFrame:
     """Like flag_duplicates(), over all that is there, with the fingerprint index as a table instead of a state.
 
     A micro-batch reduces its chunks to the first place of each fingerprint, looks those up in the index, appends the
     new ones and flags its chunks; all in built-in operators. Index and results have a folder for each batch, which a
-    repeated batch overwrites, so each batch counts once.
+    repeated batch overwrites, so each batch counts once. All that a batch needs of earlier ones is below ``base``, with
+    the checkpoint: called again with the same base, the stream goes on where it ended, in another driver as well.
     """
     spark = chunks.sparkSession
-    base = f"{shared_dir(spark)}/tessella/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/tessella/stream-{uuid.uuid4().hex}"
     index_schema = "sha1 string, first_file long, first_l2 int, batch long"
     out_schema = "file_idx long, l2 int, n long, sha1 string, is_dup boolean, first_file long, first_l2 int"
-    batches: list[int] = []
 
     def take(df: DataFrame, batch: int) -> None:
         session = df.sparkSession
         rows = df.select("file_idx", "l2", "n", "sha1")
         own = rows.groupBy("sha1").agg(F.min(F.struct("file_idx", "l2")).alias("place"))
-        earlier = [f"{base}/index/{b}" for b in batches if b < batch]
+        earlier = [f"{base}/index/{b}" for b in _numbered_folders(session, f"{base}/index") if b < batch]
         known = session.read.schema(index_schema).parquet(*earlier) if earlier else session.createDataFrame([], index_schema)
         found = own.join(known.select(F.col("sha1").alias("k"), "first_file", "first_l2"), F.col("sha1") == F.col("k"), "left")
         new = found.where("k is null").select("sha1", F.col("place.file_idx").alias("first_file"), F.col("place.l2").cast("int").alias("first_l2"), F.lit(batch).cast("long").alias("batch"))
         new.write.mode("overwrite").parquet(f"{base}/index/{batch}")
-        batches.append(batch)
-        index = session.read.schema(index_schema).parquet(*[f"{base}/index/{b}" for b in sorted({*batches})])
+        index = session.read.schema(index_schema).parquet(*earlier, f"{base}/index/{batch}")
         flagged = rows.join(index.withColumnRenamed("sha1", "k"), F.col("sha1") == F.col("k"))
         dup = (F.col("batch") < batch) | (F.col("file_idx") != F.col("first_file")) | (F.col("l2") != F.col("first_l2"))
         flagged.select("file_idx", "l2", "n", "sha1", dup.alias("is_dup"), "first_file", "first_l2").write.mode("overwrite").parquet(f"{base}/out/{batch}")
 
     chunks.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(take).start().awaitTermination()
-    done = [f"{base}/out/{b}" for b in sorted({*batches})]
+    done = [f"{base}/out/{b}" for b in _numbered_folders(spark, f"{base}/out")]
     return spark.read.schema(out_schema).parquet(*done) if done else spark.createDataFrame([], out_schema)
 
 
@@ -97,7 +103,9 @@ def emit_in_order(chunks: DataFrame) -> DataFrame:
         while following in waiting:
             rows.append((key[0], following, waiting.pop(following), following))
             following += 1
-        state.update((following, pickle.dumps(waiting)))
+        fresh = pickle.dumps(waiting)
+        if fresh != raw or rows or not state.exists:
+            state.update((following, fresh))
         yield pd.DataFrame(rows, columns=["file_idx", "l2", "n", "emitted"])
 
     return chunks.select("file_idx", "l2", "n").groupBy("file_idx").applyInPandasWithState(run, "file_idx long, l2 int, n long, emitted int", "following int, waiting binary", "append", GroupStateTimeout.NoTimeout)

@@ -1,10 +1,11 @@
 import math
 import statistics
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
-from tessella.operators import metrics, stats
+from tessella.operators import distributions, metrics, stats
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,58 @@ def test_latency_and_windows(spark):
     assert sorted(r.n for r in metrics.throughput_windows(df, "v", "ts").collect()) == [1, 2]
     s = metrics.latency_summary(metrics.stage_latency(df, "k", "ts", ["ts"]).withColumn("dup", F.col("k") == 1), "latency_us", "dup").first()
     assert (s.n, s.n_dup, s.n_unique, s.mean_unique_us) == (1, 1, 0, None)
+
+
+def test_weighted_shape_of_equal_weights(rows):
+    got = stats.weighted_shape(rows.where("g = 'a'").withColumn("k", F.lit(2.0)), "x", "k", ["g"]).first()
+    v = (1, 2, 4)
+    assert got.wsd == pytest.approx(statistics.stdev(v)) and got.wabsdev == pytest.approx(sum(abs(x - 7 / 3) for x in v) / 3)
+    assert got.wskew == pytest.approx(sum(((x - 7 / 3) / statistics.stdev(v)) ** 3 for x in v) / 3)
+
+
+def test_histogram_operations(spark):
+    h = stats.histogram(spark.createDataFrame([(0.5,), (1.5,), (1.6,), (3.2,)], "x double"), "x", 0.0, 4.0, 4)
+    assert {r.slot: r.cdf for r in stats.histogram_cdf(h).collect()} == {0: 0.25, 1: 0.75, 3: 1.0}
+    assert {r.slot: r.n for r in stats.scale_histogram(h, 2, 1).collect()} == {0: 3, 1: 5, 3: 3}
+    u = spark.createDataFrame([(0.0,), (0.125,), (0.25,), (0.5,), (0.75,), (0.99,)], "u double")
+    drawn = [r.sample for r in stats.sample_histogram(h, u, F.col("u"), 0.0, 1.0).collect()]
+    assert drawn == pytest.approx([0.0, 0.5, 1.0, 1.5, 3.0, 3.96])
+    assert stats.sample_histogram(h.where("false"), u, F.col("u"), 0.0, 1.0).where("sample is null").count() == 6
+
+
+def test_approximate_quantiles(spark):
+    got = stats.quantiles(spark.range(1, 1001).select(F.col("id").cast("double").alias("x")), "x", [0.25, 0.9], accuracy=1000).first()
+    assert abs(got.q25 - 250) <= 2 and abs(got.q90 - 900) <= 2
+
+
+def test_families_against_sums_and_integrals():
+    f = distributions.FAMILIES
+    pois = lambda k, mu: math.exp(k * math.log(mu) - mu - math.lgamma(k + 1))
+    for mu in (0.3, 4.0, 60.0):
+        for k in (0, 1, 5, 40, 100):
+            assert f["poisson"](np.array([float(k)]), mu)[0] == pytest.approx(sum(pois(i, mu) for i in range(k + 1)), abs=1e-12)
+    for n, p in ((10, 0.3), (1, 0.5), (200, 0.9)):
+        for k in (0, 1, 5, 9, 180):
+            want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(k, n) + 1))
+            assert f["binomial"](np.array([float(k)]), n, p)[0] == pytest.approx(want, abs=1e-12)
+    integral = lambda g, a, b, n=20_000: sum(g(a + (b - a) * (i + 0.5) / n) for i in range(n)) * (b - a) / n
+    density = lambda t, nu: math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(nu * math.pi) * (1 + t * t / nu) ** (-(nu + 1) / 2)
+    for nu in (1.0, 4.0, 30.0):
+        for x in (-2.0, 0.0, 0.7, 3.0):
+            assert f["t"](np.array([x]), nu)[0] == pytest.approx(0.5 + integral(lambda t: density(t, nu), 0, x), abs=1e-7)
+    assert f["chisq"](np.array([2.0, -1.0]), 2.0) == pytest.approx([1 - math.exp(-1), 0]) and f["gamma"](np.array([3.0]), 1.0, 2.0)[0] == pytest.approx(1 - math.exp(-1.5))
+    assert f["beta"](np.array([0.0, 0.3, 1.0]), 2.0, 3.0) == pytest.approx([0, 0.3483, 1]) and f["F"](np.array([1.0, 0.0]), 5.0, 5.0) == pytest.approx([0.5, 0])
+    assert f["erlang"](np.array([1.0]), 1.0, 1.0)[0] == pytest.approx(1 - math.exp(-1))
+
+
+def test_variates_follow_their_distributions(spark):
+    ids = spark.range(20_000)
+    cases = {"uniform": (2.0, 5.0), "gaussian": (0.0, 2.0), "lognormal": (0.2, 0.5), "exponential": (4.0,), "laplace": (0.0, 2.0), "logistic": (0.0, 2.0), "cauchy": (3.0,), "rayleigh": (2.0,), "weibull": (3.0, 2.0), "pareto": (1.5, 2.0), "gumbel": (0.5, 2.0)}
+    for kind, args in cases.items():
+        x = ids.select(distributions.variate(kind, F.col("id"), 5, *args).alias("x"))
+        shape = args[1:] if kind in ("gaussian", "laplace", "logistic") else args
+        p = sorted(r.p for r in x.select(distributions.cdf(kind, F.col("x"), *shape).alias("p")).collect())
+        assert max(abs(v - (i + 0.5) / len(p)) for i, v in enumerate(p)) < 0.015, kind  # Kolmogorov's distance
+    means = ids.select(*[F.avg(distributions.variate(k, F.col("id"), 5, *a)).alias(k) for k, a in {"poisson": (4.5,), "binomial": (20.0, 0.3), "geometric": (0.25,), "bernoulli": (0.3,)}.items()]).first()
+    assert (means.poisson, means.binomial, means.geometric, means.bernoulli) == (pytest.approx(4.5, abs=0.06), pytest.approx(6, abs=0.06), pytest.approx(4, abs=0.1), pytest.approx(0.3, abs=0.015))
+    assert ids.select(distributions.cdf("poisson", F.col("id"), 4.0).alias("p")).where("p < 0 or p > 1").count() == 0

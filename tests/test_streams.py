@@ -31,6 +31,15 @@ def test_index_and_state_agree(spark, tmp_path):
     assert sum(r.is_dup for r in state) == sum(r.is_dup for r in got)
 
 
+def test_index_goes_on_after_a_restart(spark, tmp_path):
+    base = f"file://{tmp_path}/base"
+    _write(spark, str(tmp_path), [[(0, 0, 5, "a"), (0, 1, 5, "a")], [(1, 0, 5, "a"), (1, 1, 2, "c")]])
+    assert streams.flag_to_table(_stream(spark, str(tmp_path)), base).count() == 4
+    spark.createDataFrame([(2, 0, 2, "c"), (2, 1, 1, "d")], "file_idx long, l2 int, n long, sha1 string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks.parquet/part=9")
+    got = {(r.file_idx, r.l2): (r.is_dup, r.first_file, r.first_l2) for r in streams.flag_to_table(_stream(spark, str(tmp_path)), base).collect()}
+    assert got == {(0, 0): (False, 0, 0), (0, 1): (True, 0, 0), (1, 0): (True, 0, 0), (1, 1): (False, 1, 1), (2, 0): (True, 1, 1), (2, 1): (False, 2, 1)}
+
+
 def test_emission_in_order(spark, tmp_path):
     _write(spark, str(tmp_path), [[(0, 2, 1, ""), (0, 1, 1, "")], [(0, 0, 1, ""), (1, 0, 1, "")], [(0, 4, 1, ""), (0, 3, 1, "")]])
     out = streams.run_to_table(streams.emit_in_order(_stream(spark, str(tmp_path))))
@@ -40,6 +49,7 @@ def test_emission_in_order(spark, tmp_path):
 def test_intervals(spark):
     rows = spark.createDataFrame([("k", float(t), 1.0) for t in (0, 0.4, 0.9, 1.0, 1.5, 2.5, 2.6)], "key string, t double, v double").select("key", F.timestamp_seconds("t").alias("ts"), "v")
     got = metrics.elapsed_intervals(rows, "key", "ts", "v", 1.0).orderBy("interval").collect()
-    assert [r.n for r in got] == [4, 2, 1]
+    assert [r.n for r in got] == [4, 2, 1] and [(r.t_first, r.t_last) for r in got] == [(0, 1_000_000), (1_500_000, 2_500_000), (2_600_000, 2_600_000)]
+    assert metrics.elapsed_intervals(rows.where('false'), 'key', 'ts', 'v', 1.0).count() == 0
     total = metrics.throughput(rows, "v", "ts").first()
     assert (total.total, total.seconds) == (7.0, 2.6)
