@@ -137,16 +137,16 @@ r(key, i, lo, hi) AS (
   SELECT b.key, 0, b.first - 1, (SELECT min(x.stamp) FROM s x WHERE x.key = b.key AND x.stamp >= b.first + 3600000000) FROM (SELECT key, min(stamp) AS first FROM s GROUP BY key) b
   UNION ALL SELECT r.key, r.i + 1, r.hi, (SELECT min(x.stamp) FROM s x WHERE x.key = r.key AND x.stamp >= r.hi + 3600000000) FROM r WHERE r.hi IS NOT NULL),
 p AS (SELECT r.key, r.i, min(s.stamp) AS a, max(s.stamp) AS b, CAST(sum(s.n) AS BIGINT) AS n, sum(s.total) AS total FROM r JOIN s ON s.key = r.key AND s.stamp > r.lo AND (r.hi IS NULL OR s.stamp <= r.hi) GROUP BY r.key, r.i)
-SELECT key, CAST(i AS INTEGER) AS "interval", a AS t_first, b AS t_last, n, round(total, 4) AS total, round(total / n, 4) AS mean, round(CASE WHEN b > a THEN total * 1000000 / (b - a) END, 4) AS per_second FROM p"""
+SELECT key, CAST(i AS INTEGER) AS "interval", a AS t_first, b AS t_last, n, round(total, {places}) AS total, round(total / n, {places}) AS mean, round(CASE WHEN b > a THEN total * 1000000 / (b - a) END, {places}) AS per_second FROM p"""
 
 
-@query("WITH RECURSIVE rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, value AS amount FROM events)" + _INTERVALS.format(rows=""))
+@query("WITH RECURSIVE rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, value AS amount FROM events)" + _INTERVALS.format(rows="", places=6))
 def interval_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that close with the first event at least an hour after the last close, by type of event."""
-    return _rounded(metrics.elapsed_intervals(_events(spark, sf_dir), "event_type", "ts", "value", 3600.0), ["key"], 4)
+    return _rounded(metrics.elapsed_intervals(_events(spark, sf_dir), "event_type", "ts", "value", 3600.0), ["key"])
 
 
-@query(f"WITH RECURSIVE {_STAGES}, rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, latency_us::DOUBLE AS amount FROM s WHERE latency_us IS NOT NULL)" + _INTERVALS.format(rows="").replace(", s AS (", ", s2 AS (").replace("FROM s x", "FROM s2 x").replace("FROM s GROUP", "FROM s2 GROUP").replace("JOIN s ON s.key", "JOIN s2 s ON s.key"))
+@query(f"WITH RECURSIVE {_STAGES}, rows AS (SELECT event_type AS key, epoch_us(ts) AS stamp, latency_us::DOUBLE AS amount FROM s WHERE latency_us IS NOT NULL)" + _INTERVALS.format(rows="", places=4).replace(", s AS (", ", s2 AS (").replace("FROM s x", "FROM s2 x").replace("FROM s GROUP", "FROM s2 GROUP").replace("JOIN s ON s.key", "JOIN s2 s ON s.key"))
 def interval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean latencies of such intervals."""
     rows = metrics.stage_latency(_events(spark, sf_dir), "user_id", "ts", ["ts", "event_id"]).where("latency_us is not null")
