@@ -97,6 +97,34 @@ def probe_buckets(params: LshParams, x: np.ndarray, tables: int, probes: int) ->
     return out
 
 
+def bucket_bitmaps(index: DataFrame) -> DataFrame:
+    """(table_no, bucket, part, bitmap): the ids of each bucket as bitmaps over ranges of ids, to be united and counted by bitmap functions."""
+    return index.groupBy("table_no", "bucket", F.bitmap_bucket_number("vec_id").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("vec_id")).alias("bitmap"))
+
+
+def tune(params: LshParams, distance: float, target: float, most: int = 200) -> int:
+    """The least number of extra probes whose modelled recall at a distance reaches the target; ``most`` if none does."""
+    model = recall_table(params, most, steps=1, low=distance, high=2 * distance)[:, 0]
+    return int(np.argmax(model >= target)) if (model >= target).any() else most
+
+
+def best_tables(index: DataFrame, queries: DataFrame, truth: DataFrame, params: LshParams, n: int, probes: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> list[int]:
+    """The n tables that together find most of truth (query_id, id) of a stated set of training queries, chosen one by one by what they add.
+
+    What is collected is one row for each true neighbour of a training query and the tables that find it.
+    """
+    asked = _emit(queries, params, params.L, probes, id_col, vec_col, "query_id").select("table_no", "bucket", "query_id").distinct()
+    hits = asked.join(index, ["table_no", "bucket"]).select("table_no", F.col("query_id").alias("q"), F.col("vec_id").alias("v"))
+    found = hits.join(truth.select("query_id", "id").distinct(), (F.col("q") == F.col("query_id")) & (F.col("v") == F.col("id")), "left_semi")
+    rows = found.groupBy("q", "v").agg(F.collect_set("table_no").alias("tables")).collect()
+    left, chosen = [set(r.tables) for r in rows], []
+    for _ in range(min(n, params.L)):
+        gain = {t: sum(t in s for s in left) for t in range(params.L) if t not in chosen}
+        chosen.append(max(gain, key=lambda t: (gain[t], -t)))
+        left = [s for s in left if chosen[-1] not in s]
+    return chosen
+
+
 def _emit(rows: DataFrame, params: LshParams, tables: int, probes: int, id_col: str, vec_col: str, id_name: str) -> DataFrame:
     ship(rows.sparkSession)
 
@@ -144,13 +172,15 @@ def save_index(index: DataFrame, name: str, buckets: int = 64) -> None:
     index.write.mode("overwrite").bucketBy(buckets, "table_no", "bucket").sortBy("table_no", "bucket").saveAsTable(name)
 
 
-def probe(index: DataFrame, queries: DataFrame, params: LshParams, tables: int | None = None, probes: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Distinct candidates (query_id, id)."""
-    asked = _emit(queries, params, tables or params.L, probes, id_col, vec_col, "query_id").select("table_no", "bucket", "query_id").distinct()
+def probe(index: DataFrame, queries: DataFrame, params: LshParams, tables: int | list[int] | None = None, probes: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Distinct candidates (query_id, id) from the first tables, or from a list of them."""
+    which = tables if isinstance(tables, list) else None
+    asked = _emit(queries, params, max(which, default=0) + 1 if which is not None else tables or params.L, probes, id_col, vec_col, "query_id").select("table_no", "bucket", "query_id").distinct()
+    asked = asked if which is None else asked.where(F.col("table_no").isin(which))
     return asked.join(index, ["table_no", "bucket"]).select("query_id", F.col("vec_id").alias("id")).distinct()
 
 
-def lsh_knn(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, tables: int | None = None, probes: int = 0, index: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def lsh_knn(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, tables: int | list[int] | None = None, probes: int = 0, index: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, dist, rank): the k nearest among the candidates, by exact L2."""
     index = build_index(vecs, params, id_col, vec_col) if index is None else index
     found = probe(index, queries, params, tables, probes, id_col, vec_col)

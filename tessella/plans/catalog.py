@@ -34,6 +34,10 @@ class IndexOperator(ABC):
     def query(self, index: DataFrame, vecs: DataFrame, queries: DataFrame, k: int, params: str) -> DataFrame:
         """(query_id, id, dist, rank)."""
 
+    def tune(self, distance: float, recall: float) -> str:
+        """Query parameters that are expected to reach a recall of neighbours at a distance; none where there is nothing to choose."""
+        return ""
+
     def describe(self) -> str:
         return type(self).__name__
 
@@ -58,6 +62,9 @@ class LshIndex(IndexOperator):
     def build(self, vecs: DataFrame) -> DataFrame:
         return lsh.build_index(vecs, self.lsh, "vec_id", "features")
 
+    def tune(self, distance: float, recall: float) -> str:
+        return f"-L {self.lsh.L} -T {lsh.tune(self.lsh, distance, recall)}"
+
     def query(self, index: DataFrame, vecs: DataFrame, queries: DataFrame, k: int, params: str) -> DataFrame:
         p = parse_params(params, L=self.lsh.L, T=0, recall=0.0)
         if p["recall"]:
@@ -205,9 +212,22 @@ class Environment:
         if entry.vecs:
             entry.indexes[index]["paths"].append(self._write(self._operator(table, index).build(self.vecs(table)), f"{table}-{index}"))
 
+    def tune(self, table: str, index: str, distance: float, recall: float) -> str:
+        """Query parameters of an index for a recall of neighbours at a distance."""
+        return self._operator(table, index).tune(distance, recall)
+
     def disassociate(self, table: str, index: str) -> None:
         del self.tables[table].indexes[index]
 
+    def release(self, table: str, index: str) -> None:
+        """Forgets an index and deletes its folders, once the catalogue is written without it."""
+        paths = self.tables[table].indexes[index]["paths"]
+        self.disassociate(table, index)
+        self.checkpoint()
+        for p in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def query(self, table: str, queries: DataFrame, k: int, index: str | None = None, params: str = "") -> DataFrame:
         """k nearest vectors of queries (vec_id, features), by an index or exactly."""
         if index is None:

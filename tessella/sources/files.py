@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.session import materialize
+from tessella.functions import jpeg
+from tessella.session import materialize, open_path, ship
 
 
 def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -53,6 +59,38 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     return found.where((~name.startswith(".")) & (F.col("image.nChannels") == 3)).select(name.alias("name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("bgr"))
 
 
+def encode_jpegs(images: DataFrame, quality: int = 90) -> DataFrame:
+    """(name, content) of images (name, width, height, bgr) as JPEG files. No shuffle."""
+    ship(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bgr = np.frombuffer(row["bgr"], np.uint8).reshape(row["height"], row["width"], 3)
+                yield pa.RecordBatch.from_arrays([pa.array([row["name"]]), pa.array([jpeg.encode(bgr[:, :, ::-1], quality)], pa.binary())], names=["name", "content"])
+
+    return images.select("name", "width", "height", "bgr").mapInArrow(run, "name string, content binary")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes rows (name, content) as files of a folder, on any file system that pyarrow opens; each has its name only when it is complete, so a task may run again. The number of files."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = open_path(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            for name, content in zip(names, batch.column("content").to_pylist(), strict=True):
+                part = f"{path}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content)
+                system.move(part, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return rows.select("name", F.col("content").cast("binary")).mapInArrow(run, "name string").count()
+
+
 #: Patterns of generated lines: each letter is a block of 20 characters; R is random, F fixed, A, B, C are repeats of themselves.
 PATTERNS = ("RAND", "AAR", "ABC", "FFF", "FFR", "RFF")
 

@@ -4,7 +4,8 @@ import pytest
 from tessella.operators import lsh
 from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
-from tessella.sources.files import scan_images
+from tessella.functions import jpeg
+from tessella.sources.files import encode_jpegs, scan_images, write_files
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,27 @@ def test_search(spark, folder):
     names = spark.createDataFrame([("i0.png",)], "name string")
     hits = image_search(scan_images(spark, folder), names, lsh.LshParams(D=14, M=4, L=12, W=8.0, H=19697), SimilarityPlan(k=2)).orderBy("rank").collect()
     assert [(h.name, h["rank"]) for h in hits] == [("i0.png", 1), ("i3.png", 2)] and hits[0].dist == 0
+
+
+def test_jpegs_are_read_back(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    smooth = np.stack([np.add.outer(np.arange(45) * 3, np.arange(61) * 2), np.add.outer(np.arange(45), 200 - np.arange(61)), np.full((45, 61), 90)], axis=2).clip(0, 255).astype(np.uint8)
+    images = {"smooth": smooth, "noise": rng.integers(0, 256, (17, 33, 3), dtype=np.uint8), "flat": np.full((8, 8, 3), 200, np.uint8), "dot": np.full((1, 1, 3), 7, np.uint8), "edges": np.where(np.indices((64, 40)).sum(0)[:, :, None] % 9 < 4, 255, 0).astype(np.uint8).repeat(3, 2)}
+    rows = [(k, v.shape[1], v.shape[0], bytearray(v[:, :, ::-1].tobytes())) for k, v in images.items()]
+    made = encode_jpegs(spark.createDataFrame(rows, "name string, width int, height int, bgr binary"), quality=100)
+    assert write_files(made.selectExpr("concat(name, '.jpg') as name", "content"), str(tmp_path / "out")) == 5
+    back = {r.name[:-4]: np.frombuffer(r.bgr, np.uint8).reshape(r.height, r.width, 3)[:, :, ::-1] for r in scan_images(spark, str(tmp_path / "out")).collect()}
+    assert back.keys() == images.keys()
+    for name, image in images.items():
+        assert back[name].shape == image.shape and np.abs(back[name].astype(int) - image).max() <= 8, name
+    small, fine = (len(jpeg.encode(smooth, q)) for q in (20, 95))
+    assert small < fine < smooth.nbytes / 2
+
+
+def test_jpeg_codes_have_no_code_of_ones_only():
+    for counts in ({0: 1}, {0: 5, 1: 5}, {i: 2**i for i in range(40)}, {i: 1 for i in range(162)}):
+        lengths = jpeg.code_lengths(counts)
+        _, codes = jpeg.canonical(lengths)
+        assert max(lengths.values()) <= 16 and all(c < (1 << n) - 1 for c, n in codes.values())
+        words = sorted(f"{c:0{n}b}" for c, n in codes.values())
+        assert not any(b.startswith(a) for a, b in zip(words, words[1:], strict=False))

@@ -61,6 +61,21 @@ def test_lsh_finds_planted_and_recall_grows(planted):
     assert all(r.id in table_ids for r in lsh.lsh_recall_knn(table, queries, params, 3, 0.9).collect())
 
 
+def test_lsh_tables_and_buckets(spark, planted):
+    _, table = planted
+    queries = table.where("vec_id % 50 = 0")
+    params = lsh.LshParams(D=16, M=6, L=8, W=2.0, H=997, seed=5)
+    index = lsh.build_index(table, params)
+    bitmaps = lsh.bucket_bitmaps(index)
+    counted = {(r.table_no, r.bucket): r.n for r in bitmaps.groupBy("table_no", "bucket").agg(F.sum(F.bitmap_count("bitmap")).alias("n")).collect()}
+    assert counted == {(r.table_no, r.bucket): r["count"] for r in index.groupBy("table_no", "bucket").count().collect()}
+    truth = search.knn(table, queries, 3)
+    best = lsh.best_tables(index, queries, truth, params, 3)
+    found = lambda tables: lsh.probe(index, queries, params, tables).join(truth.select("query_id", "id"), ["query_id", "id"]).count()
+    assert len(set(best)) == 3 and found(best) >= found([0, 1, 2]) and found(best[:1]) == max(found([t]) for t in range(8))
+    assert lsh.tune(params, 0.05, 0.9) < lsh.tune(params, 2.0, 0.9) and lsh.tune(params, 50.0, 0.99, most=7) == 7
+
+
 def test_lsh_hash_wraps_and_perturbations():
     params = lsh.LshParams(D=2, M=2, L=1, W=1.0, H=1000)
     negative = np.array([[[-1, 5]]])
@@ -131,6 +146,12 @@ def test_environment(spark, tmp_path):
     again.register_views()
     assert spark.sql("select count(*) from t_vecs").first()[0] == 6
     assert again.describe().where("kind = 'table'").count() == 1
+    tuned = again.tune("t", "i", 1.0, 0.9)
+    assert tuned.startswith("-L 2 -T ") and again.query("t", q, 2, "i", tuned).count() == len(near)
+    folders = [p for p in (tmp_path / "env").iterdir() if p.name.startswith("t-i-")]
+    again.release("t", "i")
+    assert len(folders) == 2 and not any(p.exists() for p in folders) and not Environment(spark, str(tmp_path / "env")).tables["t"].indexes
+    assert [p.name for p in (tmp_path / "env").iterdir() if p.name.startswith("catalog")] == ["catalog-000000000001.json"]
     again.export_file("t", str(tmp_path / "export"))
     _, back = import_features(spark, str(tmp_path / "export"), VecConfig(dim=3))
     assert sorted(r.name for r in back.collect()) == ["obj a", "obj a", "obj b", "obj b"]
