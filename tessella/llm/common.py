@@ -39,6 +39,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def kept_of_components(linked: DataFrame, first: str) -> DataFrame:
+    """linked (root, ..., first) without root and with keep: the least ``first`` of each root's rows."""
+    rows = materialize(linked, "linked")
+    firsts = rows.groupBy(F.col("root").alias("k_root")).agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("k_rows"))
+    found = hot_lookup(rows, ["root"], materialize(firsts, "firsts"), ["k_root"], "k_rows", rows.count())
+    return found.select(*[c for c in linked.columns if c not in ("root", first)], "keep")
+
+
 def unclashed(df: DataFrame, *needed: str) -> DataFrame:
     """df with other names for columns whose names differ from a needed or an earlier one by case only, which Spark can't tell apart."""
     names, seen = [], {c.lower() for c in needed}
@@ -61,7 +69,7 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 HOT_SHARE = 1000
 
 
-def hot_lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, count: str, total: int) -> DataFrame:
+def hot_lookup(rows: DataFrame, keys: list[str], table: DataFrame, table_keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has one row for each key and the number of its rows.
 
     Keys with over a thousandth of all rows are at most a thousand, so their part of the table is broadcast within
@@ -70,8 +78,8 @@ def hot_lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, coun
     limit = max(1000, total // HOT_SHARE)
     hot = F.broadcast(table.where(F.col(count) > limit).limit(HOT_SHARE))
     cold = table.where(F.col(count) <= limit)
-    on = F.col(key) == F.col(table_key)
-    return rows.join(hot, on, "inner").union(rows.join(hot.select(table_key), on, "left_anti").join(cold, on, "inner"))
+    on = [F.col(k) == F.col(t) for k, t in zip(keys, table_keys, strict=True)]
+    return rows.join(hot, on, "inner").union(rows.join(hot.select(*table_keys), on, "left_anti").join(cold, on, "inner"))
 
 
 #: Bits of a filter for each member, and at most: 128 MB. A filter that is fuller lets more through, which a join then stops.

@@ -6,7 +6,8 @@ bins taking their next neighbour's value; lines that agree in all rows of a band
 rows a pair of Jaccard similarity s meets with probability 1 - (1 - s^4)^12: 0.998 at 0.8 and 0.99999 at 0.9. Buckets
 are verified on the exact shingle sets, the verified links go through distributed union-find, and of each component the
 line that comes first (smallest doc_id, then part (below), then line number) stays; all its other occurrences go, equal
-lines included. A line of under k bytes is one shingle as a whole, so it is similar to its equals only, which its id finds.
+lines included. A line of under k bytes is one shingle as a whole, so it is similar to its equals only. Lines are equal if
+95 bits of hashes of their normal forms are.
 
 Defined results: a null text has no lines and stays null; blank lines (under MIN_BYTES bytes in normal form) are never
 compared or dropped, lines of any other length are; rows that repeat a doc_id and its text are treated alike, as one
@@ -25,13 +26,13 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 
-from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes, unclashed
+from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, kept_of_components, materialize, passes, unclashed
 from .components import connected_components
 from .verify import char_shingles, mix64, packed_shingles, verified_links
 
 K, BANDS, ROWS, THRESHOLD, MIN_BYTES = 7, 12, 4, 0.8, 1
 #: Distinct lines that a task remembers to make their signatures only once, and bytes whose shingles it hashes at once.
-SEEN, CHUNK_BYTES = 200_000, 1 << 21
+SEEN, CHUNK_BYTES = 200_000, 1 << 19
 #: Band keys that a task packs at once.
 PACKED_KEYS = 1 << 19
 
@@ -50,9 +51,15 @@ def normal_lines(text: bytes, min_bytes: int) -> Iterator[tuple[int, bytes]]:
             yield number, form
 
 
+def _hashes(form: bytes) -> tuple[int, int]:
+    """A line's id (64 bits, signed) and check (31 bits more): lines are equal if both are."""
+    h = xxhash.xxh3_128_intdigest(form)
+    low = h & (1 << 64) - 1
+    return low - (1 << 64) if low >> 63 else low, h >> 97
+
+
 def _id(form: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(form)
-    return h - (1 << 64) if h >> 63 else h
+    return _hashes(form)[0]
 
 
 def band_keys(forms: list[bytes], k: int = K, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -92,20 +99,22 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def occurrences(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(place, part, line_no, id) of each line of rows (place, part, text) that counts; id is a hash of the normal form."""
+    """(place, part, line_no, id, check) of each line of rows (place, part, text) that counts; id and check are hashes of the normal form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, part, number, ids = [], [], [], []
+            place, part, number, ids, checks = [], [], [], [], []
             for p, q, text in zip(batch.column("place").to_pylist(), batch.column("part").to_pylist(), _texts(batch), strict=True):
                 for i, form in normal_lines(text or b"", min_bytes):
                     place.append(p)
                     part.append(q)
                     number.append(i)
-                    ids.append(_id(form))
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(part, pa.int64()), pa.array(number, pa.int32()), pa.array(ids, pa.int64())], names=["place", "part", "line_no", "id"])
+                    h, check = _hashes(form)
+                    ids.append(h)
+                    checks.append(check)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(part, pa.int64()), pa.array(number, pa.int32()), pa.array(ids, pa.int64()), pa.array(checks, pa.int32())], names=["place", "part", "line_no", "id", "check"])
 
-    return arrow_map(rows.select("place", "part", "text"), run, "place long, part long, line_no int, id long")
+    return arrow_map(rows.select("place", "part", "text"), run, "place long, part long, line_no int, id long, check int")
 
 
 def buckets(rows: DataFrame, k: int = K, bands: int = BANDS, n_rows: int = ROWS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -214,13 +223,13 @@ def dropped_lines(texts: DataFrame, k: int, bands: int, rows: int, threshold: fl
     members = materialize(buckets(texts, k, bands, rows, min_bytes), "line-members")
     links = materialize(verified_links(members, line_texts(texts, members, max(min_bytes, k)), char_shingles(k), threshold), "line-links")
     comps = connected_components(links)
-    lines = materialize(occ.groupBy("id").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
-    linked = comps.join(lines, F.col("node") == F.col("id")).select("node", "root", "first", "n")
-    firsts = linked.groupBy("root").agg(F.min("first").alias("keep"))
-    named = linked.select("node", F.col("root").alias("r"), "n").join(firsts, F.col("r") == F.col("root")).select("node", "n", "keep")
-    single = lines.where("n > 1").join(comps.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "n", F.col("first").alias("keep"))
-    table = materialize(named.union(single), "line-table")
-    found = hot_lookup(occ, "id", table, "node", "n", occ.count())
+    lines = materialize(occ.groupBy("id", "check").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
+    # a link was verified on one text of an id: should two lines share an id, neither goes by a link
+    linked = comps.join(lines, F.col("node") == F.col("id")).select("node", "check", "root", "first", "n", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("forms")).where("forms = 1")
+    named = kept_of_components(linked.select("node", "check", "root", "first", "n"), "first")
+    single = lines.where("n > 1").join(comps.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "check", "n", F.col("first").alias("keep"))
+    table = materialize(named.union(single).withColumnRenamed("check", "node_check"), "line-table")
+    found = hot_lookup(occ, ["id", "check"], table, ["node", "node_check"], "n", occ.count())
     gone = found.where("place != keep.place or part != keep.part or line_no != keep.line_no")
     return gone.groupBy("place", "part").agg(F.sort_array(F.array_distinct(F.collect_list("line_no"))).alias("dropped"))
 
