@@ -6,7 +6,7 @@ weighted by how well the bit's classifier does on the training rows. The score i
 codeword, and a text whose runner-up is too near is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample: rows whose hash is below SAMPLE / (rows of their language), so about
-SAMPLE whole texts of each language. Their feature vectors are made on the executors and fitted on the driver.
+SAMPLE whole texts of each language, fewer where that would be over MOST_ROWS in all. Their feature vectors are made on the executors and fitted on the driver.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or without anything to learn from; ties go
 to the language first in code point order; rows without a language teach nothing; repeated rows count as rows; other
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, unclashed
 
 SAMPLE, BITS, AMBIGUOUS = 400, 12, 0.6
+#: Rows of all languages together that are fitted on, about.
+MOST_ROWS = 20_000
 _LETTER = re.compile("[A-Za-z]")
 #: Bytes of letters stay (A-Z is lower-cased before), all else is a space.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -120,7 +122,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
+    each = min(sample, max(1, MOST_ROWS // len(counts)))
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
     taken = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < F.lit(1_000_003) * F.element_at(share, F.col("lang")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

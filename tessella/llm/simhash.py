@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
-from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, materialize, passes, unclashed
+from .common import arrow_map, default_partitions, fresh_name, hash_filter, hot_lookup, kept_of_components, materialize, passes, unclashed
 from .components import connected_components
 from .verify import batches_of, hash_windows, mix64, verified_links, word_shingles
 
@@ -50,11 +50,14 @@ def bit_majority(hashes: list[int] | np.ndarray) -> int:
     if len(hashes) == 0:
         return 0
     h = np.array(hashes, dtype="<u8")
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):
-        part = h[at : at + 65_536]
-        count += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
+    if len(h) < 2000:
+        count = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    else:
+        # bit b of all eight bytes at once, in sums of 255 rows, which a byte holds
+        rows = np.concatenate((h, np.zeros(-len(h) % 255, "<u8"))).reshape(-1, 255)
+        sums = [((rows >> np.uint64(b)) & np.uint64(0x0101010101010101)).sum(axis=1, dtype="<u8") for b in range(8)]
+        count = np.stack([s.view(np.uint8).reshape(len(s), 8).sum(axis=0, dtype=np.int64) for s in sums], axis=1).ravel()
+    return int(np.packbits(2 * count.astype(np.int64) > len(h), bitorder="little").view("<u8")[0])
 
 
 def shingle_hashes(words: list[bytes], k: int, seed: int) -> list[int]:
@@ -383,7 +386,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = linked.select("node", F.col("root").alias("r")).join(roots, F.col("r") == F.col("root")).select(F.col("node").alias("l_fp"), "component_id", "size")
     table = classes.join(named, F.col("fp") == F.col("l_fp"), "left").select(F.col("fp").alias("c_fp"), "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("size", "n").alias("group_size"))
     table = materialize(table, "simhash-table")
-    out = hot_lookup(fps, "fp", table, "c_fp", "n", fps.count())
+    out = hot_lookup(fps, ["fp"], table, ["c_fp"], "n", fps.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
@@ -410,7 +413,8 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     every = materialize(arrow_map(rows, points, "doc_id long, row long, id long, fp long, fp2 long, fp3 long, fp4 long, size long"), "near-points")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
-    classes = materialize(every.groupBy("id").agg(*[F.first(c).alias(c) for c in ("fp", *more, "size")], least, F.count(F.lit(1)).alias("n")), "near-classes")
+    # texts are equal if the hash and the first fingerprint, another hash of theirs, are
+    classes = materialize(every.groupBy("id", "fp").agg(*[F.first(c).alias(c) for c in (*more, "size")], least, F.count(F.lit(1)).alias("n")), "near-classes")
     groups = connected_components(hamming_links(classes.select("id", "fp", "size", *more), radius, radius2, threshold))
     members = materialize(groups.select(F.col("root").alias("group"), F.col("node").alias("id")), "near-members")
     words = hash_filter(members)
@@ -427,12 +431,12 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
     texts = arrow_map(rows.select("text"), wanted, "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
     links = materialize(verified_links(members, texts, word_shingles(k), threshold), "near-links")
     comps = connected_components(links)
-    linked = comps.join(classes, F.col("node") == F.col("id")).select("node", "root", "least", "n")
-    roots = linked.groupBy("root").agg(F.min("least").alias("keep"))
-    named = linked.select("node", F.col("root").alias("r"), "n").join(roots, F.col("r") == F.col("root")).select("node", "n", "keep")
-    single = classes.where("n > 1").join(named.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), "n", F.col("least").alias("keep"))
+    # a link was verified on one text of an id: should two texts share an id, neither goes by a link
+    linked = comps.join(classes, F.col("node") == F.col("id")).select("node", F.col("fp").alias("node_fp"), "root", "least", "n", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("forms")).where("forms = 1")
+    named = kept_of_components(linked.select("node", "node_fp", "root", "least", "n"), "least")
+    single = classes.where("n > 1").join(comps.select("node"), F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"), F.col("fp").alias("node_fp"), "n", F.col("least").alias("keep"))
     table = materialize(named.union(single), "near-table")
-    return hot_lookup(every.select("row", "id"), "id", table, "node", "n", every.count()).select("row", F.col("keep.row").alias("keep"))
+    return hot_lookup(every.select("row", "id", "fp"), ["id", "fp"], table, ["node", "node_fp"], "n", every.count()).select("row", F.col("keep.row").alias("keep"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

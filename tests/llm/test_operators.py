@@ -376,6 +376,12 @@ def test_toxicity_edges(spark, odd, empty, toxic):
 # simhash
 
 
+@pytest.mark.parametrize("n", [1, 2, 254, 255, 1999, 2000, 2040, 70_001])
+def test_bit_majority(n):
+    h = [random.Random(n).getrandbits(64) & (~0 if n % 2 else 0xFF << 20 | 3) for _ in range(1)] * (n // 2) + [random.Random(n + i).getrandbits(64) for i in range(n - n // 2)]
+    assert simhash.bit_majority(h) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+
+
 def test_simhash_equals_brute_force(small):
     rows = pairs(small)
     fps = [brute.simhash(t) for _, t in rows]
