@@ -86,7 +86,7 @@ def test_emd_closed_forms():
         assert solve(np.array([0.4, 0.6]), one, np.array([[0.0], [10.0]])) == pytest.approx(6)
         assert solve(one, np.array([0.25, 0.25]), np.array([[3.0, 5.0]])) == pytest.approx(4)
         assert solve(np.zeros(1), one, np.ones((1, 1))) == 0
-        assert solve(np.ones(257), one, np.ones((257, 1))) == 1e20
+        assert solve(np.ones(257), one, np.ones((257, 1)), most_regions=256) == 1e20 and solve(np.ones(257), one, np.ones((257, 1))) == pytest.approx(1)
 
 
 @settings(max_examples=60, deadline=None)
@@ -125,3 +125,9 @@ def test_resize_and_segmentation():
     assert weights.sum() == pytest.approx(1) and features.shape == (2, 14)
     assert features[0, 9] == pytest.approx(math.log(2)) and features[0, 10] == pytest.approx(1)
     assert images.edge_overlay(image, labels)[0, 32, 0] == 55
+
+
+def test_simplex_says_when_it_is_not_done():
+    rng = np.random.default_rng(2)
+    with pytest.raises(RuntimeError):
+        myemd(rng.random(12), rng.random(12), rng.random((12, 12)), most=1)
