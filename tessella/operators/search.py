@@ -1,8 +1,9 @@
 """Exact similarity search over vector tables: k nearest, range, candidates, and scoring of results.
 
-A search compares a stated query set with all rows. Rows and queries are packed into blocks of bounded size; a table
-block is sent to each query block, the distances of a pair of blocks are computed on arrays, and only the best k of each
-query leave the task. The final ranking is a window whose limit Spark pushes below the shuffle.
+A search compares a stated query set with all rows. Queries of at most BROADCAST_VALUES numbers, which are counted first,
+are sent to every task, and the table is streamed past them without a shuffle. For more, rows and queries are packed into
+blocks of bounded size, and a table block is sent to each query block. Distances are computed on arrays, and only the
+best k of each query leave a task. The final ranking is a window whose limit Spark pushes below the shuffle.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tessella.functions.distances import BLOCK_DISTANCES, distance
 from tessella.session import ship
 
 TABLE_BLOCK, QUERY_BLOCK = 8192, 512
+#: Numbers of a query set that is broadcast (32 MB), and found rows that a task holds before it reduces them.
+BROADCAST_VALUES, HELD = 1 << 22, 1 << 20
 DECIMALS = 6
 
 
@@ -48,8 +51,52 @@ def _first_k(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return r[best], c[best]
 
 
+def _stream_past(table: DataFrame, asked: list, dist: str, k: int | None, limit: float | None, id_col: str, vec_col: str) -> DataFrame:
+    """The table's batches against a broadcast query set, rows (id, vector)."""
+    ids = np.array([r[0] for r in asked], np.int64)
+    held = table.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1) if asked else np.zeros((0, 1))))
+    between = BLOCK_DISTANCES[dist]
+
+    def least(q: np.ndarray, i: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k rows of each query."""
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        begins = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        keep = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q)))) < k
+        return q[keep], i[keep], d[keep]
+
+    def batch_of(q: np.ndarray, i: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.value[0][q]), pa.array(i), pa.array(d)], names=["query_id", "id", "dist"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qv, best = held.value[1], []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ti, tv = batch.column(0).to_numpy(), np.array(batch.column(1).flatten()).reshape(len(batch), -1)
+            step = max(1, (4 << 20) // max(1, tv.size))
+            for at in range(0, len(qv), step):
+                d = np.round(between(qv[at : at + step], tv), DECIMALS)
+                r, c = _first_k(d, ti, k) if k is not None else np.nonzero(d < limit)
+                if k is None:
+                    yield batch_of(at + r, ti[c], d[r, c])
+                else:
+                    best.append((at + r, ti[c], d[r, c]))
+            if sum(len(b[0]) for b in best) > HELD:
+                best = [least(*map(np.concatenate, zip(*best, strict=True)))]
+        if best:
+            yield batch_of(*least(*map(np.concatenate, zip(*best, strict=True))))
+
+    chosen = table.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
+    return chosen.mapInArrow(run, "query_id long, id long, dist double")
+
+
 def _scan(table: DataFrame, queries: DataFrame, dist: str, k: int | None, limit: float | None, id_col: str, vec_col: str) -> DataFrame:
     ship(table.sparkSession)
+    present = queries.where(F.col(vec_col).isNotNull())
+    values = present.agg(F.sum(F.size(vec_col))).first()[0] or 0
+    if values <= BROADCAST_VALUES:
+        return _stream_past(table, present.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).collect(), dist, k, limit, id_col, vec_col)
     q, nq = _blocks(queries, id_col, vec_col, QUERY_BLOCK, "q")
     t, _ = _blocks(table, id_col, vec_col, TABLE_BLOCK, "t")
     pairs = t.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(q, F.col("to") == F.col("q_block"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from tessella.operators import archive, chunking, dedup
 from tessella.plans.compress import CompressPlan, compress, restore
@@ -52,6 +52,14 @@ def coarse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cdc_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", params).select("file_idx", "l1", "l2", "is_last_l2", "offset", "n")
 
 
+@query("SELECT doc_id AS file_idx, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, true AS joined FROM documents WHERE octet_length(encode(text)) > 0")
+def coarse_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of two levels neither lose nor add bytes, and each begins where the one before ends."""
+    chunks = coarse_chunks(spark, sf_dir)
+    before = F.sum("n").over(Window.partitionBy("file_idx").orderBy("l1", "l2")) - F.col("n")
+    return chunks.withColumn("joined", before == F.col("offset")).groupBy("file_idx").agg(F.sum("n").alias("bytes"), F.every("joined").alias("joined"))
+
+
 @query("SELECT doc_id, sha1(text) AS sha1, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.col("text").cast("binary")
@@ -170,8 +178,6 @@ def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, CAST(l2 AS INTEGER) AS l2, is_last FROM c""")
 def sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level sequence numbers of conversations, with the last one of each marked."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).alias("l2"), F.lead("turn").over(w).isNull().alias("is_last"))
 

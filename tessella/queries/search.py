@@ -166,6 +166,13 @@ def lsh_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.build_index(table(spark, sf_dir, "embeddings"), SMALL)
 
 
+@query("SELECT table_no, bucket, count(*) AS ids FROM (" + " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS table_no, vec_id, {_bucket_sql(t)} AS bucket FROM (SELECT vec_id, [{_hash_sql(t)}] AS h FROM embeddings)" for t in range(SMALL.L)) + ") GROUP BY 1, 2")
+def lsh_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each bucket as bitmaps, counted."""
+    bitmaps = lsh.bucket_bitmaps(lsh.build_index(table(spark, sf_dir, "embeddings"), SMALL))
+    return bitmaps.groupBy("table_no", "bucket").agg(F.sum(F.bitmap_count("bitmap")).alias("ids"))
+
+
 @query(f"SELECT CAST(t.i AS INTEGER) AS table_no, count(*) AS vecs FROM embeddings, (SELECT unnest(range({PARAMS.L})) AS i) t GROUP BY 1")
 def lsh_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector is in one bucket of each table, and buckets are in range."""

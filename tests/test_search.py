@@ -27,6 +27,17 @@ def test_knn_equals_brute_force(planted):
         assert [i for _, i in sorted(hits)] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
 
 
+def test_broadcast_and_blocks_agree(planted, monkeypatch):
+    _, table = planted
+    queries = table.where("vec_id % 7 = 0")
+    near, within = (sorted(map(tuple, f.collect())) for f in (search.knn(table, queries, 4), search.range_search(table, queries, 1.2)))
+    monkeypatch.setattr(search, "HELD", 10)
+    assert sorted(map(tuple, search.knn(table, queries, 4).collect())) == near
+    monkeypatch.setattr(search, "BROADCAST_VALUES", 0)
+    assert sorted(map(tuple, search.knn(table, queries, 4).collect())) == near
+    assert sorted(map(tuple, search.range_search(table, queries, 1.2).collect())) == within
+
+
 def test_knn_with_few_rows_and_none(spark, planted):
     _, table = planted
     assert search.knn(table.where("vec_id < 3"), table.where("vec_id = 0"), 10).count() == 3
