@@ -9,9 +9,10 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import HOT_SHARE, arrow_map, default_partitions, materialize
+from .common import arrow_map, default_partitions, hot_lookup, materialize
+from .components import connected_components
 
-#: Members of a group that one task compares at once; larger groups are dealt as pairs of blocks of half that size.
+#: Members of a group that one task compares at once; larger groups are dealt as blocks of half that size.
 BLOCK = 2000
 
 
@@ -62,32 +63,51 @@ def jaccard_at_least(threshold: float) -> Callable[[np.ndarray, np.ndarray], boo
     return similar
 
 
-def split_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (group, id) with a part: groups of more than ``block`` members become pairs of blocks, so that each pair of members meets in one part and no task holds a whole large group.
-
-    Groups with over a thousandth of all members are fewer than a thousand, and their sizes are broadcast within that
-    bound; those of the other large groups are joined as Spark sees fit, by a shuffle in which no group has more than
-    that share of the members.
-    """
+def _large_groups(members: DataFrame, block: int) -> DataFrame | None:
+    """(group, id, blocks, mine, size) of the members of groups of more than ``block``, dealt to blocks of half that size; None if there is no such group."""
     half = block // 2
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
     sizes = materialize(sizes.select(F.col("group").alias("g"), "size", F.ceil(F.col("size") / half).cast("int").alias("blocks")), "group-sizes")
-    limit = max(block, members.count() // HOT_SHARE)
-    on = F.col("group") == F.col("g")
-    hot = F.broadcast(sizes.where(F.col("size") > limit).limit(HOT_SHARE))
-    dealt = members.join(hot, on, "inner").select("group", "id", "blocks")
-    others = members.join(hot.select("g"), on, "left_anti").join(sizes.where(F.col("size") <= limit), on, "left").select("group", "id", "blocks")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, mine) * F.col("blocks") + F.greatest(o, mine))
-    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)
-    return dealt.union(others).select("group", "id", F.explode(parts).alias("part"))
-
-
-def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[list[bytes]], list[np.ndarray]], threshold: float) -> DataFrame:
+    if sizes.isEmpty():
+        return None
+    rows = hot_lookup(members, ["group"], sizes, ["g"], "size", members.count())
+    return materialize(rows.select("group", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"), "size"), "large-groups")
+
+
+def _first_parts(large: DataFrame) -> DataFrame:
+    """(group, id, part): each block by itself, and each with the first one."""
+    pair = lambda a, b: F.least(a, b) * F.col("blocks") + F.greatest(a, b)
+    zero = F.lit(0)
+    parts = F.when(F.col("mine") == 0, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(pair(F.col("mine"), F.col("mine")), pair(zero, F.col("mine"))))
+    return large.select("group", "id", F.explode(parts).alias("part"))
+
+
+def _open_parts(large: DataFrame, links: DataFrame, block: int) -> DataFrame | None:
+    """(group, id, part) in which each member that isn't in the largest component of its group so far meets all members of the group; None if there is no such member."""
+    comps = connected_components(links)
+    rows = large.join(comps, F.col("id") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "id").alias("root"))
+    rows = materialize(rows, "large-components")
+    counted = rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy(F.col("group").alias("g")).agg(F.max_by("root", F.struct("n", "root")).alias("top"), (F.sum("n") - F.max("n")).alias("open"), F.sum("n").alias("all"))
+    top = materialize(top.where("open > 0").withColumn("lefts", F.ceil(F.col("open") / (block // 2)).cast("int")), "large-open")
+    if top.isEmpty():
+        return None
+    rows = hot_lookup(rows, ["group"], top, ["g"], "all", large.count())
+    left = rows.where("root != top").select("group", "id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.pmod(F.xxhash64(F.lit("open"), "id"), F.col("lefts")).cast("int") * F.col("blocks") + j)).alias("part"))
+    right = rows.select("group", "id", F.explode(F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: i * F.col("blocks") + F.col("mine"))).alias("part"))
+    return left.union(right).distinct()
+
+
+def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[list[bytes]], list[np.ndarray]], threshold: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among the members of each group whose shingle sets have a Jaccard similarity of threshold or more: enough of them to connect what all of them connect.
 
     members: (group long, id long), texts: (id long, text) with one row for each id. The texts are joined to the
     members, dealt by (group, part) and streamed through tasks that hold one part's shingle sets at a time.
+
+    A group of more than ``block`` members is dealt in two rounds. In the first, each block of its members meets itself
+    and the first block, three rows a member. Most members of a group of copies are one component by then; in the
+    second, the others meet all members. Members inside the largest component need not meet: no link is lost, and only a
+    group whose members are unlike each other costs rows that grow faster than the group.
     """
     similar = jaccard_at_least(threshold)
 
@@ -109,9 +129,18 @@ def verified_links(members: DataFrame, texts: DataFrame, shingles: Callable[[lis
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
-    rows = split_groups(members).join(texts, "id", "inner")
-    rows = rows.repartition(default_partitions(members.sparkSession), "group", "part").sortWithinPartitions("group", "part", "id")
-    return arrow_map(rows.select("group", "part", "id", "text"), run, "a long, b long")
+    def checked(parts: DataFrame) -> DataFrame:
+        rows = parts.join(texts, "id", "inner").repartition(default_partitions(members.sparkSession), "group", "part").sortWithinPartitions("group", "part", "id")
+        return arrow_map(rows.select("group", "part", "id", "text"), run, "a long, b long")
+
+    large = _large_groups(members, block)
+    if large is None:
+        return checked(members.select("group", "id", F.lit(0).alias("part")))
+    names = large.select(F.col("group").alias("g")).distinct()
+    small = members.join(names, F.col("group") == F.col("g"), "left_anti").select("group", "id", F.lit(0).alias("part"))
+    links = materialize(checked(small.union(_first_parts(large))), "links-first")
+    rest = _open_parts(large, links, block)
+    return links if rest is None else links.union(checked(rest))
 
 
 def hash_windows(values: np.ndarray, k: int) -> np.ndarray:

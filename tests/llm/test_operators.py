@@ -10,10 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tessella.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, mixing, order_minhash, queries, simhash, toxicity
+from tessella.llm import bpe, chat, exact_dedup, langid, licenses, line_dedup, mixing, order_minhash, queries, simhash, toxicity, verify
 from tessella.llm.common import hash_filter, passes
 from tessella.llm.components import connected_components
-from tessella.llm.verify import char_shingles, jaccard_at_least, split_groups, union_links
+from tessella.llm.verify import char_shingles, jaccard_at_least, union_links, verified_links
 
 from . import brute
 
@@ -113,13 +113,50 @@ def test_verification_keeps_every_connection():
     assert [len(s) for s in char_shingles(7)([b"", b"abc", b"abcdefgh"])] == [1, 1, 2]
 
 
-def test_large_groups_are_dealt_in_pairs_of_blocks(spark):
-    members = spark.range(50).selectExpr("1L as group", "id").union(spark.range(5).selectExpr("2L as group", "id"))
-    dealt = split_groups(members, block=10)
-    sizes = [r["count"] for r in dealt.groupBy("group", "part").count().collect()]
-    assert max(sizes) < 40
-    meet = dealt.alias("a").join(dealt.alias("b"), ["group", "part"]).where("group = 1").select("a.id", F.col("b.id").alias("o")).distinct()
-    assert meet.count() == 2500
+@pytest.mark.parametrize("odd_ones", [0, 3, 60])
+def test_large_groups_lose_no_link(spark, odd_ones):
+    """A group of near copies of one text, with some that are like only each other or a few of them."""
+    rng = random.Random(odd_ones)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    chain = list(base)
+    for i in range(300, 300 + odd_ones):
+        for _ in range(2):
+            chain[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+        texts[i] = " ".join(chain)
+    texts |= {1000 + i: t for i, t in enumerate(("one two three", "one two three four", "five"))}
+    rows = [(7, i) for i in range(300 + odd_ones)] + [(8, 1000), (8, 1001), (8, 1002), (9, 5), (9, 299)]
+    members = spark.createDataFrame(rows, "group long, id long")
+    table = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "id long, text binary")
+    order = sorted(texts)
+    sets = [{t[i : i + 7] for i in range(max(1, len(t) - 6))} for t in (texts[i].encode() for i in order)]
+    grouped = {frozenset((a, b)) for g in (7, 8, 9) for x, a in rows if x == g for y, b in rows if y == g and a < b}
+    u = brute.Union(len(order))
+    for i in range(len(order)):
+        for j in range(i):
+            if frozenset((order[i], order[j])) in grouped and brute.jaccard(sets[i], sets[j]) >= 0.6 - 1e-9:
+                u.join(i, j)
+    want = [order[u.find(i)] for i in range(len(order))]
+    for block in (40, 5000):
+        v = brute.Union(len(order))
+        for r in verified_links(members, table, char_shingles(7), 0.6, block).collect():
+            v.join(order.index(r.a), order.index(r.b))
+        assert [order[v.find(i)] for i in range(len(order))] == want
+    assert len(set(want)) >= 2
+
+
+def test_first_round_is_linear(spark):
+    members = spark.range(5000).selectExpr("1L as group", "id").union(spark.range(5).selectExpr("2L as group", "id"))
+    large = verify._large_groups(members, 100)
+    dealt = verify._first_parts(large)
+    assert large.count() == 5000 and dealt.count() <= 3.2 * 5000
+    assert max(r["count"] for r in dealt.groupBy("group", "part").count().collect()) < 200
+    assert verify._large_groups(members, 5000) is None
 
 
 def test_components(spark):
