@@ -221,8 +221,7 @@ def dropped_lines(texts: DataFrame, k: int, bands: int, rows: int, threshold: fl
     """(place, part, dropped array<int>) for the documents of texts (place, part, text) that lose lines."""
     occ = materialize(occurrences(texts, min_bytes), "line-occurrences")
     members = materialize(buckets(texts, k, bands, rows, min_bytes), "line-members")
-    links = materialize(verified_links(members, line_texts(texts, members, max(min_bytes, k)), char_shingles(k), threshold), "line-links")
-    comps = connected_components(links)
+    comps = connected_components(verified_links(members, line_texts(texts, members, max(min_bytes, k)), char_shingles(k), threshold))
     lines = materialize(occ.groupBy("id", "check").agg(F.min(F.struct("place", "part", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
     # a link was verified on one text of an id: should two lines share an id, neither goes by a link
     linked = comps.join(lines, F.col("node") == F.col("id")).select("node", "check", "root", "first", "n", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("forms")).where("forms = 1")

@@ -429,8 +429,7 @@ def near_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64) if len(ids) else [], pa.int64()), pa.array([texts[i] for i in keep], pa.binary())], names=["id", "text"])
 
     texts = arrow_map(rows.select("text"), wanted, "id long, text binary").groupBy("id").agg(F.first("text").alias("text"))
-    links = materialize(verified_links(members, texts, word_shingles(k), threshold), "near-links")
-    comps = connected_components(links)
+    comps = connected_components(verified_links(members, texts, word_shingles(k), threshold))
     # a link was verified on one text of an id: should two texts share an id, neither goes by a link
     linked = comps.join(classes, F.col("node") == F.col("id")).select("node", F.col("fp").alias("node_fp"), "root", "least", "n", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("forms")).where("forms = 1")
     named = kept_of_components(linked.select("node", "node_fp", "root", "least", "n"), "least")
