@@ -5,6 +5,7 @@ from tessella.operators import lsh
 from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
 from tessella.functions import jpeg
+from tessella.queries import media
 from tessella.sources.files import encode_jpegs, scan_images, write_files
 
 
@@ -45,6 +46,13 @@ def test_search(spark, folder):
     assert [(h.name, h["rank"]) for h in hits] == [("i0.png", 1), ("i3.png", 2)] and hits[0].dist == 0
 
 
+def test_search_shuffles_no_pairs(spark, shuffled):
+    """7,102 regions and 140 that are asked for: a million pairs with a common bucket stay in their tasks."""
+    hits = media.image_search(spark, "/root/testdata/sf0.001").collect()
+    assert len(hits) == 50 and {h.query for h in hits if h["rank"] == 1 and h.query == h.name} == {str(i) for i in range(0, 500, 50)}
+    assert shuffled() < 3
+
+
 def test_jpegs_are_read_back(spark, tmp_path):
     rng = np.random.default_rng(1)
     smooth = np.stack([np.add.outer(np.arange(45) * 3, np.arange(61) * 2), np.add.outer(np.arange(45), 200 - np.arange(61)), np.full((45, 61), 90)], axis=2).clip(0, 255).astype(np.uint8)

@@ -2,6 +2,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
+from tessella.functions.transport import emd, myemd
 from tessella.operators import lsh, search, sets
 from tessella.plans.catalog import Environment
 from tessella.plans.similarity import SimilarityPlan, similarity_search
@@ -72,6 +73,33 @@ def test_lsh_finds_planted_and_recall_grows(planted):
     assert all(r.id in table_ids for r in lsh.lsh_recall_knn(table, queries, params, 3, 0.9).collect())
 
 
+@pytest.mark.parametrize("width, dense", [(0.4, 16), (2.0, 16), (2.0, 1 << 20), (2.0, 0), (50.0, 16)])
+def test_streamed_lsh_equals_the_index(spark, planted, monkeypatch, width, dense):
+    """Few hits, many and all rows; copies of vectors; rows without a vector; lists of tables; several blocks and passes."""
+    x, table = planted
+    table = table.unionByName(table.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1000)).unionByName(table.where("vec_id < 40").select(F.col("vec_id") + 2000, F.array(*[F.lit(float(v)) for v in x[0]]).alias("embedding")).toDF("vec_id", "embedding"))
+    table = table.unionByName(spark.createDataFrame([(5000, None)], table.schema)).coalesce(2)
+    queries = table.where("vec_id % 2 = 0")
+    params = lsh.LshParams(D=16, M=6, L=8, W=width, H=997, seed=5)
+    index = lsh.build_index(table, params)
+    for name, value in (("QUERIES", 7), ("FIRST_ROWS", 8), ("MOST_ROWS", 32), ("TESTED", 100), ("DENSE", dense)):
+        monkeypatch.setattr(lsh, name, value)
+    for tables, probes in ((None, 3), (5, 0), ([6, 2], 4)):
+        joined = sorted(map(tuple, lsh.lsh_knn(table, queries, params, 4, tables, probes, index).collect()))
+        assert sorted(map(tuple, lsh.lsh_knn(table, queries, params, 4, tables, probes).collect())) == joined and joined
+    monkeypatch.setattr(lsh, "BROADCAST_VALUES", 2000)
+    assert sorted(map(tuple, lsh.lsh_knn(table, queries, params, 4, [6, 2], 4).collect())) == joined
+    assert lsh.lsh_knn(table, queries.where("vec_id < 0"), params, 4).count() == 0 == lsh.lsh_knn(table.where("vec_id < 0"), queries, params, 4).count()
+
+
+def test_lsh_shuffles_no_pairs(spark, shuffled):
+    """All rows share a bucket with all queries: 1.6 million pairs, of which 3 a query leave a task."""
+    rng = np.random.default_rng(9)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 4)))], "vec_id long, embedding array<double>")
+    hits = lsh.lsh_knn(table, table.where("vec_id % 10 = 0"), lsh.LshParams(D=4, M=2, L=2, W=1000.0, H=997), 3).collect()
+    assert len(hits) == 1200 and shuffled() < 1
+
+
 def test_lsh_tables_and_buckets(spark, planted):
     _, table = planted
     queries = table.where("vec_id % 50 = 0")
@@ -116,6 +144,13 @@ def test_set_distances(spark):
     assert sets.normalised(vecs).groupBy("vecset_id").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-9").count() == 0
 
 
+def test_emd_equals_the_simplex_below_zero():
+    rng = np.random.default_rng(4)
+    for n, m in rng.integers(1, 9, (200, 2)):
+        cost, a, b = rng.random((n, m)) - 0.3, rng.random(n), rng.random(m)
+        assert emd(a, b, cost) == pytest.approx(myemd(a, b, cost), abs=1e-9)
+
+
 def test_similarity_search_finds_itself(planted, spark):
     _, table = planted
     vecs = table.select("vec_id", F.expr("vec_id div 2").alias("vecset_id"), F.lit(1.0).alias("weight"), F.col("embedding").alias("features"))
