@@ -53,6 +53,11 @@ def test_search_shuffles_no_pairs(spark, shuffled):
     assert shuffled() < 3
 
 
+def test_self_search_shuffles_no_pairs(spark, shuffled):
+    found = media.image_search_self(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(int(r.name) for r in found) == list(range(0, 500, 50)) and shuffled() < 3
+
+
 def test_jpegs_are_read_back(spark, tmp_path):
     rng = np.random.default_rng(1)
     smooth = np.stack([np.add.outer(np.arange(45) * 3, np.arange(61) * 2), np.add.outer(np.arange(45), 200 - np.arange(61)), np.full((45, 61), 90)], axis=2).clip(0, 255).astype(np.uint8)
