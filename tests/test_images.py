@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -6,6 +8,7 @@ from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
 from tessella.functions import jpeg
 from tessella.queries import media
+from tessella.session import shared_dir
 from tessella.sources.files import encode_jpegs, scan_images, write_files
 
 
@@ -58,6 +61,19 @@ def test_self_search_shuffles_no_pairs(spark, shuffled):
     assert sorted(int(r.name) for r in found) == list(range(0, 500, 50)) and shuffled() < 3
 
 
+def test_self_search_takes_disk_for_features_twice(spark, shuffled):
+    """0.8 MB of features go through one shuffle and into one table, also where tables are too large to be broadcast."""
+    top = shared_dir(spark).removeprefix("file://")
+    written = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if f.endswith(".parquet")) / 1e6
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        assert len(media.image_search_self(spark, "/root/testdata/sf0.001").collect()) == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled() + written() - before < 2.5
+
+
 def test_jpegs_are_read_back(spark, tmp_path):
     rng = np.random.default_rng(1)
     smooth = np.stack([np.add.outer(np.arange(45) * 3, np.arange(61) * 2), np.add.outer(np.arange(45), 200 - np.arange(61)), np.full((45, 61), 90)], axis=2).clip(0, 255).astype(np.uint8)

@@ -161,6 +161,20 @@ def test_similarity_search_finds_itself(planted, spark):
     assert {(r.query_id, r.id) for r in hits} >= {(q, q + 30) for q in range(5)}
 
 
+@pytest.mark.parametrize("values", [1 << 22, 100])
+def test_ranking_past_broadcast_candidates_equals_joins(planted, spark, monkeypatch, values):
+    _, table = planted
+    monkeypatch.setattr(sets, "BROADCAST_VALUES", values)  # 100 numbers: 37 passes
+    vecs = table.select("vec_id", F.expr("vec_id div 3").alias("vecset_id"), (1.0 + F.col("vec_id") % 2).alias("weight"), F.col("embedding").alias("features"))
+    packed = sets.as_sets(vecs)
+    assert sorted(map(str, sets.unpacked(packed).collect())) == sorted(map(str, vecs.collect()))
+    asked = packed.where("vecset_id % 4 = 1")
+    pairs = asked.select(F.col("vecset_id").alias("query_id")).crossJoin(packed.select(F.col("vecset_id").alias("id")).where("id % 3 > 0"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "id", "dist", "rank").collect())
+    joined = rows(sets.rank_sets(pairs, packed, 4))
+    assert rows(sets.rank_sets(pairs.union(pairs), packed, 4, queries=asked)) == joined and len(joined) == 40
+
+
 def test_bitmaps_samples_append(spark):
     ids = spark.range(100_000).select("id")
     assert search.bitmap_count(search.bitmap_union(search.bitmap_of(ids), search.bitmap_of(ids.where("id < 10")))).first().ids == 100_000
