@@ -100,6 +100,16 @@ def test_lsh_shuffles_no_pairs(spark, shuffled):
     assert len(hits) == 1200 and shuffled() < 1
 
 
+def test_lsh_passes_write_the_best_of_all_tasks(spark, planted, monkeypatch):
+    """120 rows in four tasks and 12 queries in several passes: 3 rows a query are written, not 3 of each task."""
+    _, table = planted
+    written, write = [], lsh.materialize
+    monkeypatch.setattr(lsh, "BROADCAST_VALUES", 50)
+    monkeypatch.setattr(lsh, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    hits = lsh.lsh_knn(table.repartition(4), table.where("vec_id % 10 = 0"), lsh.LshParams(D=16, M=2, L=2, W=1000.0, H=997), 3)
+    assert hits.count() == 36 == sum(df.count() for df in written) and len(written) > 1
+
+
 def test_lsh_tables_and_buckets(spark, planted):
     _, table = planted
     queries = table.where("vec_id % 50 = 0")
