@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, langid, licenses, line_dedup, mixing, order_minhash, simhash, toxicity
+from . import bpe, chat, exact_dedup, filter_audit, langid, licenses, line_dedup, mixing, order_minhash, packing, simhash, toxicity
 from .common import default_partitions
 
 VOCABULARY = "word_bpe_49k.json"
@@ -83,9 +83,17 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_and_edit(table(spark, sf_dir, "documents"), buckets=max(8, 4 * default_partitions(spark)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_license_scan, op4_exact_dedup, op5_toxicity, op6_simhash, op7_source_mix, op8_chat_format, op9_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_license_scan, op4_exact_dedup, op5_toxicity, op6_simhash, op7_source_mix, op8_chat_format, op9_bpe, op10_order_minhash, op11_filter_audit, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op7_source_mix": mixing.SQL.format(documents="documents"), "op8_chat_format": chat.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op7_source_mix": mixing.SQL.format(documents="documents"), "op8_chat_format": chat.SQL, "op11_filter_audit": filter_audit.SQL}
