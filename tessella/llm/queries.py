@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, filter_audit, langid, licenses, line_dedup, mixing, order_minhash, packing, simhash, toxicity
+from . import bpe, chat, exact_dedup, filter_audit, langid, licenses, line_dedup, mixing, order_minhash, packing, simhash, token_alignment, toxicity
 from .common import default_partitions
 
 VOCABULARY = "word_bpe_49k.json"
@@ -87,12 +87,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_license_scan, op4_exact_dedup, op5_toxicity, op6_simhash, op7_source_mix, op8_chat_format, op9_bpe, op10_order_minhash, op11_filter_audit, op13_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_license_scan, op4_exact_dedup, op5_toxicity, op6_simhash, op7_source_mix, op8_chat_format, op9_bpe, op10_order_minhash, op11_filter_audit, op12_token_alignment, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
