@@ -13,6 +13,8 @@ import numpy as np
 UNCOMPARED = 1e20
 MOST_REGIONS: int | None = None
 _EPS = 1e-12
+#: Rounds of the dual bound, and softness of its minima in the first and the last one as shares of the mean cost.
+DUAL_ROUNDS, SOFTNESS = 10, (0.3, 0.02)
 
 
 def emd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most_regions: int | None = MOST_REGIONS) -> float:
@@ -76,6 +78,64 @@ def emd(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, most_regions:
     return float(max(value, 0.0) / total)
 
 
+def _cheapest(cost: np.ndarray, amount: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """For each row the mean cost of moving ``moved`` by the cheapest of its cells, each of which takes an amount at most."""
+    order = np.argsort(cost, axis=1)
+    cost, amount = np.take_along_axis(cost, order, axis=1), np.take_along_axis(amount, order, axis=1)
+    taken = np.clip(moved[:, None] - (np.cumsum(amount, axis=1) - amount), 0, amount)
+    return (np.where(taken > 0, cost, 0) * taken).sum(axis=1) / moved
+
+
+def relaxed(supply: np.ndarray, demand: np.ndarray, near: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Lower bounds of emd for one supply (n) and many demands (many, m), from the least costs of each region: near (many, n) and back (many, m).
+
+    One side's limits are left out, so that each region sends what it has to its nearest one; the larger of both sides' costs.
+    """
+    total, totals = supply.sum(), demand.sum(axis=1)
+    moved = np.minimum(total, totals)
+    some = np.flatnonzero(moved > 0)
+    out = np.zeros(len(demand))
+    if len(some) and (totals[some] == total).all():
+        out[some] = np.maximum(near[some] @ supply, (back[some] * demand[some]).sum(axis=1)) / total
+    elif len(some):
+        out[some] = np.maximum(_cheapest(near[some], np.broadcast_to(supply, near[some].shape), moved[some]), _cheapest(back[some], demand[some], moved[some]))
+    return out
+
+
+def dual(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, rounds: int = DUAL_ROUNDS) -> np.ndarray:
+    """Lower bounds of emd for one supply (n) and many demands (many, m) with costs (many, n, m), some per cent below it.
+
+    Prices of regions come from soft minima over the costs, which get harder each round (Sinkhorn's iteration in logs); at
+    the end hard minima make them keep all costs' limits, and by duality what such prices are worth is a lower bound.
+    Objects of different weights are balanced by a free region.
+    """
+    moved = np.minimum(supply.sum(), demand.sum(axis=1))
+    some = np.flatnonzero(moved > 0)
+    out = np.zeros(len(demand))
+    if not len(some):
+        return out
+    rest = demand[some].sum(axis=1) - supply.sum()
+    a = np.concatenate((np.broadcast_to(supply, (len(some), len(supply))), np.maximum(rest, 0)[:, None]), axis=1)[:, :, None]
+    b = np.concatenate((demand[some], np.maximum(-rest, 0)[:, None]), axis=1)[:, None, :]
+    c = np.pad(cost[some], ((0, 0), (0, 1), (0, 1)))
+    with np.errstate(divide="ignore"):
+        log_a, log_b = np.log(a), np.log(b)
+    scale = (np.abs(c) * a * b).sum(axis=(1, 2), keepdims=True) / (a.sum(axis=1, keepdims=True) * b.sum(axis=2, keepdims=True)) + _EPS
+    u, v = np.zeros(a.shape), np.zeros(b.shape)
+
+    def soft(z: np.ndarray, axis: int) -> np.ndarray:
+        top = z.max(axis=axis, keepdims=True)
+        return top + np.log(np.exp(z - top).sum(axis=axis, keepdims=True))
+
+    for e in np.geomspace(*SOFTNESS, rounds):
+        v = -e * scale * soft((u - c) / (e * scale) + log_a, 1)
+        u = -e * scale * soft((v - c) / (e * scale) + log_b, 2)
+    v = np.where(b > 0, np.where(a > 0, c - u, np.inf).min(axis=1, keepdims=True), 0)
+    u = np.where(a > 0, np.where(b > 0, c - v, np.inf).min(axis=2, keepdims=True), 0)
+    out[some] = ((a * u).sum(axis=(1, 2)) + (b * v).sum(axis=(1, 2))) / moved[some]
+    return out
+
+
 def _vogel(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> list[tuple[int, int, float]]:
     """A basic solution: the row or column with the largest regret gets its cheapest cell filled first."""
     s, d = supply.copy(), demand.copy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,11 +12,13 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tessella.functions.distances import BLOCK_DISTANCES, distance
-from tessella.functions.transport import UNCOMPARED, assign, emd, myemd
+from tessella.functions.transport import UNCOMPARED, assign, dual, emd, myemd, relaxed
 from tessella.session import materialize, ship
 
 from .search import BROADCAST_VALUES, DECIMALS, ranked
 
+#: Set distances that the transport bounds hold for; pairs that are bounded at once, and numbers of their costs; rounding that bounds allow for.
+BOUNDED, FIRST_PAIRS, COSTS, ROUNDING = ("emd", "myemd"), 16, 1 << 20, 1e-7
 #: A broadcast pair of ids takes the memory of so many numbers.
 PAIR_VALUES = 6
 
@@ -100,3 +103,118 @@ def rank_sets(candidates: DataFrame, sets: DataFrame, k: int, queries: DataFrame
         return near(candidates, queries)
     of = lambda df, c, i: df.where(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(passes)) == i)
     return reduce(DataFrame.unionByName, [materialize(near(of(candidates, "query_id", i), of(queries, "vecset_id", i)), "ranked") for i in range(passes)])
+
+
+class _Query:
+    """A query set, its k nearest objects so far and the distance beyond which none is wanted."""
+
+    def __init__(self, number: int, weights: np.ndarray, features: np.ndarray, limit: float, k: int, decimals: int) -> None:
+        self.number, self.weights, self.features, self.reach = number, weights, features, float(np.sqrt((features**2).sum(axis=1).max()))
+        self.k, self.decimals, self.limit, self.best, self.seen, self.solved = k, decimals, limit, [], 0, 0
+
+    @property
+    def far(self) -> float:
+        """A bound above it can't be one of the k nearest."""
+        return min(self.limit, self.best[-1][0] if len(self.best) == self.k else np.inf) + 10.0**-self.decimals
+
+    def add(self, distance: float, number: int) -> None:
+        self.solved += 1
+        distance = round(distance, self.decimals)
+        if distance < UNCOMPARED:
+            insort(self.best, (distance, number))
+            del self.best[self.k :]
+
+
+def _padded(numbers: np.ndarray, sizes: np.ndarray, weights: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Objects by number of regions up to a power of two: (numbers, sizes, weights (objects, most), features (objects, most, d)), with weights of 0 as padding."""
+    begins = np.cumsum(sizes) - sizes
+    classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
+    for c in np.unique(classes):
+        rows = np.flatnonzero(classes == c)
+        place = np.arange(1 << c)
+        there = place < sizes[rows, None]
+        at = np.where(there, begins[rows, None] + place, 0)
+        yield numbers[rows], sizes[rows], np.where(there, weights[at], 0.0), np.where(there[:, :, None], features[at], 0.0)
+
+
+def nearest_sets(sets: DataFrame, queries: DataFrame, k: int, limits: DataFrame | None = None, set_dist: str = "emd", vec_dist: str = "L2_float", decimals: int = DECIMALS, work: bool = False) -> DataFrame:
+    """(query_id, id, dist, rank): the k nearest objects of each query among all, without a miss.
+
+    Every object is bounded from below, first by one-sided transport, from the least cost of each region, and where that
+    allows it by dual prices. Objects of a block are solved exactly in the order of their bounds until the bound is beyond
+    the k-th exact distance of the query, or beyond its limit in ``limits`` (query_id, far), where far is at least the
+    k-th distance, say that of k candidates of another search.
+
+    Query sets are broadcast in passes of at most BROADCAST_VALUES numbers and the objects streamed past them; only the k
+    nearest of each query leave a task. With ``work`` the result is (query_id, seen, solved) instead: the pairs of each
+    query and those that were solved exactly.
+    """
+    if set_dist not in BOUNDED:
+        raise ValueError(f"bounds are known for {BOUNDED} only")
+    ship(sets.sparkSession)
+    asked = queries.select(F.col("vecset_id").cast("long").alias("query_id"), F.expr("transform(vecs, x -> x.weight)").alias("w"), F.expr("flatten(transform(vecs, x -> x.features))").alias("f"))
+    asked = asked.withColumn("far", F.lit(float("inf"))) if limits is None else asked.join(limits.select("query_id", F.col("far").cast("double")), "query_id", "left")
+    rows = sets.select(F.col("vecset_id").cast("long").alias("id"), F.expr("transform(vecs, x -> x.weight)").alias("w"), F.expr("flatten(transform(vecs, x -> x.features))").alias("f")).where("size(w) > 0")
+    values = asked.agg(F.sum(F.size("w") + F.size("f"))).first()[0] or 0
+    passes = max(1, -(-values // BROADCAST_VALUES))
+    between, whole = BLOCK_DISTANCES[vec_dist], SET_DISTANCES[set_dist]
+
+    def near(part: DataFrame) -> DataFrame:
+        held = sets.sparkSession.sparkContext.broadcast([(r.query_id, np.array(r.w), np.array(r.f).reshape(len(r.w), -1), np.inf if r.far is None else r.far) for r in part.where("size(w) > 0").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [_Query(*q, k, decimals) for q in held.value]
+            for batch in batches:
+                sizes = np.diff(np.asarray(batch.column("w").offsets))
+                w, f = (np.array(batch.column(c).flatten()) for c in "wf")
+                for block in _padded(batch.column("id").to_numpy(), sizes, w, f.reshape(len(w), -1)):
+                    norms = (block[3] ** 2).sum(axis=2)
+                    for q in found:
+                        look(q, *block, norms)
+            if work:
+                out = [(q.number, q.seen, q.solved) for q in found]
+            else:
+                out = [(q.number, i, d) for q in found for d, i in q.best]
+            if out:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), names=names)
+
+        return rows.mapInArrow(run, "query_id long, seen long, solved long" if work else "query_id long, id long, dist double")
+
+    def look(q: _Query, numbers: np.ndarray, n: np.ndarray, weights: np.ndarray, features: np.ndarray, norms: np.ndarray) -> None:
+        q.seen += len(numbers)
+        bound = relaxed(q.weights, weights, *least_costs(q, weights, features, norms)) - ROUNDING * (1 + q.reach + np.sqrt(norms.max(initial=0)))
+        left = np.flatnonzero(bound <= q.far)
+        left = left[np.argsort(bound[left], kind="stable")]
+        step = max(1, COSTS // (len(q.weights) * features[0].size))
+        at = 0
+        while at < len(left) and bound[left[at]] <= q.far:
+            block = left[at : at + (step if at else min(step, FIRST_PAIRS))]
+            at += len(block)
+            cost = between(q.features, features[block].reshape(-1, features.shape[2])).reshape(len(q.weights), len(block), -1).transpose(1, 0, 2)
+            low = dual(q.weights, weights[block], cost) - ROUNDING * (1 + np.abs(cost).max())
+            for i in np.argsort(low, kind="stable").tolist():
+                if low[i] > q.far:
+                    break
+                q.add(float(whole(q.weights, weights[block[i], : n[block[i]]], cost[i, :, : n[block[i]]])), int(numbers[block[i]]))
+
+    def least_costs(q: _Query, weights: np.ndarray, features: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each object the least cost of each region of the query (objects, n) and of each of its own (objects, m); regions without weight cost nothing and are no one's nearest."""
+        flat = features.reshape(-1, features.shape[2])
+        if vec_dist == "L2_float":  # squares by a product of matrices
+            cost = (-2 * q.features) @ flat.T + (q.features**2).sum(axis=1)[:, None] + norms.reshape(-1)
+        else:
+            step = max(1, COSTS // q.features.size)
+            cost = np.concatenate([between(q.features, flat[i : i + step]) for i in range(0, len(flat), step)], axis=1)
+        cost = cost.reshape(len(q.weights), *weights.shape)
+        back = cost[q.weights > 0].min(axis=0, initial=UNCOMPARED)
+        near = np.where(weights > 0, cost, UNCOMPARED).min(axis=2).T
+        if vec_dist == "L2_float":
+            near, back = np.sqrt(np.maximum(near, 0)), np.sqrt(np.maximum(back, 0))
+        return near, back
+
+    names = ["query_id", "seen", "solved"] if work else ["query_id", "id", "dist"]
+    of = lambda i: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+    parts = reduce(DataFrame.unionByName, [near(of(i)) for i in range(passes)])
+    if work:
+        return parts.groupBy("query_id").agg(F.sum("seen").alias("seen"), F.sum("solved").alias("solved"))
+    return ranked(parts, k)

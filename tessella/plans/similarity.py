@@ -1,4 +1,4 @@
-"""Filter and refine: LSH candidates of each region, their distinct objects, exact set distance, top k."""
+"""Filter and refine: LSH candidates of each region, their distinct objects, exact set distance, top k; and what no filter may lose, by lower bounds."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from tessella.session import materialize
 
 @dataclass(frozen=True)
 class SimilarityPlan:
-    """k results; the filter takes overfetch * k hits of each region from ``tables`` tables with ``probes`` more buckets each."""
+    """k results; the filter takes overfetch * k hits of each region from ``tables`` tables with ``probes`` more buckets each. With ``exact`` every other object is bounded from below and solved if its bound allows it to be nearer than the k-th."""
 
     k: int = 10
     overfetch: int = 2
@@ -21,6 +21,7 @@ class SimilarityPlan:
     probes: int = 0
     set_dist: str = "emd"
     vec_dist: str = "L2_float"
+    exact: bool = False
 
 
 def similarity_search(vecs: DataFrame, query_sets: DataFrame, params: lsh.LshParams, plan: SimilarityPlan = SimilarityPlan(), index: DataFrame | None = None, packed: DataFrame | None = None) -> DataFrame:
@@ -38,4 +39,9 @@ def similarity_search(vecs: DataFrame, query_sets: DataFrame, params: lsh.LshPar
     by_object = hits.join(of_region, F.col("query_id") == F.col("region")).select(F.col("object").alias("query_id"), "id")
     # candidates are counted and then read; they are written once
     candidates = materialize(search.merge_candidates(by_object, vecs).select("query_id", F.col("vecset_id").alias("id")), "candidates")
-    return sets.rank_sets(candidates, packed, plan.k, queries=own, set_dist=plan.set_dist, vec_dist=plan.vec_dist)
+    found = sets.rank_sets(candidates, packed, plan.k, queries=own, set_dist=plan.set_dist, vec_dist=plan.vec_dist)
+    if not plan.exact:
+        return found
+    # the k-th of the candidates limits the search of all: no object beyond it can be among the nearest
+    limits = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where(F.col("n") == plan.k)
+    return sets.nearest_sets(packed, own, plan.k, materialize(limits, "limits"), plan.set_dist, plan.vec_dist)

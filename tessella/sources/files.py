@@ -53,10 +53,15 @@ def file_totals(files: DataFrame) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, width, height, rgb) of the images below a folder, decoded in the JVM; rgb has rows of red, green, blue bytes. Hidden files and broken images are left out."""
+    """(name, width, height, bgr) of the images below a folder, decoded in the JVM; name is the path below it, bgr has rows of blue, green, red bytes. Grey images get equal bytes, opacity is left out; hidden files and broken images are left out."""
     found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("image.origin", "/"), -1)
-    return found.where((~name.startswith(".")) & (F.col("image.nChannels") == 3)).select(name.alias("name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("bgr"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    name = F.substring(plain(F.col("image.origin")), F.length(plain(F.lit(root))) + 2, F.length("image.origin"))
+    pixels, channels = F.hex("image.data"), F.col("image.nChannels")
+    bgr = F.when(channels == 3, F.col("image.data")).when(channels == 1, F.unhex(F.regexp_replace(pixels, "(..)", "$1$1$1"))).when(channels == 4, F.unhex(F.regexp_replace(pixels, "(......)..", "$1")))
+    return found.where(~F.element_at(F.split("image.origin", "/"), -1).startswith(".")).select(name.alias("name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), bgr.alias("bgr"))
 
 
 def encode_jpegs(images: DataFrame, quality: int = 90) -> DataFrame:

@@ -7,6 +7,8 @@ from tessella.operators import lsh
 from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
 from tessella.functions import jpeg
+from tessella.functions.distances import BLOCK_DISTANCES
+from tessella.functions.transport import emd
 from tessella.queries import media
 from tessella.session import shared_dir
 from tessella.sources.files import encode_jpegs, scan_images, write_files
@@ -33,7 +35,7 @@ def folder(spark, tmp_path_factory):
 def test_scan_and_regions(spark, folder):
     images = scan_images(spark, folder)
     rows = {r.name: r for r in images.collect()}
-    assert sorted(rows) == ["i0.png", "i1.png", "i2.png", "i3.png"]
+    assert sorted(rows) == ["deep/i1.png", "deep/i3.png", "i0.png", "i2.png"]
     pixel = np.frombuffer(rows["i0.png"].bgr, np.uint8)[:3]
     assert pixel.tolist() == [0x20, 0x20, 0xE0]
     regions = image_regions(images, side=32).collect()
@@ -46,7 +48,46 @@ def test_scan_and_regions(spark, folder):
 def test_search(spark, folder):
     names = spark.createDataFrame([("i0.png",)], "name string")
     hits = image_search(scan_images(spark, folder), names, lsh.LshParams(D=14, M=4, L=12, W=8.0, H=19697), SimilarityPlan(k=2)).orderBy("rank").collect()
-    assert [(h.name, h["rank"]) for h in hits] == [("i0.png", 1), ("i3.png", 2)] and hits[0].dist == 0
+    assert [(h.name, h["rank"]) for h in hits] == [("i0.png", 1), ("deep/i3.png", 2)] and hits[0].dist == 0
+
+
+def test_grey_images_and_equal_names(spark, tmp_path):
+    """Two folders with a file of the same name; one byte a pixel, and four."""
+    jvm, kinds = spark._jvm, {"a": 10, "b": 1, "c": 6}
+    for sub, kind in kinds.items():
+        (tmp_path / sub).mkdir()
+        image = jvm.java.awt.image.BufferedImage(2, 1, kind)
+        for x, colour in enumerate((0xFF404040, 0xFF804020 if kind != 10 else 0xFF808080)):
+            image.setRGB(x, 0, colour - (1 << 32))
+        jvm.javax.imageio.ImageIO.write(image, "png", jvm.java.io.File(str(tmp_path / sub / "x.png")))
+    rows = {r.name: bytes(r.bgr) for r in scan_images(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["a/x.png", "b/x.png", "c/x.png"]
+    assert rows["b/x.png"] == rows["c/x.png"] == bytes([0x40, 0x40, 0x40, 0x20, 0x40, 0x80])
+    grey = rows["a/x.png"]
+    assert len(grey) == 6 and len(set(grey[:3])) == len(set(grey[3:])) == 1
+
+
+@pytest.fixture(scope="module")
+def brute_force(spark):
+    """The five nearest images of each one whose id is divisible by 50, by earth mover's distances of all pairs."""
+    regions = image_regions(media._images(spark, "/root/testdata/sf0.01"), side=32).collect()
+    objects = {}
+    for r in sorted(regions, key=lambda r: r.region):
+        objects.setdefault(r.name, []).append(r)
+    objects = {k: (np.array([r.weight for r in v]), np.array([r.features for r in v])) for k, v in objects.items()}
+    order = {n: i for i, n in enumerate(sorted(objects))}
+    want = set()
+    for q in objects:
+        if int(q) % 50 == 0:
+            a, x = objects[q]
+            near = sorted((round(emd(a, b, BLOCK_DISTANCES["L2_float"](x, y)), 6), order[n], n) for n, (b, y) in objects.items())[:5]
+            want |= {(q, n, d, rank) for rank, (d, _, n) in enumerate(near, 1)}
+    return want
+
+
+def test_image_search_misses_nothing(spark, brute_force):
+    got = {tuple(r) for r in media.image_search(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 50 and got == brute_force
 
 
 def test_search_shuffles_no_pairs(spark, shuffled):

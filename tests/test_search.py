@@ -2,10 +2,14 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
-from tessella.functions.transport import emd, myemd
+from tessella.functions.distances import BLOCK_DISTANCES
+from tessella.functions.transport import UNCOMPARED, dual, emd, myemd, relaxed
 from tessella.operators import lsh, search, sets
 from tessella.plans.catalog import Environment
 from tessella.plans.similarity import SimilarityPlan, similarity_search
+from tessella.queries import search as _search_queries  # noqa: F401 - registers them
+from tessella.queries.common import QUERIES, vectors
+from tessella.session import materialize
 from tessella.sources.features import VecConfig, import_features, parse_features, read_truth, truth_lines
 
 
@@ -161,6 +165,64 @@ def test_emd_equals_the_simplex_below_zero():
         assert emd(a, b, cost) == pytest.approx(myemd(a, b, cost), abs=1e-9)
 
 
+@pytest.mark.parametrize("vec_dist, equal", [("L2_float", True), ("L2_float", False), ("L1_float", False), ("cosine", False)])
+def test_transport_bounds_are_below_the_distance(vec_dist, equal):
+    """Regions without weight, objects of other weights, padding; the dual bound is close."""
+    rng, close = np.random.default_rng(4), []
+    for _ in range(300):
+        n, m, d = (int(x) for x in rng.integers(1, 8, 3))
+        a, b = (rng.random(x) * (rng.random(x) > 0.1) for x in (n, m))
+        if equal and a.sum() * b.sum() > 0:
+            a, b = a / a.sum(), b / b.sum()
+        cost = BLOCK_DISTANCES[vec_dist](rng.standard_normal((n, d)), rng.standard_normal((m, d)))
+        want = emd(a, b, cost)
+        padded, wide = np.append(b, 0.0)[None], np.pad(cost, ((0, 0), (0, 1)))[None]
+        near, back = np.where(padded[0] > 0, wide[0], UNCOMPARED).min(axis=1), wide[0][a > 0].min(axis=0, initial=UNCOMPARED)
+        low = dual(a, padded, wide)[0]
+        assert relaxed(a, padded, near[None], back[None])[0] <= want + 1e-9 and low <= want + 1e-9
+        if equal and want > 0.1:
+            close.append(low / want)
+    assert not equal or np.mean(close) > 0.95
+
+
+@pytest.mark.parametrize("vec_dist", ["L2_float", "L1_float"])
+def test_exact_search_equals_brute_force(spark, monkeypatch, vec_dist):
+    """Objects of one to nine regions of unequal weights, copies, empty features, several passes; limits are at least the k-th distance."""
+    rng = np.random.default_rng(11)
+    rows, objects = [], {}
+    for o in range(150):
+        n = int(rng.integers(1, 10))
+        w, f = (rng.integers(1, 4, n).astype(float), rng.standard_normal((n, 6))) if o < 140 else objects[o - 100]
+        objects[o] = w, f
+        rows += [(100 * o + i, o, float(w[i]), f[i].tolist()) for i in range(len(w))]
+    packed = materialize(sets.as_sets(spark.createDataFrame(rows, "vec_id long, vecset_id long, weight double, features array<double>").repartition(3)), "sets")
+    asked = packed.where("vecset_id % 10 = 0")
+    want = set()
+    for q in range(0, 150, 10):
+        near = sorted((round(emd(objects[q][0], w, BLOCK_DISTANCES[vec_dist](objects[q][1], f)), 6), o) for o, (w, f) in objects.items())[:4]
+        want |= {(q, o, d, r) for r, (d, o) in enumerate(near, 1)}
+    limits = spark.createDataFrame([(q, max(d for p, _, d, _ in want if p == q)) for q in range(0, 150, 20)], "query_id long, far double")
+    search_ = lambda **k: {tuple(r) for r in sets.nearest_sets(packed, asked, 4, vec_dist=vec_dist, **k).collect()}
+    assert search_() == search_(limits=limits) == want
+    seen = sets.nearest_sets(packed, asked, 4, vec_dist=vec_dist, work=True).agg(F.sum("seen"), F.sum("solved")).first()
+    assert seen[0] == 15 * 150 and seen[1] < 1500
+    monkeypatch.setattr(sets, "BROADCAST_VALUES", 300)
+    assert search_(set_dist="myemd") == want
+    with pytest.raises(ValueError):
+        sets.nearest_sets(packed, asked, 4, set_dist="assign")
+
+
+def test_flagship_misses_nothing(spark):
+    """The ten nearest objects of each one whose id is divisible by 50, against earth mover's distances of all pairs."""
+    path = "/root/testdata/sf0.01"
+    objects = {r.vecset_id: (np.array([v.weight for v in r.vecs]), np.array([v.features for v in r.vecs])) for r in sets.as_sets(vectors(spark, path)).collect()}
+    want = set()
+    for q in (o for o in objects if o % 50 == 0):
+        near = sorted((round(emd(objects[q][0], w, BLOCK_DISTANCES["L2_float"](objects[q][1], f)), 6), o) for o, (w, f) in objects.items())[:10]
+        want |= {(q, o, d, r) for r, (d, o) in enumerate(near, 1)}
+    assert {tuple(r) for r in QUERIES["similarity_search"](spark, path).collect()} == want
+
+
 def test_similarity_search_finds_itself(planted, spark):
     _, table = planted
     vecs = table.select("vec_id", F.expr("vec_id div 2").alias("vecset_id"), F.lit(1.0).alias("weight"), F.col("embedding").alias("features"))
