@@ -102,37 +102,61 @@ def relaxed(supply: np.ndarray, demand: np.ndarray, near: np.ndarray, back: np.n
     return out
 
 
+def _balanced(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """supply (many, n, 1), demand (many, 1, m) and costs of the same problems with a free region that takes what one side has more."""
+    rest = demand.sum(axis=1) - supply.sum()
+    a = np.broadcast_to(supply, (len(demand), len(supply)))
+    if (rest == 0).all():
+        return a[:, :, None], demand[:, None, :], cost
+    a, b = np.concatenate((a, np.maximum(rest, 0)[:, None]), axis=1), np.concatenate((demand, np.maximum(-rest, 0)[:, None]), axis=1)
+    return a[:, :, None], b[:, None, :], np.pad(cost, ((0, 0), (0, 1), (0, 1)))
+
+
+def _least(values: np.ndarray, there: np.ndarray, axis: int) -> np.ndarray:
+    return np.where(there, values, np.inf).min(axis=axis, keepdims=True)
+
+
+def _worth(a: np.ndarray, b: np.ndarray, c: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """What the best prices are worth that keep all costs' limits, from prices u of the supply."""
+    v = np.where(b > 0, _least(c - u, a > 0, 1), 0)
+    u = np.where(a > 0, _least(c - v, b > 0, 2), 0)
+    return (a * u).sum(axis=(1, 2)) + (b * v).sum(axis=(1, 2))
+
+
 def dual(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, rounds: int = DUAL_ROUNDS) -> np.ndarray:
-    """Lower bounds of emd for one supply (n) and many demands (many, m) with costs (many, n, m), some per cent below it.
+    """Lower bounds of emd for one supply (n) and many demands (many, m) with costs (many, n, m), a few per cent below it.
 
     Prices of regions come from soft minima over the costs, which get harder each round (Sinkhorn's iteration in logs); at
-    the end hard minima make them keep all costs' limits, and by duality what such prices are worth is a lower bound.
-    Objects of different weights are balanced by a free region.
+    the end hard minima make them keep all costs' limits, and by duality what such prices are worth is a lower bound, so
+    the rounds may be in single precision. Without rounds the prices are each region's least cost.
     """
     moved = np.minimum(supply.sum(), demand.sum(axis=1))
     some = np.flatnonzero(moved > 0)
     out = np.zeros(len(demand))
     if not len(some):
         return out
-    rest = demand[some].sum(axis=1) - supply.sum()
-    a = np.concatenate((np.broadcast_to(supply, (len(some), len(supply))), np.maximum(rest, 0)[:, None]), axis=1)[:, :, None]
-    b = np.concatenate((demand[some], np.maximum(-rest, 0)[:, None]), axis=1)[:, None, :]
-    c = np.pad(cost[some], ((0, 0), (0, 1), (0, 1)))
+    a, b, c = _balanced(supply, demand[some], cost[some])
+    if not rounds:
+        flip = (0, 2, 1)
+        first, second = _least(c, b > 0, 2), _least(c, a > 0, 1)
+        both = _worth(a, b, c, np.where(a > 0, first, 0)), _worth(*(x.transpose(flip) for x in (b, a, c)), np.where(b > 0, second, 0).transpose(flip))
+        out[some] = np.maximum(*both) / moved[some]
+        return out
     with np.errstate(divide="ignore"):
-        log_a, log_b = np.log(a), np.log(b)
-    scale = (np.abs(c) * a * b).sum(axis=(1, 2), keepdims=True) / (a.sum(axis=1, keepdims=True) * b.sum(axis=2, keepdims=True)) + _EPS
-    u, v = np.zeros(a.shape), np.zeros(b.shape)
+        log_a, log_b = np.log(a).astype(np.float32), np.log(b).astype(np.float32)
+    near = c.astype(np.float32)
+    scale = ((np.abs(c) * a * b).sum(axis=(1, 2), keepdims=True) / (a.sum(axis=1, keepdims=True) * b.sum(axis=2, keepdims=True)) + _EPS).astype(np.float32)
+    u = np.zeros(a.shape, np.float32)
 
     def soft(z: np.ndarray, axis: int) -> np.ndarray:
         top = z.max(axis=axis, keepdims=True)
         return top + np.log(np.exp(z - top).sum(axis=axis, keepdims=True))
 
     for e in np.geomspace(*SOFTNESS, rounds):
-        v = -e * scale * soft((u - c) / (e * scale) + log_a, 1)
-        u = -e * scale * soft((v - c) / (e * scale) + log_b, 2)
-    v = np.where(b > 0, np.where(a > 0, c - u, np.inf).min(axis=1, keepdims=True), 0)
-    u = np.where(a > 0, np.where(b > 0, c - v, np.inf).min(axis=2, keepdims=True), 0)
-    out[some] = ((a * u).sum(axis=(1, 2)) + (b * v).sum(axis=(1, 2))) / moved[some]
+        width = np.float32(e) * scale
+        v = -width * soft((u - near) / width + log_a, 1)
+        u = -width * soft((v - near) / width + log_b, 2)
+    out[some] = _worth(a, b, c, u.astype(float)) / moved[some]
     return out
 
 

@@ -152,6 +152,13 @@ def merge_candidates(hits: DataFrame, vecs: DataFrame) -> DataFrame:
     return hits.select("query_id", "id").join(vecs.select(F.col("vec_id").alias("v"), "vecset_id"), F.col("id") == F.col("v")).select("query_id", "vecset_id").distinct()
 
 
+def first_candidates(hits: DataFrame, vecs: DataFrame, n: int) -> DataFrame:
+    """The n objects (query_id, vecset_id) of each query that most of its hits on regions (query_id, id) belong to, ties by id."""
+    counted = hits.select("query_id", "id").join(vecs.select(F.col("vec_id").alias("v"), "vecset_id"), F.col("id") == F.col("v")).groupBy("query_id", "vecset_id").count()
+    w = Window.partitionBy("query_id").orderBy(F.col("count").desc(), "vecset_id")
+    return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "vecset_id")
+
+
 def top_k(rows: DataFrame, key: str, k: int, id_col: str, largest: bool = False, unique: bool = False) -> DataFrame:
     """The k rows with the smallest (largest) key, ties by id; with unique one row for each id, the best one. A bounded heap in each task, then one merge."""
     if unique:

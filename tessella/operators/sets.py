@@ -141,7 +141,7 @@ def nearest_sets(sets: DataFrame, queries: DataFrame, k: int, limits: DataFrame
     """(query_id, id, dist, rank): the k nearest objects of each query among all, without a miss.
 
     Every object is bounded from below, first by one-sided transport, from the least cost of each region, and where that
-    allows it by dual prices. Objects of a block are solved exactly in the order of their bounds until the bound is beyond
+    allows it by dual prices, coarse and then fine ones. Objects of a block are solved exactly in the order of their bounds until the bound is beyond
     the k-th exact distance of the query, or beyond its limit in ``limits`` (query_id, far), where far is at least the
     k-th distance, say that of k candidates of another search.
 
@@ -191,7 +191,10 @@ def nearest_sets(sets: DataFrame, queries: DataFrame, k: int, limits: DataFrame
             block = left[at : at + (step if at else min(step, FIRST_PAIRS))]
             at += len(block)
             cost = between(q.features, features[block].reshape(-1, features.shape[2])).reshape(len(q.weights), len(block), -1).transpose(1, 0, 2)
-            low = dual(q.weights, weights[block], cost) - ROUNDING * (1 + np.abs(cost).max())
+            slack = ROUNDING * (1 + np.abs(cost).max())
+            low = dual(q.weights, weights[block], cost, 0) - slack
+            near = np.flatnonzero(low <= q.far)
+            low[near] = np.maximum(low[near], dual(q.weights, weights[block[near]], cost[near]) - slack)
             for i in np.argsort(low, kind="stable").tolist():
                 if low[i] > q.far:
                     break

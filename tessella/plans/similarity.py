@@ -11,6 +11,10 @@ from tessella.operators import lsh, search, sets
 from tessella.session import materialize
 
 
+#: Candidates for each result whose distances limit an exact search, those with the most regions in common.
+SEEDS = 3
+
+
 @dataclass(frozen=True)
 class SimilarityPlan:
     """k results; the filter takes overfetch * k hits of each region from ``tables`` tables with ``probes`` more buckets each. With ``exact`` every other object is bounded from below and solved if its bound allows it to be nearer than the k-th."""
@@ -38,7 +42,8 @@ def similarity_search(vecs: DataFrame, query_sets: DataFrame, params: lsh.LshPar
     of_region = asked.select(F.col("vec_id").alias("region"), F.col("vecset_id").alias("object"))
     by_object = hits.join(of_region, F.col("query_id") == F.col("region")).select(F.col("object").alias("query_id"), "id")
     # candidates are counted and then read; they are written once
-    candidates = materialize(search.merge_candidates(by_object, vecs).select("query_id", F.col("vecset_id").alias("id")), "candidates")
+    objects = search.merge_candidates(by_object, vecs) if not plan.exact else search.first_candidates(by_object, vecs, SEEDS * plan.k)
+    candidates = materialize(objects.select("query_id", F.col("vecset_id").alias("id")), "candidates")
     found = sets.rank_sets(candidates, packed, plan.k, queries=own, set_dist=plan.set_dist, vec_dist=plan.vec_dist)
     if not plan.exact:
         return found
