@@ -115,7 +115,8 @@ def drop_index(spark: SparkSession, index: BatchIndex) -> None:
 class _Nearest:
     """Pairs of a block's rows and queries with a common bucket, and each query's k nearest rows."""
 
-    def __init__(self, rows: pa.Table, queries: pa.Table, dim: int) -> None:
+    def __init__(self, rows: pa.Table, queries: pa.Table, dim: int, by_table: bool = False) -> None:
+        self.by_table = by_table
         keys, self.ids = (rows.column(c).combine_chunks().to_numpy() for c in ("key", "id"))
         order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], self.ids[order]
@@ -128,8 +129,8 @@ class _Nearest:
         self.low = np.searchsorted(self.keys, asked, "left")
         self.hits = np.searchsorted(self.keys, asked, "right") - self.low
 
-    def __call__(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(query ids, ids, distances) of the k nearest, for a few queries at a time, and the pairs of each query."""
+    def __call__(self, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(the pairs of each query; query ids, ids, distances, tables of the k nearest), for a few queries at a time."""
         pairs = np.bincount(self.of, self.hits, len(self.query_ids)).astype(np.int64)
         begins = np.searchsorted(self.of, np.arange(len(self.query_ids) + 1))
         made, at = np.cumsum(pairs), 0
@@ -146,27 +147,40 @@ class _Nearest:
                 square += (self.queries[q, j] - self.rows[row, j]) ** 2
             d, i = np.round(np.sqrt(square), DECIMALS), self.ids[row]
             order = np.lexsort((i, d, q))
-            q, i, d = q[order], i[order], d[order]
+            q, i, d, t = q[order], i[order], d[order], self.keys[row[order]] >> BUCKET_BITS
             new = np.concatenate(([True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])))[: len(q)]  # a row may be there for several tables
-            q, i, d = q[new], i[new], d[new]
-            best = np.arange(len(q)) - np.searchsorted(q, q) < k
-            yield self.query_ids[q[best]], i[best], d[best], np.stack((self.query_ids[at:to], pairs[at:to]))
+            place = np.cumsum(new) - 1
+            first = np.searchsorted(q, q)
+            best = (place - place[first] < k) & (new | self.by_table)
+            yield np.stack((self.query_ids[at:to], pairs[at:to])), self.query_ids[q[best]], i[best], d[best], t[best]
             at = to
 
 
-def batch_knn(index: BatchIndex, queries: DataFrame, k: int, probes: int = 0, tables: list[int] | None = None, id_col: str = "vec_id", vec_col: str = "embedding", work: bool = False) -> DataFrame:
-    """(query_id, id, dist, rank): the k nearest of each query among the rows that share a bucket with it, by exact L2. With ``work`` (query_id, pairs) instead: the rows of its buckets."""
+def batch_knn(index: BatchIndex, queries: DataFrame, k: int, probes: int = 0, tables: list[int] | None = None, id_col: str = "vec_id", vec_col: str = "embedding", work: bool = False, spans: tuple[str, str] | None = None, by_table: bool = False) -> DataFrame:
+    """(query_id, id, dist, rank): the k nearest of each query among the rows that share a bucket with it, by exact L2. With ``work`` (query_id, pairs) instead: the rows of its buckets.
+
+    ``spans`` names two columns, arrays with a number for each table: the first probe that the query makes there and the
+    one after its last, in the order of their expected worth; 0 is its own bucket. ``by_table`` gives (query_id, id, dist,
+    table_no), a row for each table that has found one of a block's k best.
+    """
     spark, params = queries.sparkSession, index.params
     ship(spark)
     which = np.arange(params.L) if tables is None else np.array(tables)
+    asked = _rows(queries, id_col, vec_col) if spans is None else queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), *[F.col(c).cast("array<int>").alias(n) for c, n in zip(spans, ("low", "high"), strict=True)])
+    if spans is not None:
+        probes = max(0, (asked.agg(F.max(F.array_max("high"))).first()[0] or 1) - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 x = _vectors(part, params.D)
-                keys = np.sort(bucket_keys(probe_buckets(params, x, params.L, probes))[:, which].reshape(len(x), -1), axis=1)
-                new = np.concatenate((np.ones((len(x), 1), bool), keys[:, 1:] != keys[:, :-1]), axis=1)
+                keys = bucket_keys(probe_buckets(params, x, params.L, probes))
+                if spans is not None:
+                    low, high = (np.array(part.column(c).flatten()).reshape(len(x), -1, 1) for c in ("low", "high"))
+                    keys = np.where((np.arange(probes + 1) >= low) & (np.arange(probes + 1) < high), keys, -1)
+                keys = np.sort(keys[:, which].reshape(len(x), -1), axis=1)
+                new = (keys >= 0) & np.concatenate((np.ones((len(x), 1), bool), keys[:, 1:] != keys[:, :-1]), axis=1)
                 query, keys = np.nonzero(new)[0], keys[new]
                 n = index.parts_of(keys)
                 query, keys = np.repeat(query, n), np.repeat(keys, n)
@@ -184,18 +198,28 @@ def batch_knn(index: BatchIndex, queries: DataFrame, k: int, probes: int = 0, ta
                 )
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), **({"pairs": pa.array([], pa.int64())} if work else {"id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})}
+        kinds = {"query_id": pa.int64(), **({"pairs": pa.int64()} if work else {"id": pa.int64(), "dist": pa.float64()}), **({"table_no": pa.int64()} if by_table else {})}
+        empty = {c: pa.array([], t) for c, t in kinds.items()}
         if not len(rows) or not len(asked):
             return pa.table(empty)
-        found = list(_Nearest(rows, asked, params.D)(k))
-        columns = np.concatenate([f[3] for f in found], axis=1) if work else [np.concatenate([f[j] for f in found]) for j in range(3)]
+        found = list(_Nearest(rows, asked, params.D, by_table)(k))
+        columns = np.concatenate([f[0] for f in found], axis=1) if work else [np.concatenate([f[j] for f in found]) for j in range(1, 4 + by_table)]
         return pa.table(list(map(pa.array, columns)), names=list(empty))
 
-    asked = _rows(queries, id_col, vec_col).mapInArrow(ask, "to_block long, query_id long, vec array<double>, keys array<long>")
-    found = spark.table(index.name).groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(meet, "query_id long, pairs long" if work else "query_id long, id long, dist double")
+    asked = asked.mapInArrow(ask, "to_block long, query_id long, vec array<double>, keys array<long>")
+    found = spark.table(index.name).groupBy("block").cogroup(asked.groupBy("to_block")).applyInArrow(meet, "query_id long, pairs long" if work else "query_id long, id long, dist double" + ", table_no long" * by_table)
     if work:
         return found.groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
-    return ranked(found.distinct(), k)
+    return found if by_table else ranked(found.distinct(), k)
+
+
+def search_once(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, probes: int = 0, tables: list[int] | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """batch_knn() by an index that is saved for it and deleted after it; the result is a table."""
+    index = save_batch_index(vecs, params, None, id_col, vec_col)
+    try:
+        return materialize(batch_knn(index, queries, k, probes, tables, id_col, vec_col), "batch-nearest")
+    finally:
+        drop_index(vecs.sparkSession, index)
 
 
 def fitted_width(vecs: DataFrame, params: LshParams, k: int, target: float, probes: int = 0, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> LshParams:

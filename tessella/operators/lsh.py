@@ -13,14 +13,13 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from tessella.session import materialize, ship
+from tessella.session import ship
 
 from .search import BROADCAST_VALUES, candidate_distances, ranked
 
@@ -296,21 +295,20 @@ def _stream_past(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int,
 
 
 def _streamed(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, tables: list[int], probes: int, id_col: str, vec_col: str) -> DataFrame:
-    """The same for any number of queries: those of at most BROADCAST_VALUES numbers, buckets included, in one pass; more take several, of each the k nearest written."""
+    """(query_id, id, dist, rank) for any number of queries: those of at most BROADCAST_VALUES numbers, buckets included, are broadcast; more meet the rows by their buckets in an index that is saved for them."""
     ship(vecs.sparkSession)
     table, asked = (df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")) for df in (vecs, queries))
-    passes = -(-asked.count() * (params.D + len(tables) * (probes + 1)) // BROADCAST_VALUES)
-    if passes <= 1:
-        return _stream_past(table, asked, params, k, tables, probes)
-    of = lambda i: asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i)
-    out = [materialize(ranked(_stream_past(table, of(i), params, k, tables, probes), k).drop("rank"), "nearest") for i in range(passes)]
-    return reduce(DataFrame.unionByName, out)
+    if asked.count() * (params.D + len(tables) * (probes + 1)) <= BROADCAST_VALUES:
+        return ranked(_stream_past(table, asked, params, k, tables, probes), k)
+    from .batch import search_once
+
+    return search_once(table, asked, params, k, probes, tables, "id", "vec")
 
 
 def lsh_knn(vecs: DataFrame, queries: DataFrame, params: LshParams, k: int, tables: int | list[int] | None = None, probes: int = 0, index: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, dist, rank): the k nearest among the candidates, by exact L2. A given index is joined; else rows are hashed as they pass the queries."""
     if index is None:
-        return ranked(_streamed(vecs, queries, params, k, tables if isinstance(tables, list) else list(range(tables or params.L)), probes, id_col, vec_col), k)
+        return _streamed(vecs, queries, params, k, tables if isinstance(tables, list) else list(range(tables or params.L)), probes, id_col, vec_col)
     found = probe(index, queries, params, tables, probes, id_col, vec_col)
     return ranked(candidate_distances(found, vecs, queries, "L2_float", id_col, vec_col), k)
 

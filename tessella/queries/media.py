@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.operators import adaptive, batch, lsh
 from tessella.plans.images import image_regions
 from tessella.plans.images import image_search as search_images
 from tessella.plans.similarity import SimilarityPlan
+from tessella.session import materialize
 
 from .common import query, table
 
@@ -44,3 +48,43 @@ def image_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_search_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image asked for is found among its own results, at no distance."""
     return image_search(spark, sf_dir).where("query = name and dist < 1e-6").select("name")
+
+
+#: Neighbours, recall, extra probes and parameters of searches over regions; the width is fitted to the table.
+K, TARGET, PROBES = 10, 0.95, 30
+REGION_PARAMS = lsh.LshParams(D=14, M=14, L=16, W=1.0, H=1_000_003, seed=3)
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, embedding) of all regions of all images, and of those whose image's id is divisible by 50."""
+    regions = image_regions(_images(spark, sf_dir), side=32)
+    rows = materialize(regions.select((F.col("name").cast("long") * (1 << 16) + F.col("region")).alias("vec_id"), F.col("features").alias("embedding")), "regions")
+    return rows, rows.where("shiftright(vec_id, 16) % 50 = 0")
+
+
+@query()
+def lsh_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves an index of all regions, probes it for those of the images asked for, and deletes it."""
+    rows, asked = _regions(spark, sf_dir)
+    return batch.search_once(rows, asked, batch.fitted_width(rows, REGION_PARAMS, K, TARGET, PROBES), K, PROBES)
+
+
+def _by_index(spark: SparkSession, sf_dir: str, search: Callable[[batch.BatchIndex, DataFrame], DataFrame]) -> DataFrame:
+    rows, asked = _regions(spark, sf_dir)
+    index = batch.save_batch_index(rows, batch.fitted_width(rows, REGION_PARAMS, K, TARGET, PROBES))
+    try:
+        return materialize(search(index, asked), "nearest")
+    finally:
+        batch.drop_index(spark, index)
+
+
+@query()
+def lsh_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but each region stops when what it has found is as near as its local dimension lets expect."""
+    return _by_index(spark, sf_dir, lambda index, asked: adaptive.local_knn(index, asked, K, probes=PROBES))
+
+
+@query()
+def lsh_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with half the extra probes, dealt to the tables that find most for each region."""
+    return _by_index(spark, sf_dir, lambda index, asked: adaptive.boosted_knn(index, asked, K, PROBES // 2))

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tessella.functions import distances as D
-from tessella.operators import lsh, search, sets
+from tessella.operators import fusion, lsh, search, sets
 from tessella.plans.similarity import SimilarityPlan
 from tessella.plans.similarity import similarity_search as filter_and_refine
 from tessella.session import materialize
@@ -116,6 +116,46 @@ def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.range_search(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), RANGE)
 
 
+#: Places of each list that is fused, results, and weights of the distances of fuse_sum.
+LISTED, WEIGHTS = 20, {"L2_float": 1.0, "L1_float": 0.125}
+_RANKS = f"""WITH s AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round({_L2}, 6) AS d2, round({_L1}, 6) AS d1, round({_DOT}, 6) AS dd FROM embeddings q JOIN embeddings t ON q.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS r2, row_number() OVER (PARTITION BY query_id ORDER BY d1, id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY dd DESC, id) AS rd FROM s),
+l AS (SELECT query_id, id, CASE WHEN r2 <= {LISTED} THEN r2 END AS r2, CASE WHEN r1 <= {LISTED} THEN r1 END AS r1, CASE WHEN rd <= {LISTED} THEN rd END AS rd FROM p)"""
+_FUSED = "{ranks}, f AS (SELECT query_id, id, {votes} AS votes, {score} AS score FROM l WHERE {kept}) SELECT query_id, id, CAST(votes AS INTEGER) AS votes, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS INTEGER) AS rank FROM f"
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    e, q = table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
+    return [search.knn(e, q, LISTED, d) for d in ("L2_float", "L1_float")]
+
+
+@query(_FUSED.format(ranks=_RANKS, votes="2", score="r2 + r1", kept="r2 + r1 IS NOT NULL", order="score, id"))
+def fuse_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are near by L2 and by L1."""
+    return fusion.fuse(_lists(spark, sf_dir), "and")
+
+
+@query(_FUSED.format(ranks=_RANKS, votes="(r2 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT", score="least(r2, r1)", kept="coalesce(r2, r1) IS NOT NULL", order="score, id"))
+def fuse_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are near by L2 or by L1."""
+    return fusion.fuse(_lists(spark, sf_dir), "or")
+
+
+@query(_FUSED.format(ranks=_RANKS, votes="(r2 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT + (rd IS NOT NULL)::INT", score="coalesce(r2, 0) + coalesce(r1, 0) + coalesce(rd, 0)", kept="(r2 IS NOT NULL)::INT + (r1 IS NOT NULL)::INT + (rd IS NOT NULL)::INT >= 2", order="votes DESC, score, id"))
+def fuse_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that two or more of three searches have: by L2, by L1, by the largest inner product."""
+    e, q = table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
+    turned = q.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return fusion.fuse([*_lists(spark, sf_dir), search.knn(e, turned, LISTED, "cosine")], "vote", least_votes=2)
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round(round({_L2}, 6) + 0.125::DOUBLE * round({_L1}, 6), 6) AS score FROM embeddings q JOIN embeddings t ON q.vec_id % 50 = 0), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s) SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def fuse_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows with the least weighted sum of L2 and L1, by the threshold algorithm."""
+    return fusion.threshold_knn(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), K, WEIGHTS)
+
+
 def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a query: the rows with its label."""
     e = table(spark, sf_dir, "embeddings")

@@ -4,9 +4,11 @@ import pytest
 
 from tessella.functions.distances import BLOCK_DISTANCES
 from tessella.functions.transport import UNCOMPARED, dual, emd, myemd, relaxed
-from tessella.operators import lsh, search, sets
+from tessella.operators import adaptive, batch, fusion, lsh, search, sets
 from tessella.plans.catalog import Environment
 from tessella.plans.similarity import SimilarityPlan, similarity_search
+from tessella.plans.images import image_regions
+from tessella.queries import media
 from tessella.queries import search as _search_queries  # noqa: F401 - registers them
 from tessella.queries.common import QUERIES, vectors
 from tessella.session import materialize
@@ -104,14 +106,78 @@ def test_lsh_shuffles_no_pairs(spark, shuffled):
     assert len(hits) == 1200 and shuffled() < 1
 
 
-def test_lsh_passes_write_the_best_of_all_tasks(spark, planted, monkeypatch):
-    """120 rows in four tasks and 12 queries in several passes: 3 rows a query are written, not 3 of each task."""
+def test_many_queries_meet_their_buckets(spark, planted, monkeypatch):
+    """More queries than are broadcast, all rows in one bucket: the same result as by broadcast; the index goes."""
     _, table = planted
-    written, write = [], lsh.materialize
+    params, queries = lsh.LshParams(D=16, M=2, L=2, W=1000.0, H=997), table.where("vec_id % 10 = 0")
+    want = sorted(map(tuple, lsh.lsh_knn(table, queries, params, 3).collect()))
     monkeypatch.setattr(lsh, "BROADCAST_VALUES", 50)
-    monkeypatch.setattr(lsh, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
-    hits = lsh.lsh_knn(table.repartition(4), table.where("vec_id % 10 = 0"), lsh.LshParams(D=16, M=2, L=2, W=1000.0, H=997), 3)
-    assert hits.count() == 36 == sum(df.count() for df in written) and len(written) > 1
+    got = lsh.lsh_knn(table.repartition(4), queries, params, 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 36
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tessella_index_")]
+
+
+@pytest.mark.parametrize("block_rows", [7, 60, 1 << 16])
+def test_batch_index_equals_the_joined_one(spark, planted, block_rows):
+    """Blocks of few rows, with hot buckets in many parts, and one block; tables by number; copies and rows without a vector."""
+    x, table = planted
+    table = table.unionByName(table.where("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1000)).unionByName(spark.createDataFrame([(5000, None)], table.schema))
+    queries = table.where("vec_id % 5 = 0")
+    for width in (0.4, 2.0, 50.0):
+        params = lsh.LshParams(D=16, M=6, L=8, W=width, H=997, seed=5)
+        index = batch.save_batch_index(table, params, block_rows=block_rows)
+        joined = lsh.build_index(table, params)
+        for tables, probes in ((None, 0), ([6, 2], 4)):
+            want = sorted(map(tuple, lsh.lsh_knn(table, queries, params, 4, tables, probes, joined).collect()))
+            assert sorted(map(tuple, batch.batch_knn(index, queries, 4, probes, tables).collect())) == want and want
+        assert bool(index.parts) == (width == 50.0 and block_rows < 1 << 16) or width < 50.0
+        assert batch.batch_knn(index, queries.where("false"), 4).count() == 0
+        batch.drop_index(spark, index)
+
+
+@pytest.fixture(scope="module")
+def regions(spark):
+    """(image, vec_id, embedding) of the regions of 2,000 images."""
+    rows = image_regions(media._images(spark, "/root/testdata/sf0.1"), side=32)
+    made = rows.select(F.col("name").cast("long").alias("image"), (F.col("name").cast("long") * 1000 + F.col("region")).alias("vec_id"), F.col("features").alias("embedding"))
+    return materialize(made, "test-regions")
+
+
+def test_rows_read_grow_slower_than_the_pairs(spark, regions):
+    """Three sizes: a query reads ever less of the table, at a recall of 0.9 or more; boosted and stopped searches read less than the plain one for what they find."""
+    share = []
+    for images in (500, 1000, 2000):
+        table = regions.where(f"image < {images}").drop("image")
+        queries = table.where("(vec_id div 1000) % 50 = 0")
+        params = batch.fitted_width(table, media.REGION_PARAMS, 10, 0.95, 30)
+        index = batch.save_batch_index(table, params, block_rows=20_000)
+        true = {(r.query_id, r.id) for r in search.knn(table, queries, 10).collect()}
+        recall = lambda found: len(true & {(r.query_id, r.id) for r in found.collect()}) / len(true)
+        read = lambda found: found.agg(F.sum("pairs")).first()[0] / queries.count()
+        assert recall(batch.batch_knn(index, queries, 10, 30)) >= 0.9
+        pairs = read(batch.batch_knn(index, queries, 10, 30, work=True))
+        share.append(pairs / table.count())
+        if images == 1000:
+            assert recall(adaptive.local_knn(index, queries, 10, probes=30)) >= 0.9
+            assert read(adaptive.local_knn(index, queries, 10, probes=30, work=True)) < 0.8 * pairs
+            fixed, boosted = batch.batch_knn(index, queries, 10, 15), adaptive.boosted_knn(index, queries, 10, 15)
+            assert recall(boosted) >= max(0.9, recall(fixed)) - 1e-3
+            assert read(adaptive.boosted_knn(index, queries, 10, 15, work=True)) < 1.05 * read(batch.batch_knn(index, queries, 10, 15, work=True))
+        batch.drop_index(spark, index)
+    assert share[1] < 0.8 * share[0] and share[2] < 0.8 * share[1]
+
+
+def test_local_law_solves_its_equations():
+    """What is seen of the law found is the law that was seen; a search that finds everything sees the truth."""
+    params = lsh.LshParams(D=14, M=14, L=8, W=0.9)
+    a, b = np.meshgrid(np.linspace(-6, -1, 6), np.linspace(0.1, 0.9, 5), indexing="ij")
+    log_alpha, beta, residual = adaptive.true_law(params, 10, a, b, 30)
+    solved = residual < 1e-6
+    assert solved.mean() > 0.7
+    seen = adaptive.found_law(params, 10, log_alpha, beta, 30)
+    assert np.abs(np.stack(seen) - np.stack((a, b)))[:, solved].max() < 1e-5
+    near = adaptive.found_law(params, 10, np.array([-12.0]), np.array([0.3]), 30)
+    assert abs(near[0][0] + 12) < 1e-2 and abs(near[1][0] - 0.3) < 1e-2
 
 
 def test_lsh_tables_and_buckets(spark, planted):
@@ -305,3 +371,29 @@ def test_truth_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(5, 1, 9, 0.5), (5, 2, 8, 1.5)], "query_id long, rank int, id long, dist double")
     truth_lines(rows).select("line").write.text(str(tmp_path / "truth"))
     assert sorted(read_truth(spark, str(tmp_path / "truth")).collect()) == sorted(rows.collect())
+
+
+def test_fusion(spark):
+    lists = [spark.createDataFrame(rows, "query_id long, id long, rank int") for rows in ([(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 9, 1)], [(0, 3, 1), (0, 1, 2), (0, 4, 3)], [(0, 4, 1), (0, 5, 2)])]
+    got = lambda *a, **k: sorted(((r.query_id, r["rank"]), r.id, r.votes, r.score) for r in fusion.fuse(*a, **k).collect())
+    assert got(lists[:2], "and") == [((0, 1), 1, 2, 3), ((0, 2), 3, 2, 4)] and got(lists, "and") == []
+    assert got(lists, "or", 3) == [((0, 1), 1, 2, 1), ((0, 2), 3, 2, 1), ((0, 3), 4, 2, 1), ((1, 1), 9, 1, 1)]
+    assert got(lists, "vote", least_votes=2) == [((0, 1), 1, 2, 3), ((0, 2), 3, 2, 4), ((0, 3), 4, 2, 4)]
+    with pytest.raises(ValueError):
+        fusion.fuse(lists, "xor")
+
+
+@pytest.mark.parametrize("k, depth", [(3, None), (3, 3), (10, 11), (200, 5)])
+def test_threshold_search_equals_brute_force(planted, k, depth):
+    """Lists that suffice at once, that must be doubled, and that have fewer rows than asked for; copies are ties."""
+    x, table = planted
+    weights, queries = {"L2_float": 0.3, "L1_float": 1.0}, table.where("vec_id % 17 = 0")
+    got = {tuple(r) for r in fusion.threshold_knn(table, queries, k, weights, depth).collect()}
+    want = set()
+    for q in range(0, len(x), 17):
+        d2, d1 = (np.round(f(x[q : q + 1], x)[0], 6) for f in (BLOCK_DISTANCES["L2_float"], BLOCK_DISTANCES["L1_float"]))
+        score = np.round(0.3 * d2 + d1, 6)
+        want |= {(q, int(i), float(score[i]), r) for r, i in enumerate(np.lexsort((np.arange(len(x)), score))[:k], 1)}
+    assert len(got) == len(want) and {g[:2] for g in got} == {w[:2] for w in want}
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert fusion.threshold_knn(table, queries.where("false"), k, weights).count() == 0
