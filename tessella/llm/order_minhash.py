@@ -1,10 +1,10 @@
 """Order MinHash fingerprints, by DataFrame functions only.
 
-A text is cut into pieces: a word (run of anything but ASCII white space) of at most PIECE characters, GRAM characters
-at each offset of a longer word, so that an inserted character changes the few pieces round it, and each run of white
-space but single spaces. A text of under FEW words has, after those, two characters at each offset as pieces. K
-successive pieces make a k-mer (fewer pieces: all of them; none: no k-mer). Equal k-mers are numbered by occurrence, so
-a text is a set of elements (k-mer, number).
+A text is cut into pieces, all of one kind: PIECE characters at each offset of a word (run of anything but ASCII white
+space; a shorter word is one piece), and each run of white space but single spaces. So a character more or less changes
+the few pieces round it, however long the word and however many words there are. K successive pieces make a k-mer (fewer
+pieces: all of them; none: no k-mer). Equal k-mers are numbered by occurrence, so a text is a set of elements (k-mer,
+number).
 
 Each of BINS signatures has one random order of all elements. The two smallest elements of the text under that order are
 selected, brought into their order in the text, and the pair is hashed. Two texts agree in a signature if they select
@@ -34,10 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 
 from .common import unclashed
 
-#: Signatures of a fingerprint, pieces of a k-mer, characters of a word that is a piece.
-BINS, K, PIECE = 64, 2, 12
-#: Characters of a piece of a longer word; words from which on a text needs no pieces of two characters.
-GRAM, FEW = 6, 4
+#: Signatures of a fingerprint, pieces of a k-mer, characters of a piece.
+BINS, K, PIECE = 64, 2, 8
 _WHITE, _BLACK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Bits of a position, in a text or an array, at the low end of a long, and of a bin at its high end.
 POSITION, BIN = 31, 6
@@ -58,10 +56,7 @@ def pieces(text: Column, piece: int = PIECE) -> Column:
     """Array of a text's pieces."""
     word = rf"(?<!{_BLACK}){_BLACK}{{1,{piece}}}+(?!{_BLACK})"
     space = rf"(?:{_WHITE}{{2,}}+|[\x09-\x0D])"
-    tokens = F.regexp_extract_all(text, F.lit(rf"(?=({word}|{_BLACK}{{{min(GRAM, piece + 1)}}}|{space}))(?:{word}|{space}|{_BLACK})"), F.lit(1))
-    # anchored and without backtracking: one pass as far as the first FEW words
-    many = text.rlike(rf"\A{_WHITE}*+(?:{_BLACK}++{_WHITE}++){{{FEW - 1}}}{_BLACK}")
-    return F.when(many, tokens).otherwise(F.concat(tokens, F.regexp_extract_all(text, F.lit("(?s)(?=(..))."), F.lit(1))))
+    return F.regexp_extract_all(text, F.lit(rf"(?=({word}|{_BLACK}{{{piece}}}|{space}))(?:{word}|{space}|{_BLACK})"), F.lit(1))
 
 
 def sorted_kmers(p: str, k: int = K) -> Column:

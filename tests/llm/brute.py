@@ -160,11 +160,8 @@ def pieces(text):
         if text[i] in white:
             out += [run] if run != " " else []
         else:
-            out += [run] if len(run) <= 12 else [run[a : a + 6] for a in range(len(run) - 5)]
+            out += [run[a : a + 8] for a in range(max(1, len(run) - 7))]
         i = j
-    words = "".join(c if c not in white else " " for c in text).split(" ")
-    if sum(map(bool, words)) < 4:
-        out += [text[a : a + 2] for a in range(len(text) - 1)]
     return out
 
 
