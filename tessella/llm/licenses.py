@@ -42,6 +42,10 @@ from .verify import mix64
 BANDS, CONTAINMENT, REACH, WIDTH = 32, 0.8, 1.25, 1.4
 #: Shingles of a block whose minima larger blocks are made of; bits of a hash that are looked at before it is looked up.
 UNIT, LOW_BITS = 4, 18
+#: Shingles of a text whose hashes are permuted at once, a multiple of UNIT.
+BLOCK = 1 << 14
+#: Bytes whose words are hashed at once.
+SLICE = 1 << 20
 #: Templates with this Jaccard similarity or more are alike.
 ALIKE = 0.5
 
@@ -99,8 +103,17 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash of each word of the lower-cased text, made on the whole byte array at once."""
-    data = np.frombuffer(text.lower().translate(_TABLE) + b" ", np.uint8)
+    """A hash of each word of the lower-cased text, made on slices of whole words."""
+    text, at, out = text.lower().translate(_TABLE) + b" ", 0, [np.zeros(0, np.uint64)]
+    while at < len(text):
+        end = text.find(b" ", at + SLICE) + 1 or len(text)
+        out.append(_slice_hashes(np.frombuffer(text, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out)
+
+
+def _slice_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of bytes that end with a space."""
     letter = data != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([False], letter)).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
@@ -159,7 +172,8 @@ class Template:
             best = None
             for first in range(at, bisect_left(hits, complete + 1)):
                 seen = set()
-                for i in hits[first:]:
+                for j in range(first, len(hits)):
+                    i = hits[j]
                     if i >= hits[first] + self.reach:
                         break
                     seen.add(found[i])
@@ -172,7 +186,8 @@ class Template:
     def _complete(self, hits: list[int], at: int, found: list[tuple[bytes, bytes]]) -> int | None:
         """Where a match that begins at hits[at] first has enough shingles."""
         seen = set()
-        for i in hits[at:]:
+        for j in range(at, len(hits)):
+            i = hits[j]
             if i >= hits[at] + self.reach:
                 return None
             seen.add(found[i])
@@ -222,20 +237,37 @@ class Scanner:
 
     def candidates(self, s: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """For each retrieved template the ranges of shingles (joined windows) that may hold a match."""
-        p, n = permuted(s, self.seeds), len(s)
-        units = np.minimum.reduceat(p, np.arange(0, n, UNIT), axis=1)
+        n = len(s)
         ranges: dict[int, list[tuple[int, int]]] = {}
-        for reach, keys, members, bits in self.classes:
-            # blocks of one reach; a window is a block and the next one
-            values, size = (units, reach // UNIT) if reach >= 2 * UNIT else (p, reach)
-            low = np.minimum.reduceat(values, np.arange(0, values.shape[1], size), axis=1)
+        beyond = 2 * max((c[0] for c in self.classes), default=0)
+        for at in range(0, n, BLOCK):
+            # minima of a block of the text, and of what its last windows need of the next one
+            p = permuted(s[at : at + BLOCK + beyond], self.seeds)
+            units = np.minimum.reduceat(p, np.arange(0, p.shape[1], UNIT), axis=1)
+            for one in self.classes:
+                self._retrieve(one, p, units, at, n, ranges)
+        return ranges
+
+    def _retrieve(self, of: tuple[int, np.ndarray, np.ndarray, np.ndarray], p: np.ndarray, units: np.ndarray, at: int, n: int, ranges: dict[int, list[tuple[int, int]]]) -> None:
+        """Adds the ranges of the windows of a class that begin in the block at ``at`` of n shingles."""
+        reach, keys, members, bits = of
+        # parts of one reach; a window is a part and the next one
+        begin, end = -(-at // reach), -(-min(n, at + BLOCK) // reach)
+        if begin < end:
+            values, size, first = (units, reach // UNIT, (begin * reach - at) // UNIT) if reach >= 2 * UNIT else (p, reach, begin * reach - at)
+            low = np.minimum.reduceat(values, np.arange(first, min(values.shape[1], first + (end - begin + 1) * size), size), axis=1)
+            if low.shape[1] > end - begin:
+                # the part after the last window's own may have gone beyond its end
+                last = values[:, first + (end - begin) * size : first + (end - begin + 1) * size].min(axis=1)
+                low = np.column_stack((low[:, : end - begin], last))
             if low.shape[1] > 1:
                 low[:, :-1] = np.minimum(low[:, :-1], low[:, 1:])
+            low = low[:, : end - begin]
             band, window = np.nonzero(bits[low & np.uint64((1 << LOW_BITS) - 1)])
             got = low[band, window]
             lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
             hit = hi > lo
-            retrieved = sorted({(w, t) for w, a, b in zip(window[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True) for t in members[a:b].tolist()})
+            retrieved = sorted({(w, t) for w, a, b in zip((window[hit] + begin).tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True) for t in members[a:b].tolist()})
             for w, t in retrieved:
                 here = ranges.setdefault(t, [])
                 # a reach more on either side, so that a range begins and ends as the whole text would
@@ -244,7 +276,6 @@ class Scanner:
                     here[-1] = here[-1][0], max(last, here[-1][1])
                 else:
                     here.append((first, last))
-        return ranges
 
     def scan(self, text: bytes) -> list[tuple[str, int, int, float]]:
         """(template, first word, word after the last, containment) of the matches in a whole text, by place."""

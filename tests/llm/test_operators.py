@@ -274,6 +274,35 @@ def test_licenses_equal_plain_search():
         assert scanner.scan(b" ".join(words)) == want
 
 
+def test_license_ranges_do_not_depend_on_blocks(monkeypatch):
+    """Texts of many notices, in blocks of few shingles and in one."""
+    scanner, rng = licenses.Scanner.build(licenses.TEMPLATES), random.Random(21)
+    notices = list(licenses.TEMPLATES.values())
+    for _ in range(20):
+        text = "\n".join(rng.choice(notices) if rng.random() < 0.4 else " ".join(rng.choice(["some", "other", "words", "here"]) for _ in range(rng.randrange(90))) for _ in range(rng.randrange(1, 12)))
+        s = licenses.shingles(licenses.word_hashes(text.encode()))
+        monkeypatch.setattr(licenses, "BLOCK", 1 << 20)
+        want, matches = scanner.candidates(s), scanner.scan(text.encode())
+        for block in (4, 64, 1000):
+            monkeypatch.setattr(licenses, "BLOCK", block)
+            monkeypatch.setattr(licenses, "SLICE", block)
+            assert licenses.shingles(licenses.word_hashes(text.encode())).tolist() == s.tolist()
+            assert scanner.candidates(s) == want and scanner.scan(text.encode()) == matches
+
+
+def test_license_scan_is_linear():
+    """Twice the copies of a notice take about twice the time, and all are found."""
+    import time
+
+    scanner, notice = licenses.Scanner.build(licenses.TEMPLATES), licenses.TEMPLATES["MIT"].encode() + b"\n"
+    took = []
+    for copies in (500, 2000):
+        began = time.process_time()
+        assert sum(m[0] == "MIT" for m in scanner.scan(notice * copies)) == copies
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0]
+
+
 def test_license_edges():
     whole = licenses.Scanner.build(licenses.TEMPLATES)
     assert whole.retrieval(licenses.CONTAINMENT) > 0.997 and whole.retrieval(1.0) > 0.9995
