@@ -113,6 +113,27 @@ def cdf(kind: str, x: Column, *parameters: float) -> Column:
     return of(x.cast("double"))
 
 
+#: From P(X <= x) between 0 and 1 and parameters to x, by name; the distributions whose functions have closed inverses.
+QUANTILES: dict[str, Callable[..., Column]] = {
+    "uniform": lambda p, a=0.0, b=1.0: a + (b - a) * p,
+    "exponential": lambda p, mu=1.0: -mu * F.log(1 - p),
+    "laplace": lambda p, a=1.0: a * F.when(p < 0.5, F.log(2 * p)).otherwise(-F.log(2 * (1 - p))),
+    "logistic": lambda p, a=1.0: a * F.log(p / (1 - p)),
+    "cauchy": lambda p, a=1.0: a * F.tan(math.pi * (p - 0.5)),
+    "rayleigh": lambda p, sigma=1.0: sigma * F.sqrt(-2 * F.log(1 - p)),
+    "weibull": lambda p, a=1.0, b=1.0: a * F.pow(-F.log(1 - p), F.lit(1 / b)),
+    "pareto": lambda p, a=1.0, b=1.0: b * F.pow(1 - p, F.lit(-1 / a)),
+    "gumbel": lambda p, a=1.0, b=1.0: (math.log(b) - F.log(-F.log(p))) / a,
+    "gumbel2": lambda p, a=1.0, b=1.0: F.pow(-F.log(p) / b, F.lit(-1 / a)),
+    "geometric": lambda p, q=0.5: F.greatest(F.lit(1.0), F.ceil(F.log(1 - p) / math.log(1 - q)).cast("double")),
+}
+
+
+def quantile(kind: str, p: Column, *parameters: float) -> Column:
+    """The value x with P(X <= x) = p of a distribution by name, or of a discrete one the least with P(X <= x) >= p; null unless 0 < p < 1."""
+    return F.when((p > 0) & (p < 1), QUANTILES[kind](p, *parameters))
+
+
 def uniform(key: Column, seed: int, salt: int = 0) -> Column:
     """A number in (0, 1) from a key, a seed and a salt."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), key), 11) + 0.5) / float(1 << 53)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from tessella.session import materialize
+
 
 def stat_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, least, most, mean and the sample deviation, which is 0 for one value."""
@@ -103,10 +107,43 @@ def extremes(rows: DataFrame, value: str, id_col: str) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """Quantiles, one column for each share: exact ones by linear interpolation, which hold the distinct values of a group, or with an accuracy values whose rank is off by at most 1 / accuracy of the rows, in bounded memory."""
+    """Quantiles, one column for each share: exact ones by linear interpolation, or with an accuracy values whose rank is off by at most 1 / accuracy of the rows.
+
+    Exact ones come from ranks: equal values are folded to one row with their number, those rows are sorted by ranges of
+    (group, value), and a value's first rank is the sum of the ranges of its group before its own and a running sum inside
+    it. So neither a group nor a value that many rows have is one task's work. Nulls are left out.
+    """
+    by = by or []
     if accuracy:
-        return rows.groupBy(*(by or [])).agg(*[F.percentile_approx(value, s, accuracy).alias(f"q{round(100 * s)}") for s in shares])
-    return rows.groupBy(*(by or [])).agg(*[F.percentile(value, F.lit(s)).alias(f"q{round(100 * s)}") for s in shares])
+        return rows.groupBy(*by).agg(*[F.percentile_approx(value, s, accuracy).alias(f"q{round(100 * s)}") for s in shares])
+    keys = [f"_g{i}" for i in range(len(by))]
+    groups = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)])
+    folded = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sorted_ = materialize(folded.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "quantile-values")
+    in_group = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sorted_.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
+    sums = sums.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    sums = sums.select(*[F.col(k).alias(f"s{k}") for k in keys], F.col("_range").alias("s_range"), "_before", "_all")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys], F.col("_range") == F.col("s_range"))
+    inside = Window.partitionBy("_range", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sorted_.join(sums, same).withColumn("_first", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= place) & (place < F.col("_first") + F.col("_n")), F.col("_v")))
+
+    def quantile(share: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return (low + (high - low) * part).alias(f"q{round(100 * share)}")
+
+    found = placed.groupBy(*keys).agg(*[quantile(s) for s in shares])
+    if not by:
+        return found
+    # groups that have nulls only stay, with nulls
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"f{k}")) for k in keys])
+    named = found.select(*[F.col(k).alias(f"f{k}") for k in keys], *found.columns[len(keys) :])
+    return groups.agg(F.lit(1).alias("_one")).join(named, on, "left").select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], *found.columns[len(keys) :])
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, slots: int) -> DataFrame:

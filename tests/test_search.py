@@ -289,6 +289,14 @@ def test_flagship_misses_nothing(spark):
     assert {tuple(r) for r in QUERIES["similarity_search"](spark, path).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["lsh_knn", "lsh_multiprobe", "lsh_recall"])
+def test_index_queries_reach_their_recall(spark, name):
+    path = "/root/testdata/sf0.01"
+    true = {(r.query_id, r.id) for r in QUERIES["knn_l2"](spark, path).collect()}
+    found = {(r.query_id, r.id) for r in QUERIES[name](spark, path).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+
+
 def test_similarity_search_finds_itself(planted, spark):
     _, table = planted
     vecs = table.select("vec_id", F.expr("vec_id div 2").alias("vecset_id"), F.lit(1.0).alias("weight"), F.col("embedding").alias("features"))

@@ -114,3 +114,29 @@ def test_variates_follow_their_distributions(spark):
     means = ids.select(*[F.avg(distributions.variate(k, F.col("id"), 5, *a)).alias(k) for k, a in {"poisson": (4.5,), "binomial": (20.0, 0.3), "geometric": (0.25,), "bernoulli": (0.3,)}.items()]).first()
     assert (means.poisson, means.binomial, means.geometric, means.bernoulli) == (pytest.approx(4.5, abs=0.06), pytest.approx(6, abs=0.06), pytest.approx(4, abs=0.1), pytest.approx(0.3, abs=0.015))
     assert ids.select(distributions.cdf("poisson", F.col("id"), 4.0).alias("p")).where("p < 0 or p > 1").count() == 0
+
+
+def test_exact_quantiles_by_ranks(spark):
+    """Groups of one to many rows, a value that most rows have, nulls, a group without values, and a null group."""
+    rng = np.random.default_rng(8)
+    values = {"a": rng.standard_normal(501).tolist(), "b": [2.5] * 400 + rng.integers(0, 9, 100).astype(float).tolist(), "c": [7.0], None: [1.0, 4.0], "d": []}
+    rows = [(g, v) for g, vs in values.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    shares = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r.g: [r[f"q{round(100 * s)}"] for s in shares] for r in stats.quantiles(df, "v", shares, ["g"]).collect()}
+    assert got.keys() == values.keys() and got["d"] == [None] * 5
+    for g, vs in values.items():
+        if vs:
+            assert got[g] == pytest.approx([float(np.quantile(vs, s)) for s in shares], abs=1e-12)
+    everything = [v for vs in values.values() for v in vs]
+    assert list(stats.quantiles(df, "v", shares).first()) == pytest.approx([float(np.quantile(everything, s)) for s in shares], abs=1e-12)
+
+
+@pytest.mark.parametrize("kind, args", [("uniform", (2.0, 5.0)), ("exponential", (4.0,)), ("laplace", (2.0,)), ("logistic", (2.0,)), ("cauchy", (2.0,)), ("rayleigh", (2.0,)), ("weibull", (3.0, 2.0)), ("pareto", (1.5, 2.0)), ("gumbel", (3.0, 2.0)), ("gumbel2", (3.0, 2.0)), ("geometric", (0.3,))])
+def test_quantile_functions_are_inverses(spark, kind, args):
+    rows = spark.range(1, 1000).select((F.col("id") / 1000).alias("p"))
+    x = distributions.quantile(kind, F.col("p"), *args)
+    got = rows.select("p", distributions.cdf(kind, x, *args).alias("back"), distributions.cdf(kind, x - 1, *args).alias("below")).collect()
+    assert all(r.below < r.p + 1e-12 and r.back >= r.p - 1e-12 for r in got) if kind == "geometric" else all(abs(r.back - r.p) < 1e-9 for r in got)
+    outside = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,)], "p double").select(distributions.quantile(kind, F.col("p"), *args).alias("x"))
+    assert all(r.x is None for r in outside.collect())
