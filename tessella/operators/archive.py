@@ -9,13 +9,16 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from tessella.functions.codecs import CODECS, bounded, codec, codec_by_code
-from tessella.session import default_partitions, ship
+from tessella.session import default_partitions, materialize, ship
+
+from .dedup import HOT_LEAST, HOT_SHARE
 
 #: Header number, record types (fixed values of the format).
 MAGIC, FINGERPRINT, COMPRESSED = 123456, 0, 1
@@ -197,11 +200,25 @@ def decode_archives(archives: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def decode_records(records: DataFrame, scope: str = "global") -> DataFrame:
-    """(file_idx, content) from records of any scope: fingerprints are joined to their chunk, then each file's parts are put in order."""
+    """(file_idx, content) from records of any scope: fingerprints are joined to their chunk, then each file's parts are put in order.
+
+    Only fingerprints, without bytes, and the chunks that they name are joined. A chunk that over a thousandth of all
+    fingerprints name is there several times, one for each thousandth, and its fingerprints are dealt to them. Records are
+    read several times, so they should be a table.
+    """
     keys = ["sha1"] if scope == "global" else ["file_idx", "sha1"]
-    chunks = records.where(F.col("kind") == COMPRESSED).groupBy(*keys).agg(F.first("data").alias("found"))
-    parts = records.join(chunks.select(*[F.col(k).alias(f"k_{k}") for k in keys], "found"), [F.col(k) == F.col(f"k_{k}") for k in keys], "left")
-    parts = parts.select("file_idx", F.lit(0).alias("l1"), F.col("rec_no").alias("l2"), F.coalesce("data", "found").alias("data"))
+    named, chunks = records.where(F.col("kind") == FINGERPRINT).select("file_idx", "rec_no", "sha1"), records.where(F.col("kind") == COMPRESSED)
+    counts = materialize(named.groupBy(*[F.col(k).alias(f"n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("copies")), "named-chunks")
+    limit = max(HOT_LEAST, (counts.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
+    counts = counts.withColumn("times", F.ceil(F.col("copies") / F.lit(limit)).cast("int"))
+    same = lambda prefix: reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}_{k}")) for k in keys])
+    found = chunks.join(counts, same("n")).select(*[F.col(k).alias(f"k_{k}") for k in keys], "data", "times").groupBy(*[f"k_{k}" for k in keys], "times").agg(F.first("data").alias("found"))
+    found = found.withColumn("k_part", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
+    hot = F.broadcast(counts.where("times > 1").limit(HOT_SHARE).select(*[F.col(k).alias(f"h_{k}") for k in [f"n_{k}" for k in keys]], F.col("times").alias("h_times")))
+    at_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"h_n_{k}")) for k in keys])
+    dealt = named.join(hot, at_hot, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("file_idx", "rec_no"), F.col("h_times")).cast("int"), F.lit(0)))
+    expanded = dealt.join(found, same("k") & (F.col("part") == F.col("k_part")), "left").select("file_idx", "rec_no", F.col("found").alias("data"))
+    parts = chunks.select("file_idx", "rec_no", "data").unionByName(expanded).select("file_idx", F.lit(0).alias("l1"), F.col("rec_no").alias("l2"), "data")
 
     def make() -> Callable:
         state, found = {"file_idx": None}, []

@@ -35,7 +35,7 @@ def compress(files: DataFrame, plan: CompressPlan = CompressPlan()) -> tuple[Dat
 
 def restore(archives: DataFrame, scope: str = "file") -> DataFrame:
     """(file_idx, content) of archives made with the given scope."""
-    return archive.decode_archives(archives) if scope == "file" else archive.decode_records(archive.archive_records(archives))
+    return archive.decode_archives(archives) if scope == "file" else archive.decode_records(materialize(archive.archive_records(archives), "records"))
 
 
 def report(archives: DataFrame, flagged: DataFrame) -> str:

@@ -73,6 +73,16 @@ def test_round_trip(docs, scope, codec):
     assert "duplicates" in plans.report(made, flagged)
 
 
+@pytest.mark.parametrize("scope", ["file", "global"])
+def test_hot_chunks_are_restored(spark, monkeypatch, scope):
+    """A chunk that most fingerprints name, in files with and without an id, in several parts."""
+    monkeypatch.setattr(archive, "HOT_LEAST", 7)
+    rows = [(f, i, 1, None, b"hot") if i else (f, i, 2, None, b"hot") for f in (None, 1, 2, 3) for i in range(40)]
+    records = spark.createDataFrame([(f, i, archive.COMPRESSED if i == 0 and (scope == "file" or f == 1) else archive.FINGERPRINT, "aa", d if i == 0 and (scope == "file" or f == 1) else None) for f, i, _, _, d in rows] + [(3, 40 + i, archive.COMPRESSED, f"b{i}", bytes([i])) for i in range(3)] + [(3, 43, archive.FINGERPRINT, "b1", None)], "file_idx long, rec_no long, kind int, sha1 string, data binary")
+    got = {r.file_idx: bytes(r.content) for r in archive.decode_records(records.repartition(5), scope).collect()}
+    assert got == {None: b"hot" * 40, 1: b"hot" * 40, 2: b"hot" * 40, 3: b"hot" * 40 + bytes([0, 1, 2, 1])}
+
+
 def test_bad_archives():
     good = archive.header("none") + archive.record(1, b"x")
     assert archive.decode_archive(good) == b"x"
