@@ -784,4 +784,4 @@ def test_pipeline_equals_brute_force(spark, toxic, small, library, tmp_path):
 
 def test_pipeline_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "mixing", "bpe"]
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 13
