@@ -191,15 +191,16 @@ def distribution_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT event_id, (abs(value) % 97 + 0.5) / 97.5 AS p FROM events)
-SELECT event_id, round(-20 * ln(1 - p), 9) AS exponential, round(10 * ln(p / (1 - p)), 9) AS logistic, round(CASE WHEN p < 0.5 THEN 10 * ln(2 * p) ELSE -10 * ln(2 * (1 - p)) END, 9) AS laplace,
-round(10 * tan(pi() * (p - 0.5)), 7) AS cauchy, round(30 * pow(-ln(1 - p), 0.5), 9) AS weibull, round(30 * sqrt(-2 * ln(1 - p)), 9) AS rayleigh, round(2 * pow(1 - p, -1 / 1.5::DOUBLE), 9) AS pareto, round((ln(2.0::DOUBLE) - ln(-ln(p))) / 3, 9) AS gumbel, round(pow(-ln(p) / 2, -1 / 3.0::DOUBLE), 9) AS gumbel2,
+SELECT event_id, round(-20 * ln(1 - p), 9) AS exponential, round(10 * ln(p / (1 - p)), 9) + 0 AS logistic, round(CASE WHEN p < 0.5 THEN 10 * ln(2 * p) ELSE -10 * ln(2 * (1 - p)) END, 9) + 0 AS laplace,
+round(10 * tan(pi() * (p - 0.5)), 7) + 0 AS cauchy, round(30 * pow(-ln(1 - p), 0.5), 9) AS weibull, round(30 * sqrt(-2 * ln(1 - p)), 9) AS rayleigh, round(2 * pow(1 - p, -1 / 1.5::DOUBLE), 9) AS pareto, round((ln(2.0::DOUBLE) - ln(-ln(p))) / 3, 9) AS gumbel, round(pow(-ln(p) / 2, -1 / 3.0::DOUBLE), 9) AS gumbel2,
 greatest(1.0::DOUBLE, ceil(ln(1 - p) / ln(0.75::DOUBLE))) AS geometric FROM u""")
 def distribution_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile functions at a probability made of every event's value."""
     p = (F.abs("value") % 97 + 0.5) / 97.5
     made = {"exponential": (20.0,), "logistic": (10.0,), "laplace": (10.0,), "cauchy": (10.0,), "weibull": (30.0, 2.0), "rayleigh": (30.0,), "pareto": (1.5, 2.0), "gumbel": (3.0, 2.0), "gumbel2": (3.0, 2.0), "geometric": (0.25,)}
     digits = {"cauchy": 7}
-    return _events(spark, sf_dir).select("event_id", *[F.round(distributions.quantile(kind, p, *args), digits.get(kind, 9)).alias(kind) for kind, args in made.items()])
+    # adding 0 makes a zero positive
+    return _events(spark, sf_dir).select("event_id", *[(F.round(distributions.quantile(kind, p, *args), digits.get(kind, 9)) + F.lit(0.0)).alias(kind) for kind, args in made.items()])
 
 
 @query()
