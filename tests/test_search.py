@@ -405,3 +405,35 @@ def test_threshold_search_equals_brute_force(planted, k, depth):
     assert len(got) == len(want) and {g[:2] for g in got} == {w[:2] for w in want}
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got), sorted(want), strict=True))
     assert fusion.threshold_knn(table, queries.where("false"), k, weights).count() == 0
+
+
+def test_probes_by_recall_shuffle_no_pairs(spark, shuffled, monkeypatch):
+    """A bucket of all rows: 1.6 million pairs, of which 3 a query leave a task, in one pass and in several; no index is saved for many queries."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 4))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries, params = table.where("vec_id % 10 = 0"), lsh.LshParams(D=4, M=2, L=2, W=1000.0, H=997)
+    whole = sorted(map(tuple, lsh.lsh_recall_knn(table, queries, params, 3, 0.9).collect()))
+    assert len(whole) == 1200 and [r[1] for r in whole if r[0] == 50 and r[3] == 1] == [50] and shuffled() < 1
+    monkeypatch.setattr(lsh, "BROADCAST_VALUES", 5000)  # four and six passes
+    monkeypatch.setattr("tessella.operators.batch.save_batch_index", None)
+    assert sorted(map(tuple, lsh.lsh_recall_knn(table, queries, params, 3, 0.9).collect())) == whole
+    assert shuffled() < 1
+
+
+def test_probes_by_recall_are_each_querys_own(spark, planted):
+    """Candidates with the probes of a query, by the joined index."""
+    _, table = planted
+    params, queries = lsh.LshParams(D=16, M=6, L=4, W=0.6, H=997, seed=5), table.where("vec_id % 3 = 0")
+    index, model = lsh.build_index(table, params), lsh.recall_table(params, 9)
+    first = {}
+    for r in lsh.lsh_knn(table, queries, params, 2, index=index).collect():
+        first.setdefault(r.query_id, []).append(r.dist)
+    want, used = set(), set()
+    for q in (r.vec_id for r in queries.collect()):
+        far = max(first[q]) if len(first.get(q, [])) == 2 else 4.0
+        n = int(lsh.probes_for_recall(model, np.array([far]), 0.6, 0.01, 4.0)[0])
+        used.add(n)
+        want |= {tuple(r) for r in lsh.lsh_knn(table, queries.where(f"vec_id = {q}"), params, 2, None, n, index).collect()} if q < 30 else set()
+    got = {tuple(r) for r in lsh.lsh_recall_knn(table, queries, params, 2, 0.6, most=9).collect() if r.query_id < 30}
+    assert got == want and len(used) > 1
