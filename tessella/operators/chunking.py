@@ -28,21 +28,31 @@ class ChunkParams:
 
 
 def split_levels(content: bytes, params: ChunkParams) -> list[tuple[int, list[int]]]:
-    """(offset, second-level lengths) of each first-level part.
+    """(offset, second-level lengths) of each first-level part."""
+    return split_all([content], params)[0]
+
+
+def split_all(contents: list[bytes], params: ChunkParams) -> list[list[tuple[int, list[int]]]]:
+    """(offset, second-level lengths) of each first-level part of each content; the fingerprints are made once for all.
 
     With a coarse anchor, a part ends at the first content-defined cut at or after that many bytes.
     """
     if not params.coarse_anchor:
-        return [(0, rabin.cuts([content], params.window, params.mask)[0])]
-    parts, at = [], 0
-    cutter = rabin.Cutter(np.frombuffer(content, np.uint8), params.window, params.mask) if content else None
-    while at < len(content):
-        end = len(content)
-        if len(content) - at > params.coarse_anchor:
-            end = cutter.next(at + params.coarse_anchor, len(content))
-        parts.append((at, cutter.lengths(at, end)))
-        at = end
-    return parts
+        return [[(0, lengths)] for lengths in rabin.cuts(contents, params.window, params.mask)]
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    cutter = rabin.Cutter(data, params.window, params.mask) if len(data) else None
+    out, begin = [], 0
+    for content in contents:
+        parts, at, stop = [], begin, begin + len(content)
+        while at < stop:
+            end = stop
+            if stop - at > params.coarse_anchor:
+                end = cutter.next(at + params.coarse_anchor, stop)
+            parts.append((at - begin, cutter.lengths(at, end)))
+            at = end
+        out.append(parts)
+        begin = stop
+    return out
 
 
 def cut_blocks(blocks: Iterator[bytes], params: ChunkParams = ChunkParams()) -> Iterator[bytes]:
@@ -124,10 +134,7 @@ def _cut_files(files: DataFrame, id_col: str, content_col: str, params: ChunkPar
                 yield cut(files_)
 
     def cut(group: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        if params.coarse_anchor:
-            levels = [split_levels(c, params) for _, c in group]
-        else:
-            levels = [[(0, lengths)] for lengths in rabin.cuts([c for _, c in group], params.window, params.mask)]
+        levels = split_all([c for _, c in group], params)
         rows = []
         for (f, content), parts in zip(group, levels, strict=True):
             for l1, (at, lengths) in enumerate(parts):

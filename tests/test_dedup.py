@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
@@ -182,3 +183,16 @@ def test_synthetic_text(spark):
         assert all(len(x) == 62 for x in lines)
         assert (len(set(lines)) == 1) == (pattern == "FFF")
     assert files.synthetic_text(spark, 5, seed=1).collect() == files.synthetic_text(spark, 5, seed=1).collect()
+
+
+def test_coarse_parts_of_a_batch_take_one_set_of_fingerprints(monkeypatch):
+    """Each content is cut as if it were alone, empty and short ones and those of exactly an anchor included."""
+    rng = np.random.default_rng(8)
+    contents = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 31, 32, 500, 501, 20_000, 0, 3000)] + [b"x" * 5000, b""]
+    params, made = chunking.ChunkParams(mask=0x7F, coarse_anchor=500), []
+    alone = [chunking.split_levels(c, params) for c in contents]
+    cutter = chunking.rabin.Cutter
+    monkeypatch.setattr(chunking.rabin, "Cutter", lambda *a: made.append(1) or cutter(*a))
+    assert chunking.split_all(contents, params) == alone and len(made) == 1
+    assert [sum(sum(lengths) for _, lengths in parts) for parts in alone] == list(map(len, contents)) and len(alone[6]) > 10
+    assert chunking.split_all([b""], params) == [[]] == chunking.split_all([b"", b""], params)[1:]
