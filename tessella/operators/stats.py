@@ -7,7 +7,7 @@ from functools import reduce
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from tessella.session import materialize
+from tessella.session import default_partitions, materialize
 
 
 def stat_summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -60,21 +60,28 @@ def weighted_stats(rows: DataFrame, value: str, w: str, by: list[str] | None = N
     return s.select(*(by or []), mean.alias("wmean"), (spread * F.col("s") / (F.col("s") * F.col("s") - F.col("s2"))).alias("wvariance"))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group. Where groups aren't broadcast, each one is there once for each shuffle partition and its rows are dealt to these, so that a frequent group is no task of its own."""
+    n = default_partitions(rows.sparkSession)
+    dealt = rows.withColumn("_part", F.monotonically_increasing_id() % n)
+    return dealt.join(groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), [*by, "_part"]).drop("_part")
+
+
 def weighted_shape(rows: DataFrame, value: str, w: str, by: list[str]) -> DataFrame:
     """Weighted mean, standard deviation (unbiased for reliability weights), mean absolute deviation, skewness and excess kurtosis of each group."""
     x, k = F.col(value).cast("double"), F.col(w).cast("double")
     first = rows.groupBy(*by).agg((F.sum(k * x) / F.sum(k)).alias("_m"), F.sum(k).alias("_w"), F.sum(k * k).alias("_w2"))
     d = x - F.col("_m")
-    spread = rows.join(first, by).groupBy(*by).agg(F.first("_m").alias("_m"), F.sqrt(F.sum(k * d * d) * F.first("_w") / (F.first("_w") * F.first("_w") - F.first("_w2"))).alias("_s"))
+    spread = with_groups(rows, first, by).groupBy(*by).agg(F.first("_m").alias("_m"), F.sqrt(F.sum(k * d * d) * F.first("_w") / (F.first("_w") * F.first("_w") - F.first("_w2"))).alias("_s"))
     z = d / F.col("_s")
     mean = lambda c: F.sum(k * c) / F.sum(k)
-    return rows.join(spread, by).groupBy(*by).agg(F.first("_m").alias("wmean"), F.first("_s").alias("wsd"), mean(F.abs(d)).alias("wabsdev"), mean(z * z * z).alias("wskew"), (mean(z * z * z * z) - 3).alias("wkurtosis"))
+    return with_groups(rows, spread, by).groupBy(*by).agg(F.first("_m").alias("wmean"), F.first("_s").alias("wsd"), mean(F.abs(d)).alias("wabsdev"), mean(z * z * z).alias("wskew"), (mean(z * z * z * z) - 3).alias("wkurtosis"))
 
 
 def shape_stats(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Mean absolute deviation, skewness and excess kurtosis (sample deviation in the denominators) for each group."""
     mean = rows.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    joined = rows.join(mean, by)
+    joined = with_groups(rows, mean, by)
     z = (F.col(value) - F.col("_m")) / F.col("_s")
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col(value) - F.col("_m"))).alias("absdev"), F.avg(z * z * z).alias("skew"), (F.avg(z * z * z * z) - 3).alias("kurtosis"))
 

@@ -140,3 +140,19 @@ def test_quantile_functions_are_inverses(spark, kind, args):
     assert all(r.below < r.p + 1e-12 and r.back >= r.p - 1e-12 for r in got) if kind == "geometric" else all(abs(r.back - r.p) < 1e-9 for r in got)
     outside = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,)], "p double").select(distributions.quantile(kind, F.col("p"), *args).alias("x"))
     assert all(r.x is None for r in outside.collect())
+
+
+def test_a_frequent_group_is_dealt_to_all_tasks(spark):
+    """Nearly all rows are of one group; each task of the join has its share of them, and every row meets its group once."""
+    rows = spark.range(8000).select("id", F.when(F.col("id") % 1000 == 0, "rare").otherwise("often").alias("g"))
+    groups = rows.groupBy("g").agg(F.avg("id").alias("m"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(kept, ("-1", "false", "16"), strict=True):
+            spark.conf.set(c, v)
+        found = stats.with_groups(rows, groups, ["g"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sum(r["count"] for r in found) == 8000 and max(r["count"] for r in found) < 4000
+    assert sorted(stats.with_groups(rows, groups, ["g"]).collect()) == sorted(rows.join(groups, "g").select("g", "id", "m").collect())
