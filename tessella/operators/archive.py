@@ -22,6 +22,8 @@ from .dedup import HOT_LEAST, HOT_SHARE
 
 #: Header number, record types (fixed values of the format).
 MAGIC, FINGERPRINT, COMPRESSED = 123456, 0, 1
+#: Rows that a task turns to Python objects at once, and bytes of records that it makes at once.
+SLICE, HELD_BYTES = 256, 4 << 20
 HEAD, RECORD = struct.Struct("<iB"), struct.Struct("<BQ")
 ARCHIVES = "file_idx long, archive binary, n_records long, bytes_in long, bytes_compressed long"
 _ARROW = pa.schema([("file_idx", pa.int64()), ("archive", pa.binary()), ("n_records", pa.int64()), ("bytes_in", pa.int64()), ("bytes_compressed", pa.int64())])
@@ -93,15 +95,16 @@ def _stream_files(rows: DataFrame, make: Callable[[], Callable], schema: str, ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, fold, out = None, None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if fold is None or row["file_idx"] != current:
-                    if fold is not None:
-                        out.append(fold(None))
-                    current, fold = row["file_idx"], make()
-                fold(row)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                out = []
+            for at in range(0, len(batch), SLICE):
+                for row in batch.slice(at, SLICE).to_pylist():
+                    if fold is None or row["file_idx"] != current:
+                        if fold is not None:
+                            out.append(fold(None))
+                        current, fold = row["file_idx"], make()
+                    fold(row)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
         if fold is not None:
             yield pa.RecordBatch.from_pylist([fold(None)], schema=arrow)
 
@@ -176,13 +179,17 @@ def archive_records(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for f, archive in zip(batch.column("file_idx").to_pylist(), batch.column("archive").to_pylist(), strict=True):
-                code, records = parse_archive(archive)
+            rows, held = [], 0
+            for f, archive in zip(batch.column("file_idx").to_pylist(), batch.column("archive"), strict=True):
+                code, records = parse_archive(archive.as_py())
                 expand = codec_by_code(code).decompress
                 for i, (kind, payload) in enumerate(records):
                     data = expand(payload) if kind == COMPRESSED else None
                     rows.append({"file_idx": f, "rec_no": i, "kind": kind, "sha1": hashlib.sha1(data).hexdigest() if data is not None else payload.hex(), "data": data})
+                    held += len(data or b"")
+                    if held > HELD_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return archives.select("file_idx", "archive").mapInArrow(run, "file_idx long, rec_no long, kind int, sha1 string, data binary")

@@ -196,3 +196,14 @@ def test_coarse_parts_of_a_batch_take_one_set_of_fingerprints(monkeypatch):
     assert chunking.split_all(contents, params) == alone and len(made) == 1
     assert [sum(sum(lengths) for _, lengths in parts) for parts in alone] == list(map(len, contents)) and len(alone[6]) > 10
     assert chunking.split_all([b""], params) == [[]] == chunking.split_all([b"", b""], params)[1:]
+
+
+def test_records_in_small_pieces_restore_the_files(spark, monkeypatch):
+    """Batches of few rows and few bytes, borders inside files: the same contents."""
+    files_ = [(i, bytes([i]) * 40 + b"same" * 30 + bytes([i + 100]) * (7 * i)) for i in range(12)]
+    frame = spark.createDataFrame([(i, 0, j, c[j : j + 40]) for i, c in files_ for j in range(0, len(c), 40)], "file_idx long, l1 int, l2 int, data binary").withColumn("n", F.octet_length("data").cast("long"))
+    flagged = dedup.flag_duplicates(chunking.with_fingerprint(frame), "global")
+    monkeypatch.setattr(archive, "SLICE", 3)
+    monkeypatch.setattr(archive, "HELD_BYTES", 50)
+    records = archive.archive_records(archive.write_archives(flagged, "none")).cache()
+    assert {(r.file_idx, bytes(r.content)) for r in archive.decode_records(records).collect()} == set(files_)
