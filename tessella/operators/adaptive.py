@@ -11,7 +11,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 
 from tessella.session import materialize
 
@@ -153,14 +153,14 @@ def boosted_knn(index: BatchIndex, queries: DataFrame, k: int, probes: int, roun
     for r in range(rounds + 1):
         if work:
             pairs.append(materialize(batch_knn(index, asked, k, probes, None, id_col, vec_col, work=True, spans=("_from", "_to")), "boost-pairs"))
-        found = batch_knn(index, asked, k, probes, None, id_col, vec_col, spans=("_from", "_to"), by_table=True)
-        found = found if best is None else found.unionByName(best)
+        found = batch_knn(index, asked, k, probes, None, id_col, vec_col, spans=("_from", "_to"), by_table=True).drop("rank")
         # of the best k ids, all tables that have found them
-        of_id = Window.partitionBy("query_id").orderBy("dist", "id")
-        best = materialize(found.distinct().withColumn("rank", F.dense_rank().over(of_id)).where(F.col("rank") <= k).drop("rank"), "boost-best")
+        found = found if best is None else found.unionByName(best).groupBy("query_id", "id", "dist").agg(F.array_distinct(F.flatten(F.collect_list("found_by"))).alias("found_by"))
+        best = materialize(ranked(found, k).drop("rank"), "boost-best")
         if r == rounds:
             break
-        yields = best.groupBy(F.col("query_id").alias("y_id"), "table_no").count().groupBy("y_id").agg(F.map_from_entries(F.collect_list(F.struct("table_no", "count"))).alias("found"), F.sum("count").alias("all"))
+        by_table = best.select("query_id", F.explode("found_by").alias("table_no"))
+        yields = by_table.groupBy(F.col("query_id").alias("y_id"), "table_no").count().groupBy("y_id").agg(F.map_from_entries(F.collect_list(F.struct("table_no", "count"))).alias("found"), F.sum("count").alias("all"))
         state = asked.join(yields, F.col(id_col) == F.col("y_id"), "left")
         # running floors of the shares, so that they sum to what is dealt
         upto = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.coalesce(F.try_element_at("found", t.cast("int")), F.lit(0).cast("long")) + 1)
@@ -172,4 +172,4 @@ def boosted_knn(index: BatchIndex, queries: DataFrame, k: int, probes: int, roun
         asked = materialize(asked, "boost-asked")
     if work:
         return reduce(DataFrame.unionByName, pairs).groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
-    return ranked(best.select("query_id", "id", "dist").distinct(), k)
+    return ranked(best.select("query_id", "id", "dist"), k)

@@ -135,6 +135,28 @@ def test_batch_index_equals_the_joined_one(spark, planted, block_rows):
         batch.drop_index(spark, index)
 
 
+def test_batch_index_shuffles_a_vector_once(spark, shuffled):
+    """However many tables there are, and buckets that queries ask for; a table beyond DIRECT buckets and several passes find the same."""
+    rng = np.random.default_rng(9)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 14)))], "vec_id long, embedding array<double>")
+    index = batch.save_batch_index(table, lsh.LshParams(D=14, M=6, L=16, W=4.0, H=1_000_003), block_rows=500)
+    assert shuffled() < 2
+    hits = sorted(map(tuple, batch.batch_knn(index, table.where("vec_id % 10 = 0"), 3, 30).collect()))
+    assert len(hits) == 1200 and shuffled() < 1
+    batch.drop_index(spark, index)
+
+
+def test_batch_passes_and_wide_tables_agree(spark, planted, monkeypatch):
+    _, table = planted
+    queries, params = table.where("vec_id % 5 = 0"), lsh.LshParams(D=16, M=4, L=3, W=2.0, H=997, seed=5)
+    index = batch.save_batch_index(table, params, block_rows=50)
+    want = sorted(map(tuple, batch.batch_knn(index, queries, 4, 5).collect()))
+    for name, value in (("BROADCAST_VALUES", 200), ("DIRECT", 0), ("PAIRS", 10), ("ASKED", 40)):
+        monkeypatch.setattr(batch, name, value)
+    assert sorted(map(tuple, batch.batch_knn(index, queries, 4, 5).collect())) == want and want
+    batch.drop_index(spark, index)
+
+
 @pytest.fixture(scope="module")
 def regions(spark):
     """(image, vec_id, embedding) of the regions of 2,000 images."""
