@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -111,6 +111,42 @@ def emit_in_order(chunks: DataFrame) -> DataFrame:
     return chunks.select("file_idx", "l2", "n").groupBy("file_idx").applyInPandasWithState(run, "file_idx long, l2 int, n long, emitted int", "following int, waiting binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def emit_to_table(chunks: DataFrame, base: str | None = None) -> DataFrame:
+    """Like emit_in_order(), over all that is there, with tables instead of a state: the chunks that wait, and each file's next number.
+
+    A micro-batch ranks its chunks and those that wait within their files, beginning with the file's next number; a chunk
+    leaves if its number is its rank. All in built-in operators: a file is no call of its own, and its chunks are sorted,
+    not held. Results, waiting chunks and numbers have a folder for each batch, which a repeated batch overwrites; with the
+    same ``base`` the stream goes on where it ended, as in flag_to_table().
+    """
+    spark = chunks.sparkSession
+    base = base or f"{shared_dir(spark)}/tessella/stream-{uuid.uuid4().hex}"
+    schema = "file_idx long, l2 int, n long, emitted int"
+
+    def take(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        earlier = [b for b in _numbered_folders(session, f"{base}/next") if b < batch]
+        rows = df.select(F.col("file_idx").cast("long").alias("file_idx"), F.col("l2").cast("int").alias("l2"), F.col("n").cast("long").alias("n"), F.lit(False).alias("waited"))
+        begin = F.lit(0)
+        if earlier:
+            waiting = session.read.schema(schema).parquet(f"{base}/placed/{earlier[-1]}").where("emitted is null")
+            rows = rows.unionByName(waiting.select("file_idx", "l2", "n", F.lit(True).alias("waited")))
+            following = session.read.schema("file_idx long, following int").parquet(*[f"{base}/next/{b}" for b in earlier]).groupBy(F.col("file_idx").alias("of")).agg(F.max("following").alias("following"))
+            rows = rows.join(following, F.col("file_idx").eqNullSafe(F.col("of")), "left").drop("of")
+            begin = F.coalesce("following", F.lit(0))
+        # of chunks with one number the last to come counts; those that have left don't come back
+        place = Window.partitionBy("file_idx").orderBy("l2", "waited", "n")
+        ranks = rows.where(F.col("l2") >= begin).withColumn("again", F.coalesce(F.lag("l2").over(place) == F.col("l2"), F.lit(False))).withColumn("due", begin + F.dense_rank().over(place) - 1)
+        placed = ranks.where("not again").select("file_idx", "l2", "n", F.when(F.col("l2") == F.col("due"), F.col("due")).cast("int").alias("emitted"))
+        placed.write.mode("overwrite").parquet(f"{base}/placed/{batch}")
+        left = session.read.schema(schema).parquet(f"{base}/placed/{batch}").where("emitted is not null")
+        left.groupBy("file_idx").agg((F.max("emitted") + 1).cast("int").alias("following")).write.mode("overwrite").parquet(f"{base}/next/{batch}")
+
+    chunks.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(take).start().awaitTermination()
+    done = [f"{base}/placed/{b}" for b in _numbered_folders(spark, f"{base}/next")]
+    return spark.read.schema(schema).parquet(*done).where("emitted is not null") if done else spark.createDataFrame([], schema)
+
+
 def throughput_windows(events: DataFrame, amount: str, ts: str, width: str = "1 hour", delay: str | None = None) -> DataFrame:
     """Aligned windows over a stream; with a delay, state ends behind the watermark."""
     stamped = events.withColumn("_ts", F.col(ts).cast("timestamp"))

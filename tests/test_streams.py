@@ -1,6 +1,8 @@
 import pyspark.sql.functions as F
 
 from tessella.operators import metrics
+from tessella.queries import streams as _stream_queries  # noqa: F401 - registers them
+from tessella.queries.common import QUERIES
 from tessella.streaming import dedup as streams
 
 
@@ -46,6 +48,26 @@ def test_emission_in_order(spark, tmp_path):
     assert sorted((r.file_idx, r.l2, r.emitted) for r in out.collect()) == [(0, i, i) for i in range(5)] + [(1, 0, 0)]
 
 
+def test_tables_emit_what_the_state_emits(spark, tmp_path):
+    """Early, late, repeated and missing chunks over three batches, then one more after a restart; a file without a number too."""
+    base = f"file://{tmp_path}/base"
+    _write(spark, str(tmp_path), [[(0, 2, 1, ""), (0, 1, 1, ""), (None, 0, 5, "")], [(0, 0, 1, ""), (1, 0, 1, ""), (0, 2, 7, ""), (2, 3, 1, "")], [(0, 4, 1, ""), (0, 3, 1, ""), (0, 1, 9, ""), (None, 1, 5, "")]])
+    first = sorted((r.file_idx is None, r.file_idx or 0, r.l2, r.n, r.emitted) for r in streams.emit_to_table(_stream(spark, str(tmp_path)), base).collect())
+    assert first == [(False, 0, 0, 1, 0), (False, 0, 1, 1, 1), (False, 0, 2, 7, 2), (False, 0, 3, 1, 3), (False, 0, 4, 1, 4), (False, 1, 0, 1, 0), (True, 0, 0, 5, 0), (True, 0, 1, 5, 1)]
+    state = streams.run_to_table(streams.emit_in_order(_stream(spark, str(tmp_path)).where("file_idx is not null"))).collect()
+    assert sorted((False, r.file_idx, r.l2, r.n, r.emitted) for r in state) == [r for r in first if not r[0]]
+    spark.createDataFrame([(2, 0, 1, ""), (2, 1, 1, ""), (2, 2, 1, "")], "file_idx long, l2 int, n long, sha1 string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks.parquet/part=9")
+    then = streams.emit_to_table(_stream(spark, str(tmp_path)), base)
+    assert then.count() == 12 and sorted((r.l2, r.emitted) for r in then.where("file_idx = 2").collect()) == [(i, i) for i in range(4)]
+
+
+def test_emission_calls_no_function_for_each_file(spark, monkeypatch):
+    monkeypatch.setattr(streams, "emit_in_order", None)
+    got = {r.file_idx: (r.parts, r.bytes, r.in_order) for r in QUERIES["stream_reorder"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect()
+    assert got == {r.doc_id: (r.text.count("\n") + 1, len(r.text.replace("\n", "").encode()), True) for r in docs}
+
+
 def test_intervals(spark):
     rows = spark.createDataFrame([("k", float(t), 1.0) for t in (0, 0.4, 0.9, 1.0, 1.5, 2.5, 2.6)], "key string, t double, v double").select("key", F.timestamp_seconds("t").alias("ts"), "v")
     got = metrics.elapsed_intervals(rows, "key", "ts", "v", 1.0).orderBy("interval").collect()
