@@ -6,6 +6,7 @@ import pytest
 from tessella.operators import lsh
 from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
+from tessella.functions import images as kernels
 from tessella.functions import jpeg
 from tessella.functions.distances import BLOCK_DISTANCES
 from tessella.functions.transport import emd
@@ -137,3 +138,16 @@ def test_jpeg_codes_have_no_code_of_ones_only():
         assert max(lengths.values()) <= 16 and all(c < (1 << n) - 1 for c, n in codes.values())
         words = sorted(f"{c:0{n}b}" for c, n in codes.values())
         assert not any(b.startswith(a) for a, b in zip(words, words[1:], strict=False))
+
+
+def test_images_side_by_side_have_the_same_regions():
+    """Noise, one colour, few colours; a region's box that closes. Labels, weights and features equal those of one image at a time, to the bit."""
+    rng = np.random.default_rng(2)
+    made = [rng.integers(0, 256, (9, 8, 3)) // (1, 90, 256)[i % 3] * (1, 90, 256)[i % 3] for i in range(24)]
+    rgb = np.stack([kernels.resize(x.astype(np.uint8), 20) for x in made])
+    one = [kernels.segment(x) for x in rgb]
+    labels, numbers = kernels.segment_many(rgb)
+    assert (labels == np.stack([x[0] for x in one])).all() and numbers.tolist() == [x[1] for x in one] and 1 in numbers and numbers.max() > 9
+    weights, features = kernels.region_features_many(kernels.rgb_to_hsv(rgb), labels, numbers)
+    want = [kernels.region_features(kernels.rgb_to_hsv(x), *y) for x, y in zip(rgb, one, strict=True)]
+    assert (weights == np.concatenate([x[0] for x in want])).all() and (features == np.concatenate([x[1] for x in want])).all()
