@@ -1,9 +1,12 @@
 import os
+from types import SimpleNamespace
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
-from tessella.operators import lsh
+from tessella.operators import lsh, sets
+from tessella.plans import similarity
 from tessella.plans.images import image_regions, image_search
 from tessella.plans.similarity import SimilarityPlan
 from tessella.functions import images as kernels
@@ -91,6 +94,21 @@ def test_image_search_misses_nothing(spark, brute_force):
     assert len(got) == 50 and got == brute_force
 
 
+def test_bounds_are_the_filter_of_image_search(spark, monkeypatch, brute_force):
+    """No region is hashed, and few pairs that pass the bounds are solved."""
+    solved = []
+
+    def nearest(*a, **k):
+        if not k.get("likely"):
+            solved.append(sets.nearest_sets(*a, **k, work=True).agg(F.sum("seen"), F.sum("solved")).first())
+        return sets.nearest_sets(*a, **k)
+
+    monkeypatch.setattr(similarity.lsh, "lsh_knn", None)
+    monkeypatch.setattr(similarity, "sets", SimpleNamespace(**vars(sets) | {"nearest_sets": nearest}))
+    got = {tuple(r) for r in media.image_search(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute_force and solved[0][0] == 10 * 500 and solved[0][1] < 250
+
+
 def test_search_shuffles_no_pairs(spark, shuffled):
     """7,102 regions and 140 that are asked for: a million pairs with a common bucket stay in their tasks."""
     hits = media.image_search(spark, "/root/testdata/sf0.001").collect()

@@ -273,6 +273,48 @@ def test_transport_bounds_are_below_the_distance(vec_dist, equal):
     assert not equal or np.mean(close) > 0.95
 
 
+def test_totals_that_differ_by_rounding_are_equal():
+    """Weights of images sum to 1 but for rounding: the bounds are those of equal totals, and still below the distance."""
+    rng = np.random.default_rng(6)
+    gained = 0
+    for _ in range(100):
+        a, b = rng.random(6), rng.random(7)
+        a, b = a / a.sum(), b / b.sum()
+        a *= (1 + 3e-16) / a.sum()
+        b *= (1 - 3e-16) / b.sum()
+        cost = BLOCK_DISTANCES["L2_float"](rng.standard_normal((6, 3)), rng.standard_normal((7, 3)))
+        sided = relaxed(a, b[None], cost.min(axis=1)[None], cost.min(axis=0)[None])[0]
+        assert sided == pytest.approx(max(a @ cost.min(axis=1), b @ cost.min(axis=0)), abs=1e-12)
+        coarse = dual(a, b[None], cost[None], 0)[0]
+        assert sided <= coarse + 1e-9 and coarse <= emd(a, b, cost) + 1e-9
+        gained += coarse > sided + 1e-3
+    assert gained > 50
+
+
+@pytest.mark.parametrize("vec_dist, scale, unlike", [("L2_float", 1.0, False), ("L2_float", 1e13, False), ("L1_float", 1.0, True), ("L2_float", 1.0, True)])
+def test_likely_sets_and_shared_queries(spark, monkeypatch, vec_dist, scale, unlike):
+    """Queries shared out to tasks, large features far from the origin, regions and objects without weight: as brute force; likely objects hold most of the nearest, and no dual bound is above its distance."""
+    monkeypatch.setattr(sets, "SHARE", 2)
+    rng = np.random.default_rng(12)
+    rows, objects = [], {}
+    for o in range(120):
+        n = int(rng.integers(1, 9))
+        w = rng.integers(0, 4, n) + 0.0 if unlike else rng.dirichlet(np.ones(n))
+        objects[o] = w, (rng.standard_normal((n, 5)) + 40) * scale
+        rows += [(100 * o + i, o, float(w[i]), objects[o][1][i].tolist()) for i in range(n)]
+    packed = materialize(sets.as_sets(spark.createDataFrame(rows, "vec_id long, vecset_id long, weight double, features array<double>").repartition(3)), "sets")
+    asked = packed.where("vecset_id % 10 = 0")
+    dist = {(q, o): round(emd(objects[q][0], w, BLOCK_DISTANCES[vec_dist](objects[q][1], f)), 6) for q in range(0, 120, 10) for o, (w, f) in objects.items()}
+    want = {q: sorted((dist[q, o], o) for o in objects)[:4] for q in range(0, 120, 10)}
+    got = {(r.query_id, r["rank"]): (r.dist, r.id) for r in sets.nearest_sets(packed, asked, 4, vec_dist=vec_dist).collect()}
+    assert {k: v[1] for k, v in got.items()} == {(q, r): o for q in want for r, (_, o) in enumerate(want[q], 1)}
+    assert all(d == pytest.approx(dist[q, o], rel=1e-12, abs=1e-6) for (q, _), (d, o) in got.items())
+    likely = sets.nearest_sets(packed, asked, 12, vec_dist=vec_dist, likely=True).collect()
+    assert len(likely) == 12 * 12 and all(r.dist <= dist[r.query_id, r.id] + 1e-6 for r in likely)
+    held = {(r.query_id, r.id) for r in likely}
+    assert sum((q, o) in held for q in want for _, o in want[q]) > 36
+
+
 @pytest.mark.parametrize("vec_dist", ["L2_float", "L1_float"])
 def test_exact_search_equals_brute_force(spark, monkeypatch, vec_dist):
     """Objects of one to nine regions of unequal weights, copies, empty features, several passes; limits are at least the k-th distance."""
