@@ -121,6 +121,11 @@ def test_self_search_shuffles_no_pairs(spark, shuffled):
     assert sorted(int(r.name) for r in found) == list(range(0, 500, 50)) and shuffled() < 3
 
 
+def test_self_search_hashes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(similarity.lsh, "lsh_knn", None)
+    assert sorted(int(r.name) for r in media.image_search_self(spark, "/root/testdata/sf0.001").collect()) == list(range(0, 500, 50))
+
+
 def test_self_search_takes_disk_for_features_twice(spark, shuffled):
     """0.8 MB of features go through one shuffle and into one table, also where tables are too large to be broadcast."""
     top = shared_dir(spark).removeprefix("file://")
